@@ -46,6 +46,11 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
+def row_key(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds _key and _id, by which rows are joined back; rows equal in id and text share them and any result."""
+    return docs.withColumns({"_key": F.xxhash64(F.col("doc_id").cast("string"), F.col(text)), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
+
+
 def in_share(key, share: float) -> F.Column:
     """A fixed pseudo-random share of the keys."""
     return F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1_000_000)) < int(share * 1_000_000)
@@ -143,8 +148,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     """Connects each node's larger neighbours to the smallest of the node and its neighbours."""
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
     # the last document is taken if half of it or more is still wanted
     last = last.select("source", "doc_id", "rest", "size", (F.col("rest_want") - before >= F.col("size") / 2).alias("in"), F.row_number().over(run).alias("n"))
     cut = last.where("in").groupBy("source").agg(F.max(F.struct("rest", F.col("doc_id").isNull().alias("isnull"), "doc_id", "size")).alias("cut"))
-    per_source = _same(_same(per_source, edge.select("source", "t1", "t2"), "source", how="left"), cut, "source", how="left")
+    per_source = staged(_same(_same(per_source, edge.select("source", "t1", "t2"), "source", how="left"), cut, "source", how="left"), "mix-thresholds")
     out = _same(d, per_source, "source", how="left")
     place = F.struct("rest", F.col("doc_id").isNull().alias("isnull"), "doc_id", "size")
     below = (

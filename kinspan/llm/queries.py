@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.llm import language_id, mixing
-from kinspan.llm.common import held_out
+from kinspan.llm import language_id, mixing, simhash_dedup, substring_dedup
+from kinspan.llm.common import held_out, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,25 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = staged(simhash_dedup.fingerprints(_table(spark, sf_dir, "documents")), "op7-fingerprints")
+    found = simhash_dedup.near_duplicates(fps)
+    return found.select("doc_id", simhash_dedup.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {
     "op6_language_id": op6_language_id,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {}
