@@ -39,9 +39,19 @@ class Model:
         self.words = self._logs(words)
         self.grams = [self._logs(g, 3 if size > 2 else 1) for size, g in enumerate(grams)]
 
+    def state(self) -> tuple:
+        """Plain data for a broadcast, which workers can read without this module."""
+        return self.langs, self.prior, self.words, self.grams
+
+    @classmethod
+    def of(cls, state: tuple) -> Model:
+        model = cls([], {})
+        model.langs, model.prior, model.words, model.grams = state
+        return model
+
     @staticmethod
     def _logs(tables: list[dict[str, int]], least: int = 1, smooth: float = 0.5) -> dict[str, tuple[float, ...]]:
-        known = set().union(*tables)
+        known: set[str] = set().union(*tables)
         sums = [math.log(sum(t.values()) + smooth * len(known) + 1e-9) for t in tables]
         return {
             k: tuple(math.log(t.get(k, 0) + smooth) - s for t, s in zip(tables, sums, strict=True))
@@ -120,14 +130,14 @@ def predict(docs: DataFrame, model: Model, keep=()) -> DataFrame:
     text of such words alone gets the most frequent language. Without any labelled row all rows give und. Rows stay one
     to one: repeated rows and null ids are kept.
     """
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    box = docs.sparkSession.sparkContext.broadcast(model.state())
     columns = list(dict.fromkeys(["doc_id", "text", *keep]))
     kept = [c for c in columns if c != "text" or "text" in keep]
     d = docs.select(*columns)
     schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = box.value.scorer()
+        score = Model.of(box.value).scorer()
         for x in batches:
             found = [score(t) for t in x["text"]]
             out = x[kept].copy()

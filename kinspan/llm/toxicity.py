@@ -15,7 +15,7 @@ from kinspan.llm.common import held_out, staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that can vote as patterns.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: English insults that vote whatever the labels say.
 LEXICON = "idiot moron stupid loser trash scum pathetic worthless disgusting clown".split()
 
@@ -62,16 +62,16 @@ def frequencies(rows: DataFrame) -> DataFrame:
 
 
 def choose_voters(counts: list[tuple[str, int, int]], n: int, positive: int, most: int) -> list[str]:
-    """Features much more frequent in toxic documents than elsewhere; a beginning only if it says more than its words.
+    """Features much more frequent in toxic documents than elsewhere; of nested ones the strongest, then the longest.
 
-    counts: (feature, toxic documents with it, documents that were not toxic with it or all?) see fit().
+    counts: (feature, toxic documents with it, all documents with it), of n documents of which `positive` are toxic.
     """
     ranked = []
     for f, pos, all_ in counts:
         lift = math.log((pos + 0.5) / (positive + 1)) - math.log((all_ - pos + 0.5) / (n - positive + 1))
         if lift > 2:
             ranked.append((lift * math.sqrt(pos), f))
-    ranked.sort(key=lambda x: (-x[0], x[1]))
+    ranked.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     chosen: list[str] = []
     for _, f in ranked:
         stem = f.rstrip("*")
@@ -211,12 +211,12 @@ def score(docs: DataFrame, model: Model, keep=()) -> DataFrame:
 
     Null and empty texts have no feature and get the score of the bias alone; rows stay one to one, repeated ones too.
     """
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    box = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     columns = list(dict.fromkeys(["doc_id", *[c for c in keep if c != "text"]]))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = box.value.scorer()
+        of = Model(*box.value).scorer()
         for x in batches:
             out = x[columns].copy()
             out["score"] = [of(t) for t in x["text"]]

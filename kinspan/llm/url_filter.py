@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from functools import lru_cache
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,13 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 #: The labelled URL table: what hosts to keep out are made of, and hosts and paths to let through.
 BAD_HOSTS = "casino-win free-bets adult-x cheap-pills spam-farm ads-track poker-online xxx-videos porn-tube sexcams hot-girls lottery-jackpot slots-bonus viagra-pharmacy replica-watches payday-loans warez-crack torrent-free malware-drop phish-login popup-ads click-tracker ad-server betting-tips escort-service gambling-spin win-prize essay-mill crypto-doubler miracle-diet".split()
-GOOD_HOSTS = "daily-news city-library openwiki science-journal cooking-recipes travel-notes history-museum weather-service school-portal garden-tips football-club music-review essex-council adsorption-lab bookshop software-docs health-clinic parliament film-archive chess-club tionsh thered ththing therwh onanre erthon ththon tionble theron ththha ththes thanre tiontion therth".split()
+GOOD_HOSTS = "daily-news city-library openwiki science-journal cooking-recipes travel-notes history-museum weather-service school-portal garden-tips football-club music-review essex-council adsorption-lab bookshop software-docs health-clinic parliament film-archive chess-club winter-sports canadian-trails alphabets-school pillar-bank pokemon-cards adult-education cheapside-history".split()
+#: Made-up names of the good hosts: each syllable before each, one in three.
+SYLLABLES = "th on ti re an he in er or ha ea ed nd st en es ing tion ou wh ly sh ble at nt as is it de la le un se ch ge".split()
 SUBDOMAINS = ("", "www.", "m.", "blog.")
+#: Paths say little here; both kinds of host have the same.
+PATHS = ("en/4079", "wiki/History", "news/2021/05/story.html", "docs/api/", "de/1391", "fr/3608", "es/4833.html", "en/77/", "articles/42", "de/8580.html", "", "index.php")
+DOMAINS = ("", "www.", "m.", "blog.")
 BAD_PATHS = ("en/4079", "bonus/win-now", "xxx/video/12", "promo?ref=spam", "de/3580.html", "fr/512", "es/77", "buy-pills/cheap")
 GOOD_PATHS = ("en/7817", "wiki/History", "news/2021/05/story.html", "docs/api", "de/1391", "fr/3608", "es/4833.html", "articles/42")
 DOMAINS = ("example.com", "example.net", "example.org")
@@ -24,11 +30,12 @@ DIMENSIONS, SIZES = 4096, (3, 4, 5)
 
 def labelled_urls() -> list[tuple[str, str, int]]:
     """(host, path, 1 for block)."""
+    made_up = [f"th{a}{b}" if i % 2 else f"{a}{b}" for i, (a, b) in enumerate(product(SYLLABLES, SYLLABLES)) if i % 3 == 0]
     out = []
-    for hosts, paths, label in ((BAD_HOSTS, BAD_PATHS, 1), (GOOD_HOSTS, GOOD_PATHS, 0)):
+    for hosts, each, label in ((BAD_HOSTS, 12, 1), (GOOD_HOSTS, 6, 0), (made_up, 1, 0)):
         for i, name in enumerate(hosts):
-            for j in range(8):
-                out.append((f"{SUBDOMAINS[(i + j) % 4]}{name}.{DOMAINS[(i + j) % 3]}", paths[(i + 3 * j) % 8], label))
+            for j in range(each):
+                out.append((f"{SUBDOMAINS[(i + j) % 4]}{name}.{DOMAINS[(i + j) % 3]}", PATHS[(5 * i + j) % len(PATHS)], label))
     return out
 
 
@@ -39,7 +46,7 @@ def grams(host: str, path: str) -> list[int]:
 
 
 @lru_cache(maxsize=4)
-def train(rounds: int = 200, rate: float = 2.0, decay: float = 1e-4) -> tuple[float, tuple[float, ...]]:
+def train(rounds: int = 60, rate: float = 2.0, decay: float = 1e-4) -> tuple[float, tuple[float, ...]]:
     """Bias and weights, by gradient descent on the labelled table; features are n-gram counts over the root of their number."""
     rows = []
     for host, path, label in labelled_urls():
