@@ -43,22 +43,30 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return texts.join(known, "doc_id")
 
 
-def frequencies(rows: DataFrame) -> DataFrame:
-    """(feature, pos, n): in how many toxic documents and documents a feature occurs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            count: dict[str, list[int]] = {}
-            for text, toxic in zip(x["text"], x["toxic"], strict=True):
-                for f in features(text):
-                    c = count.setdefault(f, [0, 0])
-                    c[0] += toxic
-                    c[1] += 1
-            kept = [(f, c[0], c[1]) for f, c in count.items() if c[0]]
-            yield pd.DataFrame(kept, columns=["feature", "pos", "n"])
-
-    found = rows.select("text", "toxic").mapInPandas(run, "feature string, pos long, n long")
-    return found.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+def frequencies(rows: DataFrame, least: int, most: int = 40_000) -> list[tuple[str, int, int]]:
+    """(feature, pos, n): in how many toxic documents and in how many documents the features occur that at least `least`
+    toxic documents have; no more than `most` of them, the most frequent ones."""
+
+    def count(known):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            among = known.value if known is not None else None
+            for x in batches:
+                n: dict[str, int] = {}
+                for text in x["text"]:
+                    found = features(text)
+                    for f in found if among is None else found & among:
+                        n[f] = n.get(f, 0) + 1
+                yield pd.DataFrame(list(n.items()), columns=["feature", "n"])
+
+        return run
+
+    schema = "feature string, n long"
+    toxic = rows.where("toxic = 1").select("text").mapInPandas(count(None), schema).groupBy("feature").agg(F.sum("n").alias("n"))
+    top = {r["feature"]: r["n"] for r in toxic.where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(most).collect()}
+    known = rows.sparkSession.sparkContext.broadcast(frozenset(top))
+    clean = rows.where("toxic = 0").select("text").mapInPandas(count(known), schema).groupBy("feature").agg(F.sum("n").alias("n"))
+    other = {r["feature"]: r["n"] for r in clean.collect()}
+    return [(f, n, n + other.get(f, 0)) for f, n in top.items()]
 
 
 def choose_voters(counts: list[tuple[str, int, int]], n: int, positive: int, most: int) -> list[str]:
@@ -85,31 +93,38 @@ def choose_voters(counts: list[tuple[str, int, int]], n: int, positive: int, mos
 
 
 class LabelModel:
-    """Two classes, voters that fire or stay silent: how often each fires in either class, learnt with the class by EM.
+    """Two classes, voters that fire or abstain: how often each fires in either class, learnt with the class by EM.
 
-    Voters that fire together more than their classes explain are correlated; each one's evidence is divided by the
-    number of voters that it is worth together with, so a group of near-copies counts about once.
+    The labels of the learning rows take part as one more voter that may err. A voter that abstains says nothing, since
+    toxic texts of different kinds have different words; only that none fires at all is evidence too. Voters that fire
+    together more than their classes explain are correlated; the evidence of each is divided by the number of voters that
+    it moves with, so a group of near-copies counts about once.
     """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25):
-        n, m = votes.shape
-        post = start.astype(float)
-        self.weight = np.ones(m)
+    def __init__(self, votes: np.ndarray, given: np.ndarray, rounds: int = 20):
+        n = len(votes)
+        post = 0.02 + 0.93 * given
+        some = votes.any(axis=1)
         for _ in range(rounds):
-            self.prior = min(max(post.mean(), 1e-3), 0.5)
-            self.fires = np.stack([((1 - post) @ votes + 0.01) / ((1 - post).sum() + 1.0), (post @ votes + 0.5) / (post.sum() + 1.0)])
+            self.prior = min(max(float(post.mean()), 1e-3), 0.5)
+            one, two = post.sum(), (1 - post).sum()
+            self.fires = np.stack([((1 - post) @ votes + 0.02) / (two + 1.0), (post @ votes + 0.02) / (one + 1.0)])
+            none = np.array([((1 - post) @ ~some + 0.5) / (two + 1), (post @ ~some + 0.5) / (one + 1)])
+            self.silent = float(np.log(none[1] / none[0]))
+            right = [np.clip(((1 - post) @ (1 - given) + 1) / (two + 2), 0.6, 0.99), np.clip((post @ given + 1) / (one + 2), 0.6, 0.99)]
             rest = votes - np.outer(1 - post, self.fires[0]) - np.outer(post, self.fires[1])
             spread = np.sqrt((rest * rest).mean(axis=0)) + 1e-9
-            corr = np.clip((rest.T @ rest) / n / np.outer(spread, spread), 0, 1) if n else np.eye(m)
+            corr = np.clip((rest.T @ rest) / n / np.outer(spread, spread), 0, 1)
             corr[corr < 0.3] = 0
             np.fill_diagonal(corr, 1.0)
             self.weight = 1 / corr.sum(axis=0)
-            post = self.posterior(votes)
+            self.label = np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0])
+            post = self.posterior(votes, given)
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
         on = np.log(self.fires[1] / self.fires[0]) * self.weight
-        off = np.log((1 - self.fires[1]) / (1 - self.fires[0])) * self.weight
-        z = math.log(self.prior / (1 - self.prior)) + votes @ np.maximum(on, 0.0) + (1 - votes) @ np.minimum(off, 0.0)
+        z = math.log(self.prior / (1 - self.prior)) + np.where(votes.any(axis=1), votes @ on, self.silent)
+        z = z + np.where(given > 0, *self.label)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -154,7 +169,7 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_voters: int = 60, most_features: int = 1500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_voters: int = 80, most_features: int = 1500) -> Model:
     """Learns from at most about most_rows labelled rows that are not held out.
 
     Voters are chosen by their lift among these rows, on top of the given lexicon; the label model turns their votes into
@@ -166,9 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_voters
     positive = int(positive or 0)
     if not n or not positive:
         return Model(-3.0, {w: 5.0 for w in LEXICON})
-    toxic = frequencies(rows.where("toxic = 1")).where("pos >= 3").orderBy(F.desc("pos"), "feature").limit(200_000)
-    toxic = staged(toxic.select("feature", "pos"), "toxic-features")
-    counts = frequencies_of(rows, toxic)
+    counts = frequencies(rows, min(3, positive))
     voters = list(dict.fromkeys([*choose_voters(counts, n, positive, most_voters), *LEXICON]))
     by_lift = sorted(counts, key=lambda c: (-(math.log((c[1] + 0.5) / (positive + 1)) - math.log((c[2] - c[1] + 0.5) / (n - positive + 1))) * math.sqrt(c[1]), c[0]))
     names = list(dict.fromkeys([*voters, *[c[0] for c in by_lift[:most_features]]]))
@@ -183,29 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_voters
     for i, r in enumerate(found):
         x[i, r["hits"]] = 1
     given = np.array([r["toxic"] for r in found], float)
-    model = LabelModel(x[:, : len(voters)].astype(float), given)
-    bias, w = train_linear(x, model.posterior(x[:, : len(voters)].astype(float)))
+    votes = x[:, : len(voters)].astype(float)
+    bias, w = train_linear(x, LabelModel(votes, given).posterior(votes, given))
     return Model(float(bias), {f: float(v) for f, v in zip(names, w, strict=True) if v > 1e-3})
 
 
-def frequencies_of(rows: DataFrame, toxic: DataFrame) -> list[tuple[str, int, int]]:
-    """(feature, pos, n) with n over all learning rows, for features of toxic rows that lift above the rest."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            count: dict[str, int] = {}
-            for text in x["text"]:
-                for f in features(text):
-                    count[f] = count.get(f, 0) + 1
-            yield pd.DataFrame(list(count.items()), columns=["feature", "n"])
-
-    clean = rows.where("toxic = 0").select("text").mapInPandas(run, "feature string, n long")
-    clean = clean.join(toxic.select("feature"), "feature", "left_semi").groupBy("feature").agg(F.sum("n").alias("n"))
-    all_ = toxic.join(clean, "feature", "left").select("feature", "pos", (F.col("pos") + F.coalesce("n", F.lit(0))).alias("n"))
-    lift = (F.col("pos") / F.col("n")) * F.sqrt("pos")
-    return [(r["feature"], r["pos"], r["n"]) for r in all_.orderBy(F.desc(lift), "feature").limit(8000).collect()]
-
-
 def score(docs: DataFrame, model: Model, keep=()) -> DataFrame:
     """Adds score to doc_id and the columns in keep, from the whole text only.
 
