@@ -162,3 +162,9 @@ def _small_star(e: DataFrame) -> DataFrame:
         .where("a <> b")
         .distinct()
     )
+
+
+def shielded(docs: DataFrame, known=("doc_id", "text", "lang", "source", "n_chars")) -> tuple[DataFrame, list]:
+    """Renames other columns so that none clashes with an operator's own; the second value selects the old ones back."""
+    new = {c: c if c in known else f"_x{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), [F.col(n).alias(c) for c, n in new.items()]

@@ -58,7 +58,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
         docs.select(
             "doc_id",
             "source",
-            *[F.col(c) for c in keep],
+            *[F.col(c) for c in keep if c not in ("doc_id", "source")],
             F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("size"),
             number(1, 3).alias("b1"),
             number(4, 3).alias("b2"),
@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
         | ((F.col("b1") == F.col("t1")) & (F.col("b2") == F.col("t2")) & F.coalesce(place <= F.col("cut"), F.lit(False)))
     )
     copies = F.col("whole") + F.when(F.coalesce(below, F.lit(False)) & (F.col("whole") < int(cap)), 1).otherwise(0)
-    return out.select("doc_id", *keep, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", *[c for c in keep if c != "doc_id"], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str, how: str = "inner") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import components, staged
+from kinspan.llm.common import components, shielded, staged
 
 RADIUS = 3
 #: Rows of a bucket that one task compares at a time; larger buckets are split into pairs of pieces.
@@ -245,7 +245,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A group whose ids are all null, and rows repeated under one id in one group, keep one row.
     """
+    docs, back = shielded(docs)
     fps = staged(fingerprints(docs, docs.columns), "gph-documents")
     of = near_duplicates(fps.select("doc_id", "fp"), radius).select(F.col("fp").alias("_fp"), F.col("component").alias("_component"), F.col("component_id").alias("_least")).distinct()
     found = fps.join(staged(of, "gph-of"), F.col("fp") == F.col("_fp")).where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    return found.dropDuplicates(["_component"]).select(*docs.columns)
+    return found.dropDuplicates(["_component"]).select(*back)
