@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 FIDELITY, SAME_NAME = 0.92, 0.85
@@ -29,15 +30,22 @@ def partial(needle: str | None, hay: str | None) -> float:
     return max(ratio(needle, hay[at : at + n]) for at in places)
 
 
-@pandas_udf("double")
-def partial_ratio(needle: pd.Series, hay: pd.Series) -> pd.Series:
-    return pd.Series([partial(a, b) for a, b in zip(needle, hay, strict=True)], dtype="float64")
+def partial_ratio(needle: str | Column, hay: str | Column) -> Column:
+    @pandas_udf("double")
+    def f(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([partial(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return f(needle, hay)
 
 
-@pandas_udf("double")
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def name_ratio(one: str | Column, two: str | Column) -> Column:
     """Ratio with the matcher's own junk rule, as names are compared."""
-    return pd.Series([ratio(x or "", y or "", autojunk=True) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    @pandas_udf("double")
+    def f(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x or "", y or "", autojunk=True) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return f(one, two)
 
 
 def edit_rate(reference: list[str], heard: list[str]) -> float:
