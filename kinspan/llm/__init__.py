@@ -2,10 +2,3 @@
 
 Nothing outside this subpackage imports it; the folder can be deleted.
 """
-
-from pyspark import cloudpickle
-
-import kinspan.llm as _self
-
-# Python workers get these functions by value, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(_self)
