@@ -197,9 +197,10 @@ def test_speakers_and_checklist(spark):
     t = [("Rose lived in Bewdley with Mary Anne since 1931.", 0, 4), ("Where was that?", 5.2, 6), ("Was it hard? It was.", 6.1, 8), ("What did I know?", 8.1, 9), ("MARY-ANNE? Mary Anne it was, at 12 years old.", 10, 12)]
     df = spark.createDataFrame([("r", i, float(a), float(b), x) for i, (x, a, b) in enumerate(t)], "recording_id string, ord int, start double, end double, text string")
     said = [r["speaker"] for r in windows.guess_speakers(df, "Rose", "Op").orderBy("ord").collect()]
-    assert said == ["Rose", "Op", "Op", "Op", "Rose"] or said == ["Rose", "Op", "Rose", "Rose", "Rose"]
+    # the third is first taken for a question, then given back, as the interviewer rarely speaks twice running
+    assert said == ["Rose", "Op", "Rose", "Op", "Rose"]
     c = {r["term"]: r for r in windows.checklist(df, hints=["river", "hard"]).collect()}
-    assert c["Mary Anne"]["count"] == 2 and c["Mary Anne"]["heard_also"] == ["MARY-ANNE"]
+    assert c["Mary Anne"]["count"] == 3 and c["Mary Anne"]["heard_also"] == ["MARY-ANNE"]
     assert c["1931"]["kind"] == "date" and c["12 years old"]["first_at"] == "00:00:10"
     assert c["hard"]["hinted"] and "river" not in c
 
@@ -273,14 +274,14 @@ def test_text(spark):
     t = F.col("t")
     assert one(text.units(t), t="王秀英 said it's well-known 3 times") == 3 + 5
     assert one(text.clean(t), t="  Héllo,  WORLD—王! ") == "héllo world王"
-    assert one(text.split_sentences(t), t='One. "Two?" Three… 四。五') == ["One.", '"Two?', "Three…", "四。", "五"] or True
+    assert one(text.split_sentences(t), t='One. "Two?" Three… 四。五') == ["One.", '"Two?', "Three…", "四。", "五"]
     assert one(text.ends_sentence(t), t="Done.” ") and not one(text.ends_sentence(t), t="Mr. Smith")
     assert one(text.dates(t), t="In 1931 and the 1950s, 12 Years Old") == ["1931", "1950s", "12 Years Old"]
     assert one(text.dates(t, True), t="一九五七年十九岁") == ["一九五七年", "十九岁"]
     assert [one(text.chinese_numeral(F.col("n")), n=n) for n in (3, 10, 12, 20, 45)] == ["三", "十", "十二", "二十", "四十五"]
     assert one(text.clock(F.col("n")), n=3725.9) == "01:02:05"
     assert one(text.normalize_language(t), t="ZH_TW ") == "zh-Hant" and one(text.normalize_language(t), t="") == "en"
-    assert one(text.normalize_punctuation(t, F.lit(True)), t="你好, 世界 ﹐1.5 再见.") == "你好，世界 ，1.5 再见。" or True
+    assert one(text.normalize_punctuation(t, F.lit(True)), t="你好, 世界 ﹐1.5 再见.") == "你好，世界，1.5 再见。"
     assert one(text.name_the_owner(t, F.lit("Ro$e")), t="The story owner met the interviewee.") == "Ro$e met Ro$e."
     assert one(text.wording_problem(t, F.lit(False)), t='She said "I did" of World War I.') is None
     assert one(text.wording_problem(t, F.lit(False)), t="I did.").startswith('says "I"')
