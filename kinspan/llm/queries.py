@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinspan.llm import decontamination, embedding_dedup, html_extract, language_id, license_scan, mixing, simhash_dedup, substring_dedup, toxicity, url_filter
 from kinspan.llm.common import held_out, staged
+from kinspan.llm.oracles import ORACLE as ORACLE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,5 +73,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
-
-ORACLE: dict[str, str] = {}
