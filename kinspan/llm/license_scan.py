@@ -36,8 +36,8 @@ TEMPLATES = (
 GRAM = 3
 #: Diagonals this far apart belong to one span: words put in or left out.
 NEAR = 3
-#: Share of a template's k-grams that a span must hold.
-SHARE = 0.75
+#: Share of a template's k-grams that a span must hold; of a template with fewer than LONG k-grams it must hold all.
+SHARE, LONG = 0.65, 12
 
 #: Bytes to bytes: A-Z to a-z, other bytes of the class [\x00-\x2F\x3A-\x60\x7B-\x7F] to a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -101,8 +101,8 @@ def spans(docs: DataFrame, k: int = GRAM) -> DataFrame:
     """(_key, _id, template, label, start, end, score): verified spans of templates, as k-gram positions.
 
     Every rolling k-gram is joined with the template positions; hits vote for the diagonal position - template position;
-    diagonals no more than NEAR apart are merged; a span is kept if it holds SHARE of the template's k-grams or more and
-    is not longer than twice the template.
+    diagonals no more than NEAR apart are merged; a span is kept if it holds SHARE of the template's k-grams or more
+    (a short template: all) and is not longer than twice the template.
     """
     hits = _grams(docs, k).select("_key", "_id", F.posexplode("grams").alias("place", "gram"))
     hits = hits.join(F.broadcast(template_positions(docs.sparkSession, k)), "gram")
@@ -114,7 +114,7 @@ def spans(docs: DataFrame, k: int = GRAM) -> DataFrame:
     votes = votes.withColumn("new", new).withColumn("span", F.sum("new").over(by_diagonal))
     merged = votes.groupBy(*key, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("held"), F.min("start").alias("start"), F.max("end").alias("end"))
     merged = merged.withColumn("score", F.col("held") / F.col("of"))
-    return merged.where((F.col("score") >= SHARE) & (F.col("end") - F.col("start") < 2 * F.col("of"))).select("_key", "_id", "template", "label", "start", "end", "score")
+    return merged.where((F.col("score") >= F.when(F.col("of") < LONG, 1.0).otherwise(SHARE)) & (F.col("end") - F.col("start") < 2 * F.col("of"))).select("_key", "_id", "template", "label", "start", "end", "score")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 #: The labelled URL table: what hosts to keep out are made of, and hosts and paths to let through.
 BAD_HOSTS = "casino-win free-bets adult-x cheap-pills spam-farm ads-track poker-online xxx-videos porn-tube sexcams hot-girls lottery-jackpot slots-bonus viagra-pharmacy replica-watches payday-loans warez-crack torrent-free malware-drop phish-login popup-ads click-tracker ad-server betting-tips escort-service gambling-spin win-prize essay-mill crypto-doubler miracle-diet".split()
+#: Words that mark such a host by themselves.
+BAD_WORDS = "casino bets poker porn xxx sexcams viagra pills jackpot gambling escort malware phish warez spam adserver payday betting".split()
 GOOD_HOSTS = "daily-news city-library openwiki science-journal cooking-recipes travel-notes history-museum weather-service school-portal garden-tips football-club music-review essex-council adsorption-lab bookshop software-docs health-clinic parliament film-archive chess-club winter-sports canadian-trails alphabets-school pillar-bank pokemon-cards adult-education cheapside-history".split()
 #: Made-up names of the good hosts: each syllable before each, one in three.
 SYLLABLES = "th on ti re an he in er or ha ea ed nd st en es ing tion ou wh ly sh ble at nt as is it de la le un se ch ge".split()
@@ -32,7 +34,8 @@ def labelled_urls() -> list[tuple[str, str, int]]:
     """(host, path, 1 for block)."""
     made_up = [f"th{a}{b}" if i % 2 else f"{a}{b}" for i, (a, b) in enumerate(product(SYLLABLES, SYLLABLES)) if i % 3 == 0]
     out = []
-    for hosts, each, label in ((BAD_HOSTS, 12, 1), (GOOD_HOSTS, 6, 0), (made_up, 1, 0)):
+    turned = ["-".join(reversed(name.split("-"))) for name in BAD_HOSTS]
+    for hosts, each, label in ((BAD_HOSTS, 9, 1), (turned, 3, 1), ([f"{a}{n}{b}" for n in BAD_WORDS for a, b in (("", ""), ("the-", "s"), ("super", "-club"), ("", "-best"))], 1, 1), (GOOD_HOSTS, 6, 0), (made_up, 1, 0)):
         for i, name in enumerate(hosts):
             for j in range(each):
                 out.append((f"{SUBDOMAINS[(i + j) % 4]}{name}.{DOMAINS[(i + j) % 3]}", PATHS[(5 * i + j) % len(PATHS)], label))
@@ -80,7 +83,8 @@ def probability(host: Column, path: Column) -> Column:
     table = F.expr("array(" + ",".join(f"{w!r}D" for w in weights) + ")")
     s = F.concat(F.lit("^"), host, F.lit("/"), F.regexp_replace(path, "^/", ""), F.lit("$"))
     at = lambda n: F.when(F.length(s) >= n, F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    slots = F.concat(*[F.transform(at(n), lambda i, n=n: F.crc32(F.encode(F.substring(s, i, F.lit(n)), "UTF-8")) % DIMENSIONS) for n in SIZES])
+    of = lambda n: F.transform(at(n), lambda i: F.crc32(F.encode(F.substring(s, i, F.lit(n)), "UTF-8")) % DIMENSIONS)
+    slots = F.concat(*[of(n) for n in SIZES])
     z = F.aggregate(slots, F.lit(0.0), lambda total, g: total + F.element_at(table, (g + 1).cast("int")))
     return 1 / (1 + F.exp(-(F.lit(bias) + z / F.sqrt(F.greatest(F.size(slots), F.lit(1))))))
 
