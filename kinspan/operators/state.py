@@ -23,7 +23,7 @@ def apply_answers(claims: DataFrame, answers: DataFrame) -> DataFrame:
     answered = F.col("answered_by").isNotNull()
     return j.withColumns(
         {
-            "status": F.when(answered & (F.col("confirmed") | corrected), "confirmed_by_family").when(answered, "conflicting").otherwise(F.col("status")),
+            "status": F.when(answered & F.col("confirmed"), "confirmed_by_family").when(answered, "conflicting").otherwise(F.col("status")),
             "text": F.when(answered & corrected, F.col("corrected_text")).otherwise(F.col("text")),
             "confirmed_by": F.coalesce("answered_by", "confirmed_by"),
         }
@@ -92,3 +92,36 @@ def next_step(cases: DataFrame, consents: DataFrame, facts: DataFrame, now: Colu
 def review_order() -> list:
     """Order in which cards are gone through: by year, undated last, stronger ones first."""
     return [F.coalesce(F.nullif("year", F.lit(0)), F.lit(9999)), F.desc("strength"), F.col("ord")]
+
+
+def append_labour(log: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log, rejected): entries with minutes and a known stage are added in their order after what is there."""
+    from kinspan.schema import STAGES
+
+    ok, bad = checked(entries, (F.col("minutes") >= 0) & F.col("stage").isin(*STAGES))
+    after = log.groupBy("case_id").agg(F.max("ord").alias("_last"))
+    n = F.row_number().over(Window.partitionBy("case_id").orderBy("at"))
+    ok = ok.join(after, "case_id", "left").withColumn("ord", (F.coalesce("_last", F.lit(-1)) + n).cast(log.schema["ord"].dataType))
+    return log.unionByName(ok.select(*log.columns)), bad
+
+
+def tag_questions(questions: DataFrame, tags: DataFrame) -> DataFrame:
+    """Questions with the last outcome (case_id, id, outcome, ord) given to each."""
+    t = latest(tags, ["case_id", "id"], ["ord"]).select("case_id", "id", F.col("outcome").alias("_outcome"))
+    j = questions.join(t, ["case_id", "id"], "left")
+    return j.withColumn("outcome", F.coalesce("_outcome", "outcome")).select(*questions.columns)
+
+
+def pending_cards(cards: DataFrame) -> DataFrame:
+    """Cards that nobody has decided on, in the order in which they are gone through."""
+    from kinspan.schema import ACCESS, rank
+
+    return cards.where((rank(F.col("access"), ACCESS) < 2) & (F.col("sensitivity") != "restricted")).orderBy("case_id", *review_order())
+
+
+def card_listing(cards: DataFrame, weak: bool = False, restricted: bool = False) -> DataFrame:
+    """Cards in review order; only those that are no scenes, or only restricted ones, if asked for."""
+    from kinspan.operators.visibility import is_scene
+
+    c = cards.where(~F.coalesce(is_scene(), F.lit(False))) if weak else cards
+    return (c.where("sensitivity = 'restricted'") if restricted else c).orderBy("case_id", *review_order())
