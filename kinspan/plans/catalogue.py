@@ -63,8 +63,8 @@ def confirmation_queue(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(first == "1", "name").otherwise("date")
     s = o.withColumn("score", queue.score(importance, status, kind, F.col("uses")))
     # a top-k first, so that no window sorts all claims in one task
-    n = s.agg(F.count("*").alias("n"))
-    best = s.orderBy(F.desc("score"), "o_orderkey").limit(queue.MOST).crossJoin(F.broadcast(n))  # n is a single row
+    n = s.agg(F.count("*").alias("n")).scalar()
+    best = s.orderBy(F.desc("score"), "o_orderkey").limit(queue.MOST).withColumn("n", n)
     place = F.row_number().over(windows.Window.orderBy(F.desc("score"), "o_orderkey"))
     return best.select("o_orderkey", "score", place.cast("long").alias("place"), F.greatest(F.col("n") - queue.MOST, F.lit(0)).alias("deferred"))
 
