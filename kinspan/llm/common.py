@@ -41,6 +41,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's staged tables. Results that have not been written yet can't be read any more then."""
+    jvm, path = spark.sparkContext._jvm, shared_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the id as text leaves 1 on division by 3; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1

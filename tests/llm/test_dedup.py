@@ -116,3 +116,13 @@ def test_op7_edges(spark):
 def test_thresholds_by_dynamic_programming():
     cost, chosen = simhash_dedup.allocate([{-1: 0, 0: 5, 1: 9}, {-1: 0, 0: 1, 1: 2}, {-1: 0, 0: 9, 1: 40}], 1)
     assert sum(chosen) == 1 and cost == 9 + 2 + 0
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from kinspan.llm.common import clear, staged
+
+    t = staged(spark.range(3), "t")
+    assert t.count() == 3
+    clear(spark)
+    with pytest.raises(Exception, match="(?i)does not exist|not found|FAILED_READ"):
+        t.collect()
