@@ -28,7 +28,8 @@ def format_date(day: Column, chinese: Column) -> Column:
 
 def join_names(names: Column, chinese: Column) -> Column:
     """A sorted set of names as one text."""
-    return F.array_join(F.array_sort(F.array_distinct(names)), F.lit(", ")) if chinese is None else F.when(chinese, F.array_join(F.array_sort(F.array_distinct(names)), "、")).otherwise(F.array_join(F.array_sort(F.array_distinct(names)), ", "))
+    each = F.array_sort(F.array_distinct(names))
+    return F.when(chinese, F.array_join(each, "、")).otherwise(F.array_join(each, ", "))
 
 
 def in_order(lines: DataFrame, order: list[str], sep: str = "\n") -> DataFrame:
