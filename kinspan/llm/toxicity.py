@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import held_out, staged
+from kinspan.llm.common import held_out, in_share, staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that can vote as patterns.
@@ -37,7 +37,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     n = known.count()
-    lot = F.pmod(F.xxhash64(F.lit("share"), F.col("doc_id").cast("long")), F.lit(1_000_000)) < int(min(1.0, most / max(n, 1)) * 1_000_000)
+    lot = in_share(F.col("doc_id").cast("long"), min(1.0, most / max(n, 1)))
     known = known.where(lot).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & lot)
     return texts.join(known, "doc_id")
