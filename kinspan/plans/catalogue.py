@@ -381,9 +381,9 @@ def least_supported(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select doc_id, len(regexp_extract_all(text, '[.!?。！？…]+[\"''”’」』）)]*\\s*$')) > 0 ends, " + _UNITS + " units, case when length(text) <= 180 then trim(text) else left(text, 177) || '...' end as \"context\", lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) as \"key\" from (select doc_id, string_split(text, chr(10))[1] as \"text\" from documents)")
 def text_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Scalar functions on the first line of each document."""
-    t = F.col("t")
-    f = table(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), 0).alias("t"))
+    """Scalar functions on the whole text of each document; only the context is a beginning."""
+    t = F.col("text")
+    f = table(spark, d, "documents")
     return f.select("doc_id", text.ends_sentence(t).alias("ends"), text.units(t).cast("long").alias("units"), F.when(F.length(t) <= 180, F.trim(t)).otherwise(F.concat(F.left(t, F.lit(177)), F.lit("..."))).alias("context"), text.key_of(t).alias("key"))
 
 
