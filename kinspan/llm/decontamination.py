@@ -5,6 +5,9 @@ So shingles are joined with those of the items first, and windows that hold too
 accept - are left out. The rest get a SimHash; fingerprints are cut into radius + 1 blocks, of which at least one is equal
 if no more than `radius` bits differ; pairs that agree in a block and lie within the radius are verified by the exact
 similarity of their weighted shingles (a shingle's weight is how often it occurs).
+
+A document shorter than an item is one window, the whole of it. There is at most one such window for a document and an item,
+so these are verified without fingerprints.
 """
 
 from __future__ import annotations
@@ -62,7 +65,8 @@ def common_weight(a: Column, b: Column) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(_key, _id, item_id, start, n_words, similarity): for each document and item the best window, if it is similar.
 
-    Similarity is the shared weight of the shingles over their united weight; windows have as many words as the item.
+    Similarity is the shared weight of the shingles over their united weight; windows have as many words as the item, or as
+    the document if that has fewer (n_words).
     Items of under five words are one shingle; items without a word match nothing; rows of the benchmark that repeat an
     id and text count once; of equally similar windows the first is given. Null texts have no words.
     """
@@ -71,52 +75,55 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()]
     few = items.count() <= BROADCAST_ITEMS
     small = F.broadcast if few else lambda df: df
-    # weight that a window must share at least, of n - k + 1 shingles on either side
-    least = F.ceil(F.lit(2 * similarity / (1 + similarity)) * (F.col("n") - F.col("k") + 1) - F.lit(1e-9))
+    # weight that a window must share at least, of n_words - k + 1 shingles and the item's n - k + 1
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_words") + F.col("n") - 2 * F.col("k") + 2) - F.lit(1e-9))
     by_k = [items.where(F.col("k") == k).withColumn("hashes", shingles(F.col("w"), k)) for k in sizes]
     if not by_k:
         return row_key(docs).select("_key", "_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")).limit(0)
     full = by_k[0]
     for x in by_k[1:]:
         full = full.union(x)
-    full = staged(full.withColumn("least", least.cast("int")).drop("w"), "decon-shingles")
-    own = full.select("item", "item_id", "n", "k", "least", F.explode(F.array_distinct("hashes")).alias("h"))
+    full = staged(full.drop("w"), "decon-shingles")
+    own = full.select("item", "item_id", "n", "k", F.explode(F.array_distinct("hashes")).alias("h"))
 
     d = row_key(docs).select("_key", "_id", words(F.col("text")).alias("w"))
     found = None
     for k in sizes:
-        hits = d.select("_key", "_id", F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
-        hits = hits.join(small(own.where(F.col("k") == k).select("item", "item_id", "n", "k", "least", "h")), "h")
+        hits = d.select("_key", "_id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
+        hits = hits.join(small(own.where(F.col("k") == k).select("item", "item_id", "n", "k", "h")), "h")
         found = hits if found is None else found.unionByName(hits)
-    places = found.groupBy("_key", "_id", "item", "item_id", "n", "k", "least").agg(F.collect_set("at").alias("places"))
+    places = found.groupBy("_key", "_id", "item", "item_id", "n", "k", "size").agg(F.collect_set("at").alias("places"))
+    places = places.withColumn("n_words", F.least("n", "size")).withColumn("least", least.cast("int"))
     places = staged(places.where(F.size("places") >= F.col("least")), "decon-places")
 
     # windows that hold enough of the item's shingles; text is read again for these documents only
-    wide = F.col("n") - F.col("k")
+    wide = F.col("n_words") - F.col("k")
     start = F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(p - wide, F.lit(0)), p)))))
-    windows = places.select("*", start.alias("start"))
+    windows = places.select("*", start.alias("start")).where(F.col("start") + F.col("n_words") <= F.col("size"))
     windows = windows.where(F.size(F.filter("places", lambda p: (p >= F.col("start")) & (p <= F.col("start") + wide))) >= F.col("least"))
-    starts = staged(windows.select("_key", "_id", "n", "k", "start").distinct(), "decon-starts")
+    windows = staged(windows.select("_key", "_id", "item", "n", "n_words", "k", "start"), "decon-candidates")
+    starts = staged(windows.select("_key", "_id", "n_words", "k", "start").distinct(), "decon-starts")
     text = d.join(starts.select("_key", "_id").distinct(), ["_key", "_id"], "left_semi").dropDuplicates(["_key", "_id"])
-    cut = starts.join(text, ["_key", "_id"]).where(F.col("start") + F.col("n") <= F.size("w"))
-    cut = cut.select("_key", "_id", "n", "k", "start", F.slice(F.col("w"), F.col("start") + 1, F.col("n")).alias("w"))
+    cut = starts.join(text, ["_key", "_id"])
+    cut = cut.select("_key", "_id", "n_words", "k", "start", F.slice(F.col("w"), F.col("start") + 1, F.col("n_words")).alias("w"))
     of = None
     for k in sizes:
         x = cut.where(F.col("k") == k).withColumn("hashes", shingles(F.col("w"), k)).drop("w")
         of = x if of is None else of.union(x)
     of = staged(of, "decon-windows")
     of = staged(of.withColumn("fp", simhash(F.col("hashes"))), "decon-prints")
-    probes = of.select("_key", "_id", "n", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("x")).select("*", "x.*").drop("x")
+    probes = of.select("_key", "_id", F.col("n_words").alias("n"), "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("x")).select("*", "x.*").drop("x")
     prints = staged(full.withColumn("item_fp", simhash(F.col("hashes"))), "decon-item-prints")
     index = prints.select("item", "n", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("x")).select("*", "x.*").drop("x")
     near = probes.join(small(index), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("_key", "_id", "start", "item").distinct()
-    pairs = near.join(of.select("_key", "_id", "start", "n", "hashes"), ["_key", "_id", "start"])
-    items_of = prints.select("item", "item_id", F.col("n").alias("item_n"), F.col("hashes").alias("item_hashes"))
-    pairs = pairs.join(small(items_of), "item").where(F.col("n") == F.col("item_n"))
+    near = near.select("_key", "_id", "start", F.col("n").alias("n_words"), "item").distinct()
+    whole = windows.where("n_words < n").select("_key", "_id", "start", "n_words", "item").distinct()
+    pairs = near.union(whole).join(of.select("_key", "_id", "start", "n_words", "hashes"), ["_key", "_id", "start", "n_words"])
+    items_of = prints.select("item", "item_id", F.col("hashes").alias("item_hashes"))
+    pairs = pairs.join(small(items_of), "item")
     shared = common_weight(F.col("hashes"), F.col("item_hashes"))
     pairs = pairs.withColumn("similarity", shared / (F.size("hashes") + F.size("item_hashes") - shared)).where(F.col("similarity") >= similarity)
-    best = pairs.groupBy("_key", "_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("n").alias("n"))).alias("x"))
+    best = pairs.groupBy("_key", "_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("n_words").alias("n"))).alias("x"))
     return staged(best.select("_key", "_id", "item_id", (-F.col("x.s")).alias("start"), F.col("x.n").alias("n_words"), "x.similarity"), "decon-matches")
 
 

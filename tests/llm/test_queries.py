@@ -349,6 +349,24 @@ def test_op10_equals_brute_force(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in want}
 
 
+def test_op10_documents_shorter_than_the_item(spark):
+    items = [[f"a{i}" for i in range(15)], [f"b{i}" for i in range(59)], [f"c{i}" for i in range(4)], ["same"] * 20]
+    docs = [items[0][:14], items[1][1:58], items[1][:48], items[1][:47], items[0][:9], items[2][:3], ["same"] * 17, ["same"] * 16, items[0], items[0][:7] + ["x"] + items[0][8:14], items[1][4:55]]
+    want = {}
+    for d, w in enumerate(docs):
+        for i, item in enumerate(items):
+            k = min(5, len(item))
+            best = max((shingle_similarity(w[s : s + len(item)], item, k) for s in range(max(len(w) - len(item), 0) + 1)), default=0) if len(w) >= k else 0
+            if best >= 0.8:
+                want[d, i] = (0, min(len(w), len(item)), round(best, 9))
+    assert set(want) == {(0, 0), (1, 1), (2, 1), (6, 3), (8, 0), (10, 1)} and want[0, 0] == (0, 14, round(10 / 11, 9))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], round(r["similarity"], 9)) for r in decontamination.contaminated(df, bench).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in decontamination.clean(df, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
 def test_op10_dirty(spark, dirty):
     bench = spark.createDataFrame([(1, "under the mit license licensed")], "item_id long, text string")
     assert decontamination.contaminated(dirty, bench).count() == 0
