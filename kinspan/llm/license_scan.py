@@ -97,24 +97,67 @@ def template_positions(spark: SparkSession, k: int = GRAM) -> DataFrame:
     return spark.createDataFrame(rows, "gram long, template int, label string, at int, of int")
 
 
+def pieces(diagonals: np.ndarray, at: np.ndarray, of: int) -> list[tuple[int, int, int]]:
+    """(start, end, held) of spans under twice the template's length: the whole chain if it is, else disjoint parts of it.
+
+    Of each hit and those that follow within reach, a part ends where it holds all template positions there; parts that
+    hold most come first.
+    """
+    places = diagonals + at
+    order = np.lexsort((at, places))
+    places, at = places[order], at[order]
+    if places[-1] - places[0] < 2 * of:
+        return [(int(places[0]), int(places[-1]), len(set(at.tolist())))]
+    after = np.searchsorted(places, places + 2 * of)
+    held, last = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    for i in range(len(places)):
+        seen, last[i] = set(), i
+        for j in range(i, after[i]):
+            if at[j] not in seen:
+                seen.add(at[j])
+                last[i] = j
+        held[i] = len(seen)
+    out, taken = [], np.zeros(len(places), bool)
+    for i in np.lexsort((last - np.arange(len(places)), -held)):
+        if not taken[i : last[i] + 1].any():
+            taken[i : last[i] + 1] = True
+            out.append((int(places[i]), int(places[last[i]]), int(held[i])))
+    return sorted(out)
+
+
+def _pieces(chains: DataFrame) -> DataFrame:
+    """The rows of chains with their spans in place of their hits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = [pieces(np.array([h["diagonal"] for h in hits]), np.array([h["at"] for h in hits]), of) for hits, of in zip(x["hits"], x["of"], strict=True)]
+            out = x.drop(columns="hits").loc[x.index.repeat([len(f) for f in found])]
+            out["start"], out["end"], out["held"] = [np.array([p[i] for f in found for p in f], np.int64) for i in range(3)]
+            yield out
+
+    return chains.mapInPandas(run, "_key long, _id long, template int, label string, of int, start int, end int, held int")
+
+
 def spans(docs: DataFrame, k: int = GRAM) -> DataFrame:
     """(_key, _id, template, label, start, end, score): verified spans of templates, as k-gram positions.
 
     Every rolling k-gram is joined with the template positions; hits vote for the diagonal position - template position;
-    diagonals no more than NEAR apart are merged; a span is kept if it holds SHARE of the template's k-grams or more
-    (a short template: all) and is not longer than twice the template.
+    diagonals no more than NEAR apart are merged into a chain; one that is not shorter than twice the template, as where
+    a short template or a part of one is repeated, is cut into spans that are; a span is kept if it holds SHARE of the
+    template's k-grams or more (a short template: all).
     """
     hits = _grams(docs, k).select("_key", "_id", F.posexplode("grams").alias("place", "gram"))
     hits = hits.join(F.broadcast(template_positions(docs.sparkSession, k)), "gram")
     hits = hits.withColumn("diagonal", F.col("place") - F.col("at"))
     key = ["_key", "_id", "template", "label", "of"]
-    votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("at"), F.min("place").alias("start"), F.max("place").alias("end"))
+    votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("at"))
     by_diagonal = Window.partitionBy(*key).orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEAR, F.lit(True)).cast("int")
     votes = votes.withColumn("new", new).withColumn("span", F.sum("new").over(by_diagonal))
-    merged = votes.groupBy(*key, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("held"), F.min("start").alias("start"), F.max("end").alias("end"))
-    merged = merged.withColumn("score", F.col("held") / F.col("of"))
-    return merged.where((F.col("score") >= F.when(F.col("of") < LONG, 1.0).otherwise(SHARE)) & (F.col("end") - F.col("start") < 2 * F.col("of"))).select("_key", "_id", "template", "label", "start", "end", "score")
+    hit = F.transform("at", lambda x: F.struct(F.col("diagonal").alias("diagonal"), x.alias("at")))
+    chains = votes.withColumn("hit", hit).groupBy(*key, "span").agg(F.flatten(F.collect_list("hit")).alias("hits"))
+    found = _pieces(chains.select(*key, "hits")).withColumn("score", F.col("held") / F.col("of"))
+    return found.where(F.col("score") >= F.when(F.col("of") < LONG, 1.0).otherwise(SHARE)).select("_key", "_id", "template", "label", "start", "end", "score")
 
 
 def scan(docs: DataFrame) -> DataFrame:

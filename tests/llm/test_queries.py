@@ -128,6 +128,17 @@ def test_op2_spans_survive_edits_and_dirty_rows(spark, dirty):
     assert license_scan.scan(dirty.limit(0)).count() == 0
 
 
+def test_op2_repeats_back_to_back(spark):
+    t = dict(license_scan.TEMPLATES[:1])["mit"]
+    many = "of this software " * 40
+    texts = ["All rights reserved.", "All rights reserved.\n" * 2, "All rights reserved.\n" * 500, many, many + t, t + " " + many, f"{many}{t} {many}", f"{t} " * 3, "all rights all rights all rights"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(df).collect()}
+    assert got == {i: ("all-rights-reserved", 1.0) for i in range(3)} | {i: ("mit", 1.0) for i in range(4, 8)} | {3: ("", 0.0), 8: ("", 0.0)}
+    where = license_scan.spans(license_scan.row_key(df.where("doc_id in (2, 7)"))).groupBy("label").agg(F.sort_array(F.collect_list("start")).alias("x")).collect()
+    assert {r["label"]: r["x"] for r in where} == {"all-rights-reserved": [3 * i for i in range(500)], "mit": [len(t.split()) * i for i in range(3)]}
+
+
 # ---- 3 URL filters
 
 
