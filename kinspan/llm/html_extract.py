@@ -30,7 +30,7 @@ MARKS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset(("header", "masthead", "banner"))
-#: Pages of a host, and share of different contents among them, that let a branch count as the site's own.
+#: Different pages of a host, and share of them without the commonest variant, that let a branch count as the site's own.
 LEAST_PAGES, MOST_DIFFERENT = 8, 0.1
 IMPLIED = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 IMPLIED = {k: frozenset(v.split()) for k, v in IMPLIED.items()}
@@ -151,7 +151,7 @@ def blocks(root: Node, low: frozenset[int] | set[int]) -> list[str]:
         if x.tag == "br":
             held.append(" ")
             continue
-        if x.noise or (x.tag in BLOCKS and low and branch(x.path) in low):
+        if x.noise or (x.tag in BLOCKS and low and not x.main and branch(x.path) in low):
             if x.tag in BLOCKS:
                 flush()
             continue
@@ -217,23 +217,32 @@ def _text(x: Node) -> str:
     return " ".join("".join(parts).split())
 
 
-def branches(page: str | None) -> list[tuple[int, int, int]]:
-    """(branch, content, children's presentation) of each block branch that is not noise by its own markup.
+def branches(page: str | None) -> list[tuple[int, int, int, int]]:
+    """(copy, branch, content, children's presentation) of each block branch that is not noise by its own markup.
 
-    A branch is the path of element names, classes and ids; paragraphs and inline elements belong to their branch.
+    A branch is the path of element names, classes and ids; paragraphs and inline elements belong to their branch. A page
+    has a branch once, with the contents of all its nodes in order. Articles and main elements and what is in them are left
+    out. Pages with the same text have the same value of copy.
     """
-    out, stack = [], [parse(page)]
+    root = parse(page)
+    nodes: dict[int, tuple[list[str], list[str]]] = {}
+    stack = [root]
     while stack:
         x = stack.pop()
-        for c in x.children:
-            if isinstance(c, Node) and not c.noise:
-                if c.tag in BLOCKS and c.tag not in ("html", "body", "p") and not (c.tag in MAIN):
-                    text = _text(c)
-                    if text:
-                        style = ">".join(k.style for k in c.children if isinstance(k, Node))
-                        out.append((branch(c.path), xxhash.xxh64_intdigest(text.encode()) >> 1, xxhash.xxh64_intdigest(style.encode()) >> 1))
-                stack.append(c)
-    return out
+        inner = [c for c in x.children if isinstance(c, Node) and not c.noise and not c.main]
+        for c in inner:
+            if c.tag in BLOCKS and c.tag not in ("html", "body", "p"):
+                text = _text(c)
+                if text:
+                    contents, styles = nodes.setdefault(branch(c.path), ([], []))
+                    contents.append(text)
+                    styles.append(">".join(k.style for k in c.children if isinstance(k, Node)))
+        stack.extend(reversed(inner))
+    if not nodes:
+        return []
+    of = lambda parts: xxhash.xxh64_intdigest("\0".join(parts).encode()) >> 1
+    copy = of(blocks(root, frozenset()))
+    return [(copy, b, of(contents), of(styles)) for b, (contents, styles) in nodes.items()]
 
 
 def host_of(url):
@@ -241,35 +250,35 @@ def host_of(url):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, branch, pages, importance, different): the merged trees of each host's pages.
+    """(host, branch, pages, importance): the merged trees of each host's different pages.
 
-    importance joins presentation and content: of either, the entropy of a branch's variants over its pages, from 0 (all
-    pages the same) to 1 (all pages different). different: contents per page.
+    Pages of a host with the same text, repeated rows among them, count as one. importance joins presentation and content:
+    of either, the share of a branch's pages that don't have its commonest variant, from 0 (all pages the same); neither
+    more pages nor copies make it smaller.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = [(h, b, c, s) for h, page in zip(x["host"], x["html"], strict=True) for b, c, s in branches(page)]
+            rows = [(h, *b) for h, page in zip(x["host"], x["html"], strict=True) for b in branches(page)]
             if rows:
-                yield pd.DataFrame(rows, columns=["host", "branch", "content", "style"])
+                yield pd.DataFrame(rows, columns=["host", "copy", "branch", "content", "style"])
 
-    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, branch long, content long, style long")
-    counts = staged(nodes.groupBy("host", "branch", "content", "style").agg(F.count("*").alias("n")), "sst-variants")
+    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, copy long, branch long, content long, style long")
+    # copies can differ in markup; one of them is taken
+    once = nodes.groupBy("host", "branch", "copy").agg(F.min("content").alias("content"), F.min("style").alias("style"))
+    counts = staged(once.groupBy("host", "branch", "content", "style").agg(F.count("*").alias("n")), "sst-variants")
 
-    def entropy(of: str) -> DataFrame:
+    def different(of: str) -> DataFrame:
         sums = counts.groupBy("host", "branch", of).agg(F.sum("n").alias("n")).groupBy("host", "branch")
-        sums = sums.agg(F.sum("n").alias("pages"), F.count("*").alias(f"{of}s"), F.sum(F.col("n") * F.log("n")).alias("nlog"))
-        bits = F.log("pages") - F.col("nlog") / F.col("pages")
-        return sums.select("host", "branch", "pages", f"{of}s", F.when(F.col("pages") > 1, bits / F.log("pages")).otherwise(1.0).alias(of))
+        return sums.agg(F.sum("n").alias("pages"), F.max("n").alias("most")).select("host", "branch", "pages", (1 - F.col("most") / F.col("pages")).alias(of))
 
-    both = entropy("content").join(entropy("style").drop("pages"), ["host", "branch"])
-    importance = 0.9 * F.col("content") + 0.1 * F.col("style")
-    return both.select("host", "branch", "pages", importance.alias("importance"), (F.col("contents") / F.col("pages")).alias("different"))
+    both = different("content").join(different("style").drop("pages"), ["host", "branch"])
+    return both.select("host", "branch", "pages", (0.9 * F.col("content") + 0.1 * F.col("style")).alias("importance"))
 
 
 def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, most_different: float = MOST_DIFFERENT) -> DataFrame:
-    """(host, low): branches that many of a host's pages share with hardly any difference in content."""
-    low = tree.where((F.col("pages") >= least_pages) & (F.col("different") <= most_different) & (F.col("importance") < 0.5))
+    """(host, low): branches that many of a host's pages share with hardly any difference in content and presentation."""
+    low = tree.where((F.col("pages") >= least_pages) & (F.col("importance") <= most_different))
     return low.groupBy("host").agg(F.collect_list("branch").alias("low"))
 
 
@@ -277,7 +286,7 @@ def extract_pages(pages: DataFrame, keep=()) -> DataFrame:
     """page_id, url, the columns in keep, text and n_chars: each page's main text, from the whole html.
 
     Branches go that markup names as menu, header, footer, sidebar, notice, advert, form, script, style or comments, and
-    branches that the host's style tree finds of low importance. If a page has an article, or else a main element, only
+    branches outside articles and main elements that the host's style tree finds of low importance. If a page has an article, or else a main element, only
     that is taken. Blocks have white space turned into single spaces, references decoded, and are joined by two newlines.
     Null and empty html give an empty text; pages with a null url, or one without a host, share a tree; repeated rows
     repeat; an empty table gives an empty result.

@@ -250,6 +250,24 @@ def test_op5_site_style_tree(spark):
     assert got[40] == "Welcome to our site\n\nStory 0 is told here." and got[41] == got[42] == ""
 
 
+def test_op5_contents_that_recur_in_articles(spark):
+    cells = "<div class='t'><h1>Votes</h1><table>" + "<tr><td>yes</td><td>yes</td></tr>" * 10 + "</table><ul>" + "<li>so</li>" * 12 + "</ul></div>"
+    story = lambda i: f"<div class='x1'>Welcome to our site</div><div class='x2'><p>Story {i} is told here.</p></div>"
+    part = lambda i: f"<div class='x1'>Welcome to our site</div><article><div class='in'><h2>Summary</h2><p>Report {i}.</p></div></article>"
+    copy = lambda i: f"<div class='x1'>Welcome to our site</div><div class='x2'><p>Story {max(i, 30)} is told here.</p></div>"
+    rows = [(0, "http://alone.example/", cells)]
+    rows += [(1000 + i, "http://many.example/", story(i % 20)) for i in range(300)]
+    rows += [(2000 + i, "http://heads.example/", part(i)) for i in range(30)]
+    rows += [(3000 + i, "http://copies.example/", copy(i)) for i in range(40)]
+    rows += [(4000, "http://again.example/", story(0))] * 50
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].split("\n\n") == ["Votes"] + ["yes"] * 20 + ["so"] * 12
+    assert all(got[1000 + i] == f"Story {i % 20} is told here." for i in range(300))
+    assert all(got[2000 + i] == f"Summary\n\nReport {i}." for i in range(30))
+    assert all(got[3000 + i] == f"Story {max(i, 30)} is told here." for i in range(40))
+    assert got[4000] == "Welcome to our site\n\nStory 0 is told here."
+
+
 # ---- 6 language
 
 
