@@ -1,14 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by counting windows, grouped by anchor.
 
-The reference is the first occurrence of every stretch of text in the corpus. A match of `window` words always shares an
-anchor: the smallest k-gram hash of the window, which depends on the window's words alone. So the reference is cut into
-blocks by anchor, and a document has to be parsed against those blocks only that hold one of its own anchors; no other
-block can give a factor of `window` words.
+This takes the place of relative Lempel-Ziv parsing: no reference is built and no factor is extended against one. What is
+removed are the words of all windows that occur twice in the corpus, and counting finds these exactly.
 
-Parsing takes the anchors of a document from left to right. Each has a context: the words of all windows that it stands
-for. A context found whole in a block is a factor that all its windows belong to, and factors of neighbouring anchors run
-on into one. Where a context is not found whole - at the ends of factors - each of its windows is looked up by itself.
-Factors are unions of windows that occur elsewhere, so their words are the ones to remove.
+A match of `window` words always shares an anchor: the smallest k-gram hash of the window, which depends on the window's
+words alone. Each anchor of a document has a context: the words of all windows that it stands for. A context seen twice
+is repeated whole. Where an anchor has several contexts, each of their windows is counted by itself.
 
 Counts per context and per window are combined before the shuffle, so a passage in any number of documents makes no
 large group, and contexts and windows are only built where an anchor occurs at least twice.
