@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kinspan.llm import simhash_dedup, substring_dedup
+from kinspan.llm.common import components
 from kinspan.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +119,14 @@ def test_thresholds_by_dynamic_programming():
     assert sum(chosen) == 1 and cost == 9 + 2 + 0
 
 
+def test_components_finish_or_fail(spark):
+    chain = spark.createDataFrame([((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)], "a long, b long")
+    assert {(r["node"], r["component"]) for r in components(chain).collect()} == {(i, 0) for i in range(101)}
+    assert components(chain.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
+
+
 def test_staged_tables_can_be_cleared(spark):
     from kinspan.llm.common import clear, staged
 
