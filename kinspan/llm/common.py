@@ -14,10 +14,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is a local one if Spark is local too, as in tests."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _local_dir()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
@@ -38,14 +40,25 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables, as staged() returned them, from which nothing will be read any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._staged_at)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes this application's staged tables. Results that have not been written yet can't be read any more then."""
-    jvm, path = spark.sparkContext._jvm, shared_dir(spark)
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, shared_dir(spark))
 
 
 def held_out(doc_id) -> F.Column:
@@ -54,8 +67,12 @@ def held_out(doc_id) -> F.Column:
 
 
 def row_key(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _key and _id, by which rows are joined back; rows equal in id and text share them and any result."""
-    return docs.withColumns({"_key": F.xxhash64(F.col("doc_id").cast("string"), F.col(text)), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
+    """Adds _key and _id, 128 bits by which rows are joined back; rows equal in id and text share them and any result.
+
+    Ids of any type will do.
+    """
+    name = F.col("doc_id").cast("string")
+    return docs.withColumns({"_key": F.xxhash64(name, F.col(text)), "_id": F.xxhash64(F.lit(1), name.isNull(), name, F.col(text))})
 
 
 def in_share(key, share: float) -> F.Column:
@@ -139,7 +156,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
     )
     for _ in range(rounds):
-        e = staged(_small_star(_large_star(e)), "edges")
+        before, e = e, staged(_small_star(_large_star(e)), "edges")
+        drop(before)
         now = e.agg(F.count("*"), F.countDistinct("a")).first()
         # finished: each node points at one smaller node, and no pointed-at node points further
         if now[0] == now[1] and e.join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():

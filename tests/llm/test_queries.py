@@ -5,6 +5,7 @@ import html
 import math
 import os
 import re
+import sys
 import zlib
 from collections import Counter
 from urllib.parse import urlsplit
@@ -288,11 +289,60 @@ def test_op6_dirty(spark, sf, dirty):
     assert {r["lang_pred"] for r in language_id.predict(dirty, none).collect()} == {"und"}
 
 
+def test_op6_numbers_are_no_letters():
+    import unicodedata
+
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if not "\ud800" <= c <= "\udfff":
+            assert bool(language_id.LETTERS.match(c)) == (unicodedata.category(c)[0] == "L"), hex(ord(c))
+
+
+def test_op6_equals_plain_counting(spark):
+    """Scores against the same rule written down plainly, on whole small tables."""
+    text = {"a": "xyz abc xyz ab", "b": "xyq abq zz zz"}
+    rows = [(i, text["ab"[i % 2]], "ab"[i % 2]) for i in range(12)] + [(50, "xyzz k \u00bd \u2460 zz", None), (51, "\u00bd \u2461", None), (52, "\u0416\u0416", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    n, counts = Counter(lang for _, lang in learnt), {x: [Counter() for _ in range(6)] for x in "ab"}
+    for t, lang in learnt:
+        for w in t.split():
+            counts[lang][0][w] += 1
+            for size in range(1, 6):
+                counts[lang][size].update(f" {w} "[i : i + size] for i in range(len(w) + 3 - size))
+    log = lambda lang, size, f: math.log(counts[lang][size][f] + 0.5) - math.log(sum(counts[lang][size].values()) + 0.5 * len(set(counts["a"][size]) | set(counts["b"][size])))
+
+    def evidence(w):
+        if any(w in counts[x][0] for x in "ab"):
+            return [log(x, 0, w) for x in "ab"]
+        for size in range(5, 0, -1):
+            g = [f" {w} "[i : i + size] for i in range(len(w) + 3 - size) if any(f" {w} "[i : i + size] in counts[x][size] for x in "ab")]
+            if g:
+                return [sum(log(x, size, f) for f in g) / len(g) for x in "ab"]
+        return [0.0, 0.0]
+
+    for r in language_id.predict(df, language_id.fit(df), keep=["text"]).collect():
+        found = re.findall(r"[^\W\d_\u00bd\u2460\u2461]+", r["text"].lower())
+        if not found:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        z = [math.log(n[x] / len(learnt)) + sum(evidence(w)[i] for w in found) for i, x in enumerate("ab")]
+        p = 1 / (1 + math.exp(z[1] - z[0]))
+        assert r["lang_pred"] == ("a" if p >= 0.5 else "b") and r["score"] == pytest.approx(max(p, 1 - p), abs=1e-4)
+
+
 def test_backoff_goes_from_words_to_single_letters():
-    m = language_id.Model([("a", "xyz", 5), ("b", "xyq", 5)], {"a": 1, "b": 1})
-    assert m.vector("xyz") == m.words["xyz"]
+    grams = Counter()
+    for lang, word in (("a", "xyz"), ("b", "xyq")):
+        for size in range(1, 6):
+            grams.update((lang, size, f" {word} "[i : i + size]) for i in range(6 - size))
+    counts = [("a", 0, "xyz", 5), ("b", 0, "xyq", 5)] + [(*k, 5 * n) for k, n in grams.items()]
+    totals = Counter()
+    for lang, size, _, n in counts:
+        totals[lang, size] += n
+    m = language_id.Model(counts, [(*k, n) for k, n in totals.items()], {"a": 1, "b": 1}, {0: 2, 1: 5, 2: 6, 3: 5, 4: 4, 5: 2})
+    assert (m.vector("xyz") == m.feature("xyz", 0)).all()
     assert m.vector("xyzk")[0] > m.vector("xyzk")[1] and m.vector("kq")[1] > m.vector("kq")[0]
-    assert m.vector("k") != m.vector("z")
+    assert (m.vector("k") != m.vector("z")).any()
 
 
 # ---- 8 mixing
@@ -342,6 +392,35 @@ def test_op8_dirty(spark, dirty):
     assert mixing.mix_sources(dirty.where("text is null")).first()["taken"] == 0
 
 
+def test_op8_repeated_rows(spark, tmp_path):
+    """As many of a repeated row as fit, and what the SQL gives, which counts copies apart."""
+    for copies in (60, 333):
+        rows = [(7, "w " * 10, "en", "a", 20)] * copies + [(i + 100, "w " * 10, "en", "a", 20) for i in range(100 - copies)] + [(1000 + i, "w " * 5, "en", "b", 10) for i in range(200)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = QUERIES["op8_mixing"](spark, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken").collect()
+        target, taken = {r["size"]: r["target"] for r in got}, Counter()
+        for r in got:
+            taken[r["size"]] += r["taken"]
+        assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= s / 2 for s in target)
+        c = duckdb.connect()
+        c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.execute(f"select doc_id, size, source_size, target, taken from ({ORACLE['op8_mixing']})").fetchall()
+        assert sorted(tuple(map(norm, r)) for r in got) == sorted(tuple(map(norm, r)) for r in want)
+
+
+def test_op8_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", f"s{i % 400:03}" if i % 50 else None, 0, 1, 1) for i in range(1600)]
+    df = spark.createDataFrame(rows, DOCS)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += 1 + r[0] % 7
+    sizes = spark.createDataFrame(list(size.items()), "source string, source_size long").repartition(9)
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    want = brute_targets(dict(size))
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s]) for s in want)
+    assert df.count() == len(rows)
+
+
 # ---- 10 decontamination
 
 
