@@ -4,77 +4,87 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import held_out
+from kinspan.llm.common import held_out, staged
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters of Python that are neither letters nor decimal digits: fractions, superscripts, Roman and circled numbers.
+NUMBERS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "".join(c for c in map(chr, range(0x3000)) if c.isdigit() and not c.isdecimal() and not c.isnumeric()))
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 LONGEST = 5
 
 
 class Model:
-    """Log frequencies of words and of character n-grams (1 to LONGEST, word ends marked) per language."""
+    """Log frequencies of words and of character n-grams (1 to LONGEST, word ends marked) per language.
 
-    def __init__(self, counts: list[tuple[str, str, int]], documents: dict[str, int]):
+    A table of features holds, for each, the languages that have it; all others share one value per language and size, so
+    its length follows from the features of each language, not from their product with the languages.
+    """
+
+    def __init__(self, counts: list[tuple[str, int, str, int]], totals: list[tuple[str, int, int]], documents: dict[str, int], known: dict[int, int], smooth: float = 0.5):
+        """counts: (language, size, feature, times), size 0 for words; totals: times of all features per language and size; known: features per size."""
         self.langs = sorted(documents)
+        column = {lang: i for i, lang in enumerate(self.langs)}
         total = sum(documents.values()) or 1
         self.prior = np.array([math.log(documents[x] / total) for x in self.langs])
-        words = [defaultdict(int) for _ in self.langs]
-        grams = [[defaultdict(int) for _ in self.langs] for _ in range(LONGEST + 1)]
-        column = {lang: i for i, lang in enumerate(self.langs)}
-        for lang, word, count in counts:
-            i = column[lang]
-            words[i][word] += count
-            marked = f" {word} "
-            for size in range(1, LONGEST + 1):
-                table = grams[size][i]
-                for at in range(len(marked) - size + 1):
-                    table[marked[at : at + size]] += count
-        self.words = self._logs(words)
-        self.grams = [self._logs(g, 3 if size > 2 else 1) for size, g in enumerate(grams)]
+        sums = np.zeros((LONGEST + 1, len(self.langs)))
+        for lang, size, times in totals:
+            sums[size, column[lang]] = times
+        space = np.array([[known.get(size, 0)] for size in range(LONGEST + 1)])
+        norm = np.log(sums + smooth * space + 1e-9)
+        self.base = (math.log(smooth) - norm).astype(np.float32)
+        tables: list[dict[str, list[tuple[int, float]]]] = [{} for _ in range(LONGEST + 1)]
+        for lang, size, feature, times in counts:
+            tables[size].setdefault(feature, []).append((column[lang], math.log(times + smooth) - norm[size, column[lang]]))
+        self.tables = []
+        for t in tables:
+            start = np.cumsum([0, *map(len, t.values())])
+            flat = [x for v in t.values() for x in v]
+            self.tables.append(({f: i for i, f in enumerate(t)}, start, np.array([x[0] for x in flat], np.int32), np.array([x[1] for x in flat], np.float32)))
 
     def state(self) -> tuple:
         """Plain data for a broadcast, which workers can read without this module."""
-        return self.langs, self.prior, self.words, self.grams
+        return self.langs, self.prior, self.base, self.tables
 
     @classmethod
     def of(cls, state: tuple) -> Model:
-        model = cls([], {})
-        model.langs, model.prior, model.words, model.grams = state
+        model = cls.__new__(cls)
+        model.langs, model.prior, model.base, model.tables = state
         return model
 
-    @staticmethod
-    def _logs(tables: list[dict[str, int]], least: int = 1, smooth: float = 0.5) -> dict[str, tuple[float, ...]]:
-        known: set[str] = set().union(*tables)
-        sums = [math.log(sum(t.values()) + smooth * len(known) + 1e-9) for t in tables]
-        return {
-            k: tuple(math.log(t.get(k, 0) + smooth) - s for t, s in zip(tables, sums, strict=True))
-            for k in known
-            if sum(t.get(k, 0) for t in tables) >= least
-        }
-
-    def vector(self, word: str) -> tuple[float, ...]:
+    def feature(self, text: str, size: int) -> np.ndarray | None:
+        """Log frequencies of a word (size 0) or an n-gram in each language; None if no language has it."""
+        names, start, lang, value = self.tables[size]
+        at = names.get(text)
+        if at is None:
+            return None
+        out = self.base[size].copy()
+        out[lang[start[at] : start[at + 1]]] = value[start[at] : start[at + 1]]
+        return out
+
+    def vector(self, word: str) -> np.ndarray:
         """Evidence of one word: its own log frequencies, else the mean over its longest known n-grams."""
-        found = self.words.get(word)
+        found = self.feature(word, 0)
         if found is not None:
             return found
         marked = f" {word} "
         for size in range(min(LONGEST, len(marked)), 0, -1):
-            table = self.grams[size]
-            hits = [v for at in range(len(marked) - size + 1) if (v := table.get(marked[at : at + size])) is not None]
+            names = self.tables[size][0]
+            hits = [self.feature(g, size) for at in range(len(marked) - size + 1) if (g := marked[at : at + size]) in names]
             if hits:
-                return tuple(sum(x) / len(hits) for x in zip(*hits, strict=True)) if len(hits) > 1 else hits[0]
-        return (0.0,) * len(self.langs)
+                return np.mean(hits, axis=0)
+        return np.zeros(len(self.langs), np.float32)
 
-    def scorer(self, limit: int = 300_000):
-        """text -> (language or None, score), with a table of words met before that is emptied when full."""
+    def scorer(self, cells: int = 2_000_000):
+        """text -> (language or und, score), with a table of words met before that is emptied when full."""
         slots: dict[str, int] = {}
+        limit = max(1024, cells // max(len(self.langs), 1))
         rows = np.zeros((1024, len(self.langs)), np.float32)
 
         def slot(word: str) -> int:
@@ -92,11 +102,11 @@ class Model:
             found = LETTERS.findall(text.lower()) if text else []
             if not found or not self.langs:
                 return "und", 0.0
-            if len(slots) > limit:
-                slots.clear()
             sums = self.prior.copy()
-            for i in range(0, len(found), 100_000):
-                at = [slot(w) for w in found[i : i + 100_000]]  # may replace rows
+            for i in range(0, len(found), 10_000):
+                if len(slots) > limit:
+                    slots.clear()
+                at = [slot(w) for w in found[i : i + 10_000]]  # may replace rows
                 sums += rows[at].sum(axis=0, dtype=np.float64)
             p = np.exp(sums - sums.max())
             best = int(np.argmax(p))
@@ -105,30 +115,50 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, max_words: int = 60_000, max_langs: int = 200) -> Model:
+def fit(docs: DataFrame, per_lang: int = 1500, words_per_lang: int = 40_000, grams_per_lang: int = 40_000) -> Model:
     """Fits on at most about per_lang documents of each language, chosen by a hash of the id among rows not held out.
 
-    Keeps the max_words most frequent (language, word) pairs, so what reaches the driver is bounded.
+    Words and n-grams of these are counted whole. The model then holds the words_per_lang most frequent words and the
+    grams_per_lang most frequent n-grams of each language by itself, so no language takes another's place; the driver and
+    the broadcast get so many features per language at most. Every language is learnt.
     """
     d = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    totals = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not totals:
-        return Model([], {})
-    share = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
+    documents = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    if not documents:
+        return Model([], [], {}, {})
+    share = F.create_map(*[x for lang, n in sorted(documents.items()) for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
     lot = F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(1_000_000)) / 1e6
     d = d.where(lot < share[F.col("lang")])
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))
-    counts = d.select("lang", words.alias("word")).groupBy("lang", "word").count()
-    top = counts.orderBy(F.desc("count"), "lang", "word").limit(max_words).collect()
-    return Model([(r[0], r[1], r[2]) for r in top], {r["lang"]: r["count"] for r in totals})
+    counts = staged(d.select("lang", words.alias("feature")).groupBy("lang", "feature").agg(F.count("*").alias("times")), "lang-words")
+    marked = F.concat(F.lit(" "), F.col("feature"), F.lit(" "))
+    pieces = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(LONGEST)),
+            lambda n: F.transform(
+                F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>")),
+                lambda at: F.struct(n.alias("size"), F.substring(marked, at, n).alias("feature")),
+            ),
+        )
+    )
+    grams = counts.select("lang", "times", F.explode(pieces).alias("x")).groupBy("lang", "x.size", "x.feature").agg(F.sum("times").alias("times"))
+    every = staged(counts.select("lang", F.lit(0).alias("size"), "feature", "times").union(grams.select("lang", "size", "feature", "times")), "lang-features")
+    totals = [tuple(r) for r in every.groupBy("lang", "size").agg(F.sum("times")).collect()]
+    known = {r["size"]: r["n"] for r in every.groupBy("size").agg(F.countDistinct("feature").alias("n")).collect()}
+    is_word = (F.col("size") == 0).cast("int")
+    rank = F.row_number().over(Window.partitionBy("lang", is_word).orderBy(F.desc("times"), "size", "feature"))
+    top = every.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("size") == 0, words_per_lang).otherwise(grams_per_lang))
+    return Model([tuple(r) for r in top.select("lang", "size", "feature", "times").collect()], totals, documents, known)
 
 
 def predict(docs: DataFrame, model: Model, keep=()) -> DataFrame:
     """Adds lang_pred and score to doc_id and the columns in keep, from the whole text only.
 
     Null texts and texts without a letter give und and 0; words unknown down to single letters carry no evidence, and a
-    text of such words alone gets the most frequent language. Without any labelled row all rows give und. Rows stay one
-    to one: repeated rows and null ids are kept.
+    text of such words alone gets the most frequent language. A letter is one to Unicode; digits, fractions, superscripts
+    and number signs aren't. Of languages that tie the first by code point is given. Without any labelled row all rows give
+    und. Texts of any length are read whole, in pieces of words. Rows stay one to one: repeated rows and null ids are kept;
+    an empty table gives an empty result. Other columns are ignored; those in keep must not be called lang_pred or score.
     """
     box = docs.sparkSession.sparkContext.broadcast(model.state())
     columns = list(dict.fromkeys(["doc_id", "text", *keep]))
