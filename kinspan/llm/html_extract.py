@@ -3,128 +3,229 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import staged
+from kinspan.llm.common import drop, staged
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp")}
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]?[^\s/>=]*)\s*(=?)\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that are not text of a page.
+UNSEEN = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video map title noembed noframes".split())
 #: Elements whose whole content is never part of an article.
-NEVER = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video map nav footer aside form button select datalist textarea input label dialog menu title noembed noframes marquee".split())
+NEVER = frozenset("nav footer aside form button select datalist textarea input label dialog menu marquee".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar tooltip status form".split())
-#: Words of class and id values that mark such branches.
+#: Class and id values that mark such branches, alone or joined by a hyphen to one another and to words of place.
 MARKS = frozenset(
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc header masthead topbar banner footer foot bottom sidebar side aside rail widget widgets "
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc header masthead topbar banner footer foot sidebar aside rail widget widgets "
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "comment comments commentlist disqus reply replies respond discussion share sharing social follow subscribe subscription newsletter signup login search related recommended recommendations more-links "
-    "tags taglist toolbar skip hidden copyright legal disclaimer".split()
+    "tags taglist toolbar skip copyright".split()
 )
+PLACES = frozenset("main site page global top bottom left right upper lower primary secondary mobile desktop area list box bar block wrap wrapper container section inner outer posts links link buttons button items item module slot unit panel form icons".split())
+#: Elements that a class may mark; a paragraph or a heading of an article keeps its text whatever its class.
+HOLDERS = frozenset("article aside center dd details dir div dl fieldset figure footer form header hgroup li menu nav ol section span table tr td ul".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset(("header", "masthead", "banner"))
-#: Different pages of a host, and share of them without the commonest variant, that let a branch count as the site's own.
-LEAST_PAGES, MOST_DIFFERENT = 8, 0.1
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Different pages of a host that make its tree count; importance up to which a branch is the site's own; the share of its most important sibling's.
+LEAST_PAGES, LEAST_IMPORTANCE, LEAST_SHARE = 8, 0.1, 0.65
 IMPLIED = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 IMPLIED = {k: frozenset(v.split()) for k, v in IMPLIED.items()}
+LISTS = ("ul", "ol", "dl", "table", "select")
 SCOPES = frozenset("table ul ol dl article section div aside nav footer header main body form blockquote td th li".split())
 
 
 class Node:
-    __slots__ = ("tag", "style", "path", "children", "parent", "noise", "main")
+    __slots__ = ("tag", "style", "branch", "children", "parent", "noise", "main", "unseen")
+
+    def __init__(self, tag, style, branch, parent, noise, main, unseen):
+        self.tag, self.style, self.branch, self.parent, self.noise, self.main, self.unseen, self.children = tag, style, branch, parent, noise, main, unseen, []
+
+
+class Reader:
+    """Reads the tags of a page from left to right. A search that finds nothing is not made again, so all is linear."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """The attributes from here, whether the tag closes itself, and the place after its `>`; -1 if the page ends first."""
+        out: dict[str, str] = {}
+        page, n = self.page, len(self.page)
+        while at < n:
+            if page[at] == ">":
+                return out, page[at - 1] == "/", at + 1
+            m = ATTRIBUTE.match(page, at)
+            start, at = at, m.end()
+            value = ""
+            if m[2] and at < n:
+                if page[at] in "\"'":
+                    end = self.find(page[at], at + 1)
+                    if end < 0:
+                        return out, False, -1
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    u = UNQUOTED.match(page, at)
+                    value, at = u[0], u.end()
+            if m[1]:
+                out.setdefault(m[1].lower(), value)
+            elif at == start:
+                at += 1
+        return out, False, -1
+
+
+def _marked(values: str) -> set[str]:
+    """The marks among class or id values; one joined of several words counts if it has no words but marks and places."""
+    out = set()
+    for value in values.lower().split():
+        if value in MARKS:
+            out.add(value)
+            continue
+        parts = [w for w in re.split(r"[^a-z]+", value) if w]
+        hits = MARKS.intersection(parts)
+        if hits and all(w in MARKS or w in PLACES for w in parts):
+            out |= hits
+    return out
 
-    def __init__(self, tag, style, path, parent, noise, main):
-        self.tag, self.style, self.path, self.parent, self.noise, self.main, self.children = tag, style, path, parent, noise, main, []
 
+class Builder:
+    """Open elements, with the depths at which each tag, block and scope is open, so no search walks up the tree."""
+
+    def __init__(self):
+        self.root = Node("#root", "", 0, None, False, False, False)
+        self.stack, self.open, self.blocks, self.scopes, self.nodes = [self.root], {}, [0], [0], [self.root]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.open.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCKS:
+            self.blocks.append(depth)
+        if node.tag in SCOPES:
+            self.scopes.append(depth)
+
+    def pop_to(self, depth: int) -> None:
+        """Closes the element at this depth and all inside it."""
+        while len(self.stack) > depth:
+            self.open[self.stack.pop().tag].pop()
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
+        while self.scopes[-1] >= depth:
+            self.scopes.pop()
+
+    def last(self, tag: str) -> int:
+        depths = self.open.get(tag)
+        return depths[-1] if depths else 0
+
+    def close(self, tag: str) -> None:
+        depth = self.last(tag)
+        if depth and not (tag not in BLOCKS and self.blocks[-1] > depth) and not (tag == "p" and self.scopes[-1] > depth):
+            self.pop_to(depth)
+
+    def imply(self, tag: str) -> None:
+        """A block closes an open paragraph; an item or a cell the one before it."""
+        if self.blocks[-1] and self.stack[self.blocks[-1]].tag == "p":
+            self.pop_to(self.blocks[-1])
+        ends = IMPLIED.get(tag)
+        if ends:
+            floor = max(map(self.last, LISTS))
+            inside = [d for d in map(self.last, ends) if d > floor]
+            if inside:
+                self.pop_to(min(inside))
+
+    def add(self, tag: str, attrs: dict[str, str]) -> Node:
+        parent = self.stack[-1]
+        names, name = entities.unescape(attrs.get("class", "")), entities.unescape(attrs.get("id", ""))
+        style = re.sub(r"\d{2,}", "0", ".".join([tag, *sorted(set(names.lower().split())), *(["#" + name.lower()] if name else [])]))
+        role = attrs.get("role", "").lower()
+        noise = parent.noise or tag in NEVER or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        if not noise and tag in HOLDERS and (names or name):
+            marks = _marked(f"{names} {name}")
+            # an article's own title block is kept
+            noise = bool(marks) and (tag == "article" or not (parent.main and marks <= HEADINGS))
+        if not noise and tag == "header" and not parent.main:
+            noise = "header" in HEADINGS
+        main = parent.main or tag in MAIN or (bool(MAIN) and (role in ("main", "article") or attrs.get("itemprop", "") == "articleBody"))
+        branch = xxhash.xxh64_intdigest(f"{parent.branch}/{style}".encode(), 7) >> 1 if tag in BLOCKS and tag != "p" else parent.branch
+        node = Node(tag, style, branch, parent, noise, main, parent.unseen or tag in UNSEEN)
+        parent.children.append(node)
+        self.nodes.append(node)
+        return node
 
-def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
+def tree(page: str | None) -> list[Node]:
+    """All elements of a page, parents first. Tolerates unclosed and stray tags; a block start closes an open paragraph.
 
-def parse(page: str | None) -> Node:
-    """A tree of elements and strings. Tolerates unclosed and stray tags; a block start closes an open paragraph."""
-    root = Node("#root", "", "", None, False, False)
-    at, node = 0, root
+    A tag that the page's end cuts off is dropped. Takes time and memory in proportion to the page.
+    """
     page = page or ""
+    reader, built = Reader(page), Builder()
+    at = 0
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            node.children.append(page[at:])
+        lt = reader.find("<", at)
+        if lt < 0:
+            built.stack[-1].children.append(page[at:])
             break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        kind = page[lt + 1 : lt + 2]
+        end_tag = kind == "/"
+        m = NAME.match(page, lt + 1 + end_tag)
+        if m is None:
+            if kind in ("!", "?") or end_tag:
+                if lt > at:
+                    built.stack[-1].children.append(page[at:lt])
+                comment = page.startswith("<!--", lt)
+                end = reader.find("-->" if comment else ">", lt + 2)
+                at = len(page) if end < 0 else end + (3 if comment else 1)
+            else:
+                built.stack[-1].children.append(page[at : lt + 1])
+                at = lt + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = _close(node, tag)
+        if lt > at:
+            built.stack[-1].children.append(page[at:lt])
+        tag = m[0].lower()
+        attrs, closed, at = reader.attributes(m.end())
+        if at < 0:
+            break
+        if end_tag:
+            built.close(tag)
             continue
         if tag in BLOCKS:
-            node = _imply(node, tag)
-        raw = m[3]
-        attrs = attributes(raw) if raw else {}
-        marks = [w for w in re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()) if w]
-        style = ".".join([tag, *sorted(set(attrs.get("class", "").lower().split())), attrs.get("id", "").lower() and f"#{attrs['id'].lower()}"])
-        in_article = node.main
-        noise = node.noise or tag in NEVER or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        if not noise and tag not in ("html", "body", *MAIN) and any(w in MARKS for w in marks):
-            # an article's own title block is kept
-            noise = not (in_article and all(w in HEADINGS for w in marks if w in MARKS))
-        if not noise and tag == "article" and any(w in MARKS for w in marks):
-            noise = True
-        if not noise and tag == "header" and not in_article:
-            noise = True
-        main = node.main or tag in MAIN or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "") == "articleBody"
-        child = Node(tag, style, f"{node.path}/{style}" if tag in BLOCKS and tag != "p" else node.path, node, noise, main)
-        node.children.append(child)
+            built.imply(tag)
+        node = built.add(tag, attrs)
         if tag in RAW:
             end = RAW[tag].search(page, at)
-            if tag == "textarea" or tag == "title":
-                child.children.append(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (raw and raw.endswith("/") and tag not in BLOCKS):
-            node = child
-    return root
-
-
-def _close(node: Node, tag: str) -> Node:
-    x = node
-    while x.parent is not None and x.tag != tag:
-        if tag not in BLOCKS and x.tag in BLOCKS:
-            return node  # an inline end tag doesn't close a block
-        if tag == "p" and x.tag in SCOPES:
-            return node
-        x = x.parent
-    return x.parent if x.parent is not None else node
-
-
-def _imply(node: Node, tag: str) -> Node:
-    x = node
-    while x.parent is not None:
-        if x.tag == "p":
-            node = x.parent
-            break
-        if x.tag in SCOPES or x.tag in BLOCKS:
-            break
-        x = x.parent
-    ends = IMPLIED.get(tag)
-    if ends:
-        x = node
-        while x.parent is not None:
-            if x.tag in ends:
-                return x.parent
-            if x.tag in ("ul", "ol", "dl", "table", "select"):
+            if tag in ("textarea", "title"):
+                node.children.append(page[at : end.start() if end else len(page)])
+            if end is None:
                 break
-            x = x.parent
-    return node
+            gt = reader.find(">", end.end())
+            at = len(page) if gt < 0 else gt + 1
+        elif tag not in VOID and not (closed and tag not in BLOCKS):
+            built.push(node)
+    return built.nodes
+
+
+def parse(page: str | None) -> Node:
+    return tree(page)[0]
 
 
 def blocks(root: Node, low: frozenset[int] | set[int]) -> list[str]:
@@ -151,7 +252,7 @@ def blocks(root: Node, low: frozenset[int] | set[int]) -> list[str]:
         if x.tag == "br":
             held.append(" ")
             continue
-        if x.noise or (x.tag in BLOCKS and low and not x.main and branch(x.path) in low):
+        if x.noise or x.unseen or (x.tag in BLOCKS and low and not x.main and x.branch in low):
             if x.tag in BLOCKS:
                 flush()
             continue
@@ -163,86 +264,56 @@ def blocks(root: Node, low: frozenset[int] | set[int]) -> list[str]:
     return out
 
 
-def branch(path: str) -> int:
-    return xxhash.xxh64_intdigest(path.encode(), 7) >> 1
-
-
 def _main(root: Node) -> list[Node]:
-    """The outermost article or main elements; the article inside a main rather than the main."""
+    """The outermost article and main elements, in page order."""
     found, stack = [], [root]
     while stack:
         x = stack.pop()
-        for c in reversed(x.children):
-            if isinstance(c, Node) and not c.noise:
-                if c.tag == "article" or c.tag == "main" or (c.main and not x.main):
-                    found.append(c)
-                else:
-                    stack.append(c)
-    inner = []
-    for c in found:
-        articles = [] if c.tag == "article" else _articles(c)
-        inner.extend(articles or [c])
-    return inner
+        if x.main:
+            found.append(x)
+        else:
+            stack.extend(c for c in reversed(x.children) if isinstance(c, Node) and not c.noise and not c.unseen)
+    return found
 
 
-def _articles(root: Node) -> list[Node]:
-    out, stack = [], [root]
-    while stack:
-        x = stack.pop(0)
-        for c in x.children:
-            if isinstance(c, Node) and not c.noise:
-                if c.tag == "article":
-                    out.append(c)
-                else:
-                    stack.append(c)
-    return out
+def _extract(root: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
+    return "\n\n".join(t for x in _main(root) or [root] for t in blocks(x, low))
 
 
 def extract(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    root = parse(page)
-    parts = []
-    for x in _main(root) or [root]:
-        parts += blocks(x, low)
-    return "\n\n".join(parts)
-
-
-def _text(x: Node) -> str:
-    parts, stack = [], [x]
-    while stack:
-        y = stack.pop()
-        if isinstance(y, str):
-            parts.append(y)
-        else:
-            stack.extend(reversed(y.children))
-    return " ".join("".join(parts).split())
+    return _extract(parse(page), low)
 
 
-def branches(page: str | None) -> list[tuple[int, int, int, int]]:
-    """(copy, branch, content, children's presentation) of each block branch that is not noise by its own markup.
+def branches(page: str | None) -> list[tuple[int, int, int, int, int, bool]]:
+    """(copy, branch, parent, content, presentation, titled) of each block branch with text.
 
     A branch is the path of element names, classes and ids; paragraphs and inline elements belong to their branch. A page
-    has a branch once, with the contents of all its nodes in order. Articles and main elements and what is in them are left
-    out. Pages with the same text have the same value of copy.
+    has a branch once, with the contents of all its nodes in order, their children's styles as presentation, and whether a
+    heading is in it. Branches inside articles and main elements are left out. Pages with the same main text have the same
+    value of copy.
     """
-    root = parse(page)
-    nodes: dict[int, tuple[list[str], list[str]]] = {}
-    stack = [root]
-    while stack:
-        x = stack.pop()
-        inner = [c for c in x.children if isinstance(c, Node) and not c.noise and not c.main]
-        for c in inner:
-            if c.tag in BLOCKS and c.tag not in ("html", "body", "p"):
-                text = _text(c)
-                if text:
-                    contents, styles = nodes.setdefault(branch(c.path), ([], []))
-                    contents.append(text)
-                    styles.append(">".join(k.style for k in c.children if isinstance(k, Node)))
-        stack.extend(reversed(inner))
-    if not nodes:
+    nodes = tree(page)
+    content: dict[int, bytes] = {}
+    titled: set[int] = set()
+    for x in reversed(nodes):
+        parts = [content.get(id(c), b"") if isinstance(c, Node) else " ".join(c.split()).encode() for c in x.children if isinstance(c, str) or not c.unseen]
+        parts = [p for p in parts if p]
+        if parts:
+            content[id(x)] = xxhash.xxh64_digest(b"\0".join(parts))
+        if x.parent is not None and (x.tag in TITLES or id(x) in titled):
+            titled.add(id(x.parent))
+    found: dict[int, tuple[int, list[bytes], list[str], list[bool]]] = {}
+    for x in nodes[1:]:
+        if x.tag in BLOCKS and x.tag not in ("html", "body", "p") and not x.unseen and not x.parent.main and id(x) in content:
+            _, contents, styles, heads = found.setdefault(x.branch, (x.parent.branch, [], [], []))
+            contents.append(content[id(x)])
+            styles.append(">".join(k.style for k in x.children if isinstance(k, Node)))
+            heads.append(x.tag in TITLES or id(x) in titled)
+    if not found:
         return []
-    of = lambda parts: xxhash.xxh64_intdigest("\0".join(parts).encode()) >> 1
-    copy = of(blocks(root, frozenset()))
-    return [(copy, b, of(contents), of(styles)) for b, (contents, styles) in nodes.items()]
+    of = lambda data: xxhash.xxh64_intdigest(data) >> 1
+    copy = of(_extract(nodes[0]).encode())
+    return [(copy, b, parent, of(b"\0".join(contents)), of("\0".join(styles).encode()), any(heads)) for b, (parent, contents, styles, heads) in found.items()]
 
 
 def host_of(url):
@@ -250,46 +321,62 @@ def host_of(url):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, branch, pages, importance): the merged trees of each host's different pages.
+    """(host, branch, parent, pages, titled, content, presentation, importance): the merged trees of each host's different pages.
 
-    Pages of a host with the same text, repeated rows among them, count as one. importance joins presentation and content:
-    of either, the share of a branch's pages that don't have its commonest variant, from 0 (all pages the same); neither
-    more pages nor copies make it smaller.
+    Pages of a host with the same main text, repeated rows among them, count as one. Content and presentation have the
+    collision entropy of their variants over a branch's pages, in units of that of LEAST_PAGES different ones and 1 at
+    most: 0 where all pages are the same, and neither more pages nor copies make it smaller. importance is their mean.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = [(h, *b) for h, page in zip(x["host"], x["html"], strict=True) for b in branches(page)]
             if rows:
-                yield pd.DataFrame(rows, columns=["host", "copy", "branch", "content", "style"])
+                yield pd.DataFrame(rows, columns=["host", "copy", "branch", "parent", "content", "style", "titled"])
 
-    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, copy long, branch long, content long, style long")
+    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, copy long, branch long, parent long, content long, style long, titled boolean")
     # copies can differ in markup; one of them is taken
-    once = nodes.groupBy("host", "branch", "copy").agg(F.min("content").alias("content"), F.min("style").alias("style"))
-    counts = staged(once.groupBy("host", "branch", "content", "style").agg(F.count("*").alias("n")), "sst-variants")
-
-    def different(of: str) -> DataFrame:
-        sums = counts.groupBy("host", "branch", of).agg(F.sum("n").alias("n")).groupBy("host", "branch")
-        return sums.agg(F.sum("n").alias("pages"), F.max("n").alias("most")).select("host", "branch", "pages", (1 - F.col("most") / F.col("pages")).alias(of))
+    once = nodes.groupBy("host", "branch", "copy").agg(F.min("content").alias("content"), F.min("style").alias("style"), F.min("parent").alias("parent"), F.max("titled").alias("titled"))
+    counts = once.groupBy("host", "branch", "content", "style").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.max("titled").alias("titled"))
+    counts = staged(counts, "sst-variants")
+
+    def entropy(of: str) -> DataFrame:
+        sums = counts.groupBy("host", "branch", of).agg(F.sum("n").alias("n"), F.min("parent").alias("parent"), F.max("titled").alias("titled")).groupBy("host", "branch")
+        sums = sums.agg(F.sum("n").alias("pages"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.min("parent").alias("parent"), F.max("titled").alias("titled"))
+        value = F.least(F.lit(1.0), F.log(F.col("pages") * F.col("pages") / F.col("squares")) / math.log(LEAST_PAGES))
+        return sums.select("host", "branch", "parent", "pages", "titled", value.alias(of))
+
+    both = entropy("content").join(entropy("style").select("host", "branch", F.col("style").alias("presentation")), ["host", "branch"])
+    out = staged(both.withColumn("importance", (F.col("content") + F.col("presentation")) / 2), "sst-tree")
+    drop(counts)
+    return out
 
-    both = different("content").join(different("style").drop("pages"), ["host", "branch"])
-    return both.select("host", "branch", "pages", (0.9 * F.col("content") + 0.1 * F.col("style")).alias("importance"))
 
+def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE, share: float = LEAST_SHARE) -> DataFrame:
+    """(host, low): branches that at least least_pages of a host's pages have and whose importance is low.
 
-def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, most_different: float = MOST_DIFFERENT) -> DataFrame:
-    """(host, low): branches that many of a host's pages share with hardly any difference in content and presentation."""
-    low = tree.where((F.col("pages") >= least_pages) & (F.col("importance") <= most_different))
+    It is if it is no more than `least`, so that all pages say the same; or, for a branch without a heading, no more than
+    `share` of that of its most important sibling found on at least half as many pages as any of them.
+    """
+    siblings = Window.partitionBy("host", "parent")
+    tree = tree.where(F.col("pages") >= least_pages).withColumn("most", F.max("pages").over(siblings))
+    best = F.max(F.when(2 * F.col("pages") >= F.col("most"), F.col("importance"))).over(siblings)
+    low = tree.withColumn("best", best).where((F.col("importance") <= least) | (~F.col("titled") & (F.col("importance") <= share * F.col("best"))))
     return low.groupBy("host").agg(F.collect_list("branch").alias("low"))
 
 
 def extract_pages(pages: DataFrame, keep=()) -> DataFrame:
     """page_id, url, the columns in keep, text and n_chars: each page's main text, from the whole html.
 
-    Branches go that markup names as menu, header, footer, sidebar, notice, advert, form, script, style or comments, and
-    branches outside articles and main elements that the host's style tree finds of low importance. If a page has an article, or else a main element, only
-    that is taken. Blocks have white space turned into single spaces, references decoded, and are joined by two newlines.
+    Branches outside articles and main elements that the host's style tree finds of low importance go, and those that
+    markup names as menu, header, footer, sidebar, notice, advert, form, script, style or comments, which is all there is
+    to go by on a host with few pages. If a page has article or main elements, the outermost of them are taken, in page
+    order, with all in them but such markup. Blocks have white space turned into single spaces, references decoded, and are
+    joined by two newlines.
+
     Null and empty html give an empty text; pages with a null url, or one without a host, share a tree; repeated rows
-    repeat; an empty table gives an empty result.
+    repeat; branches of equal importance have the same fate; very long and malformed pages are parsed whole in linear time;
+    an empty table gives an empty result. Other columns are ignored; those in keep must not be called text or n_chars.
     """
     low = staged(low_branches(style_tree(pages)), "sst-low")
     columns = list(dict.fromkeys(["page_id", "url", *keep]))

@@ -269,6 +269,55 @@ def test_op5_contents_that_recur_in_articles(spark):
     assert got[4000] == "Welcome to our site\n\nStory 0 is told here."
 
 
+def test_op5_order_and_own_text_of_main():
+    x = html_extract.extract
+    assert x("<main><div><article>A</article></div><article>B</article></main>") == "A\n\nB"
+    assert x("<article>A</article><div><article>B</article></div><article>C</article>") == "A\n\nB\n\nC"
+    assert x("<main><h1>Title</h1><p>Lead.</p><article>Body</article></main>") == "Title\n\nLead.\n\nBody"
+    assert x("<article><p class='share-price'>Up 3 %.<p class=top>Top.<div class='search-history'>Kept</div><div class='main-menu'>Gone</div></article>") == "Up 3 %.\n\nTop.\n\nKept"
+    assert x("<p title=it's>Hello <a href=x>you</a><p data-x=\"a>b\" hidden>no<p>So") == "Hello you\n\nSo"
+    assert x("<p>One</p><!-- <p>no -->two<!doctype x><?php no ?></ >three") == "One\n\ntwothree"
+    assert x("<b>a<p>b</b>c</p>d") == "a\n\nbc\n\nd" and x("<p>a</i></b></div>b") == "ab"
+
+
+@pytest.mark.parametrize("page", ["<a" * 50_000, "<a href=" * 12_000, "<p b='" * 16_000, "<!" * 50_000, "<div>" * 20_000 + "x", "<b><div>" + "<i>" * 15_000 + "</b>" * 15_000, "<p>x" * 25_000, "</p>" * 25_000, "<li>" * 25_000, "< " * 50_000, "&lt" * 33_000, "<script>" * 12_000, "<a b" + " " * 100_000])
+def test_op5_malformed_and_deep_pages_in_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_extract.extract(page), html_extract.branches(page)
+    assert time.process_time() - start < 1.5
+
+
+def test_op5_tree_alone(spark, monkeypatch):
+    """With the lists of marks emptied, the tree by itself removes menus and adverts of a host of 20 pages."""
+    for name in ("NEVER", "ROLES", "MARKS", "MAIN", "HEADINGS"):
+        monkeypatch.setattr(html_extract, name, frozenset())
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    body, rows = [], []
+    for i in range(20):
+        body.append([f"Story {i}"] + [words(int(rng.integers(5, 60))) for _ in range(int(rng.integers(1, 14)))])
+        story = f"<h1>{body[i][0]}</h1>" + "".join(f"<p>{p}</p>" for p in body[i][1:])
+        rows.append((i, "http://h.example/" + str(i), f"<body><nav><ul><li><a href=/>Home</a><li>About</ul></nav><div class=ad>{words(9)}</div><div class=story>{story}</div><div class=foot>Imprint</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    low = html_extract.low_branches(html_extract.style_tree(df)).first()["low"]
+    for i, _, page in rows:
+        assert html_extract.extract(page, frozenset(low)) == "\n\n".join(body[i])
+
+
+def test_op5_tree_alone_on_the_tables(spark, monkeypatch):
+    """On hosts of the supplied pages that have enough different pages, the tree by itself leaves the article."""
+    for name in ("NEVER", "ROLES", "MARKS", "MAIN", "HEADINGS"):
+        monkeypatch.setattr(html_extract, name, frozenset())
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", html_extract.host_of(F.col("url")))
+    low = {r["host"]: frozenset(r["low"]) for r in html_extract.low_branches(html_extract.style_tree(pages)).collect()}
+    assert len(low) >= 5
+    for r in pages.where(F.col("host").isin(list(low))).collect():
+        inner = re.search(r"(?s)<article>(.*?)</article>", r["html"])[0]
+        assert html_extract.extract(r["html"], low[r["host"]]) == html_extract.extract(inner)
+
+
 # ---- 6 language
 
 
