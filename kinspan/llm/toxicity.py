@@ -11,21 +11,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import held_out, in_share, staged
+from kinspan.llm.common import drop, held_out, in_share, staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that can vote as patterns.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: English insults that vote whatever the labels say.
-LEXICON = "idiot moron stupid loser trash scum pathetic worthless disgusting clown".split()
+#: Patterns of the way of writing that vote too: shouted words, runs of marks, masked words, direct address.
+PATTERNS = {
+    "#shout": re.compile(r"\b[A-Z]{4,}\b(?:\W+[A-Z]{4,}\b){2}"),
+    "#marks": re.compile(r"[!?]{3}"),
+    "#masked": re.compile(r"\b[A-Za-z]+[*@$#]{2,}[A-Za-z]*\b"),
+    "#address": re.compile(r"(?i)\byou(?:'re| are)? (?:all |such )?(?:a|an)\b"),
+}
 
 
 def features(text: str | None) -> set[str]:
-    """The words of a text and, marked by a star, their beginnings."""
+    """The words of a text, their beginnings (marked by a star) and the patterns found (by name)."""
     words = set(LETTERS.findall(text.lower())) if text else set()
     out = set(words)
     for n in BEGINNINGS:
         out.update(f"{w[:n]}*" for w in words if len(w) > n)
+    if text:
+        out.update(name for name, p in PATTERNS.items() if p.search(text))
     return out
 
 
@@ -37,9 +44,10 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     n = known.count()
-    lot = in_share(F.col("doc_id").cast("long"), min(1.0, most / max(n, 1)))
-    known = known.where(lot).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & lot)
+    name = F.col("doc_id").cast("string")
+    lot = in_share(name, min(1.0, most / max(n, 1)))
+    known = known.where(lot).groupBy(name.alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select(name.alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & lot)
     return texts.join(known, "doc_id")
 
 
@@ -69,19 +77,25 @@ def frequencies(rows: DataFrame, least: int, most: int = 40_000) -> list[tuple[s
     return [(f, n, n + other.get(f, 0)) for f, n in top.items()]
 
 
-def choose_voters(counts: list[tuple[str, int, int]], n: int, positive: int, most: int) -> list[str]:
-    """Features much more frequent in toxic documents than elsewhere; of nested ones the strongest, then the longest.
+def choose_voters(counts: list[tuple[str, int, int]], n: int, positive: int, most: int, least: float = 2.0, few: int = 10) -> list[str]:
+    """Features surely more frequent in toxic documents than elsewhere; of nested ones the surest, then the longest.
 
-    counts: (feature, toxic documents with it, all documents with it), of n documents of which `positive` are toxic.
+    counts: (feature, toxic documents with it, all documents with it), of n documents of which `positive` are toxic. A
+    feature is ranked by the log of how many times more frequent it is, less two standard errors of that, so one seen in a
+    few texts, as the rare words of copies are, does not vote; `least` is the least such value. Where no more than `few`
+    reach it, as with few labels, so many of those above 0.35 of it vote.
     """
     ranked = []
     for f, pos, all_ in counts:
         lift = math.log((pos + 0.5) / (positive + 1)) - math.log((all_ - pos + 0.5) / (n - positive + 1))
-        if lift > 2:
-            ranked.append((lift * math.sqrt(pos), f))
+        sure = lift - 2 * math.sqrt(1 / (pos + 0.5) + 1 / (all_ - pos + 0.5))
+        if sure > 0.35 * least:
+            ranked.append((sure, f))
     ranked.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     chosen: list[str] = []
-    for _, f in ranked:
+    for sure, f in ranked:
+        if sure <= least and len(chosen) >= few:
+            break
         stem = f.rstrip("*")
         # of nested features the stronger one votes
         if any(stem.startswith(c[:-1]) for c in chosen if c.endswith("*")) or (f.endswith("*") and any(c.rstrip("*").startswith(stem) for c in chosen)):
@@ -92,54 +106,81 @@ def choose_voters(counts: list[tuple[str, int, int]], n: int, positive: int, mos
     return chosen
 
 
+def correlations(votes: np.ndarray, least: float = 0.3) -> np.ndarray:
+    """How far two voters move together among the texts in which some third one fires, 0 where under `least`.
+
+    Independent voters of a class don't, whatever their class is; near-copies of a voter, and words of one kind of text, do.
+    """
+    m = votes.shape[1]
+    out, total = np.eye(m), votes.sum(axis=1)
+    for i in range(m):
+        for j in range(i):
+            here = total - votes[:, i] - votes[:, j] > 0
+            n = int(here.sum())
+            if not n:
+                continue
+            a, b = votes[here, i], votes[here, j]
+            pa, pb, both = a.mean(), b.mean(), (a @ b) / n
+            spread = math.sqrt(pa * (1 - pa) * pb * (1 - pb))
+            if spread and (both - pa * pb) / spread >= least:
+                out[i, j] = out[j, i] = min((both - pa * pb) / spread, 1.0)
+            elif pa * pb == 1:
+                out[i, j] = out[j, i] = 1.0
+    return out
+
+
 class LabelModel:
     """Two classes, voters that fire or abstain: how often each fires in either class, learnt with the class by EM.
 
-    The labels of the learning rows take part as one more voter that may err. A voter that abstains says nothing, since
-    toxic texts of different kinds have different words; only that none fires at all is evidence too. Voters that fire
-    together more than their classes explain are correlated; the evidence of each is divided by the number of voters that
-    it moves with, so a group of near-copies counts about once.
+    Only the votes are looked at: what tells the classes apart is which voters fire in the same texts. EM starts from the
+    texts in which two voters or groups of them agree. A voter that abstains says nothing, since toxic texts of different kinds have different
+    words; only that none fires at all is evidence too. In each text the evidence of a voter is divided by the number of voters
+    firing there that it is correlated with, so a group of near-copies counts about once.
     """
 
-    def __init__(self, votes: np.ndarray, given: np.ndarray, rounds: int = 20):
-        n = len(votes)
-        post = 0.02 + 0.93 * given
+    def __init__(self, votes: np.ndarray, rounds: int = 10):
         some = votes.any(axis=1)
+        self.together = correlations(votes)
+        agree = (votes / np.maximum(votes @ self.together, 1.0)).sum(axis=1)
+        post = np.select([agree >= 1.5, some], [0.98, 0.4], 0.02)
         for _ in range(rounds):
-            self.prior = min(max(float(post.mean()), 1e-3), 0.5)
+            self.prior = min(max(float(post.mean()) if len(post) else 0.5, 1e-3), 0.5)
             one, two = post.sum(), (1 - post).sum()
             self.fires = np.stack([((1 - post) @ votes + 0.02) / (two + 1.0), (post @ votes + 0.02) / (one + 1.0)])
             none = np.array([((1 - post) @ ~some + 0.5) / (two + 1), (post @ ~some + 0.5) / (one + 1)])
             self.silent = float(np.log(none[1] / none[0]))
-            right = [np.clip(((1 - post) @ (1 - given) + 1) / (two + 2), 0.6, 0.99), np.clip((post @ given + 1) / (one + 2), 0.6, 0.99)]
-            rest = votes - np.outer(1 - post, self.fires[0]) - np.outer(post, self.fires[1])
-            spread = np.sqrt((rest * rest).mean(axis=0)) + 1e-9
-            corr = np.clip((rest.T @ rest) / n / np.outer(spread, spread), 0, 1)
-            corr[corr < 0.3] = 0
-            np.fill_diagonal(corr, 1.0)
-            self.weight = 1 / corr.sum(axis=0)
-            self.label = np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0])
-            post = self.posterior(votes, given)
-
-    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
-        on = np.log(self.fires[1] / self.fires[0]) * self.weight
-        z = math.log(self.prior / (1 - self.prior)) + np.where(votes.any(axis=1), votes @ on, self.silent)
-        z = z + np.where(given > 0, *self.label)
+            post = self.posterior(votes)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        on = votes * np.log(self.fires[1] / self.fires[0]) / np.maximum(votes @ self.together, 1.0)
+        z = math.log(self.prior / (1 - self.prior)) + np.where(votes.any(axis=1), on.sum(axis=1), self.silent)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_linear(x: np.ndarray, y: np.ndarray, decay: float = 2e-3, rounds: int = 400) -> tuple[float, np.ndarray]:
-    """Logistic regression on soft labels by accelerated gradient descent; weights are kept from falling below 0."""
-    w, bias = np.zeros(x.shape[1]), -2.0
+def oriented(post: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Posteriors of the class that the given labels call toxic: of the two, the one more frequent among those labelled so."""
+    if given.any() and not given.all() and post[given > 0].mean() < post[given == 0].mean():
+        return 1 - post
+    return post
+
+
+def train_linear(hits: list[list[int]], columns: int, y: np.ndarray, decay: float = 3e-4, rounds: int = 300) -> tuple[float, np.ndarray]:
+    """Logistic regression on soft labels by accelerated gradient descent; weights are kept from falling below 0.
+
+    hits: for each row the columns that are 1 in it.
+    """
+    w, bias = np.zeros(columns), -2.0
     momentum, mb = np.zeros_like(w), 0.0
-    n = max(len(x), 1)
+    n = max(len(hits), 1)
+    row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    col = np.array([c for h in hits for c in h], np.int64)
     # classes weigh alike
     share = min(max(y.mean() if len(y) else 0.5, 1e-3), 0.999)
     each = (y / share + (1 - y) / (1 - share)) / 2
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(bias + x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[col], len(hits)), -30, 30)))
         g = (p - y) * each
-        momentum = 0.9 * momentum + x.T @ g / n + decay * w
+        momentum = 0.9 * momentum + np.bincount(col, g[row], columns) / n + decay * w
         mb = 0.9 * mb + g.mean() if len(g) else 0.0
         w, bias = np.maximum(w - 1.0 * momentum, 0.0), bias - 0.5 * mb
     return bias, w
@@ -151,6 +192,7 @@ class Model:
 
     def scorer(self, limit: int = 400_000):
         weights, bias, lengths = self.weights, self.bias, BEGINNINGS
+        patterns = [(name, p) for name, p in PATTERNS.items() if name in weights]
         met: dict[str, tuple[str, ...]] = {}
 
         def score(text: str | None) -> float:
@@ -163,6 +205,7 @@ class Model:
                     f = met[w] = tuple(x for x in (w, *[f"{w[:n]}*" for n in lengths if len(w) > n]) if x in weights)
                 if f:
                     hits.update(f)
+            hits.update(name for name, p in patterns if text and p.search(text))
             z = bias + sum(weights[f] for f in sorted(hits))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -172,17 +215,21 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_voters: int = 80, most_features: int = 1500) -> Model:
     """Learns from at most about most_rows labelled rows that are not held out.
 
-    Voters are chosen by their lift among these rows, on top of the given lexicon; the label model turns their votes into
-    posterior labels, and the classifier is trained on those over most_features words and beginnings, so it also knows
-    words that no voter has. Without labelled rows the lexicon alone votes.
+    The lexicon is drawn from these rows: words, word beginnings and patterns of writing surely more frequent in those
+    labelled toxic become voters. The label model learns from the votes alone how far each can be trusted and which move together;
+    the labels only say which of its classes is the toxic one. The classifier is trained on the posterior labels over
+    most_features words and beginnings, so it also knows words that no voter has. Without rows labelled toxic, or a
+    feature that votes, all texts get the same low score.
     """
     rows = staged(learning_rows(docs, labels, most_rows), "toxic-learning")
     n, positive = rows.agg(F.count("*"), F.sum("toxic")).first()
     positive = int(positive or 0)
     if not n or not positive:
-        return Model(-3.0, {w: 5.0 for w in LEXICON})
+        return Model(-3.0, {})
     counts = frequencies(rows, min(3, positive))
-    voters = list(dict.fromkeys([*choose_voters(counts, n, positive, most_voters), *LEXICON]))
+    voters = choose_voters(counts, n, positive, most_voters)
+    if not voters:
+        return Model(-3.0, {})
     by_lift = sorted(counts, key=lambda c: (-(math.log((c[1] + 0.5) / (positive + 1)) - math.log((c[2] - c[1] + 0.5) / (n - positive + 1))) * math.sqrt(c[1]), c[0]))
     names = list(dict.fromkeys([*voters, *[c[0] for c in by_lift[:most_features]]]))
     place = {f: i for i, f in enumerate(names)}
@@ -192,24 +239,22 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_voters
             yield pd.DataFrame({"toxic": x["toxic"], "hits": [sorted(place[f] for f in features(t) if f in place) for t in x["text"]]})
 
     found = rows.select("text", "toxic").mapInPandas(run, "toxic int, hits array<int>").collect()
-    x = np.zeros((len(found), len(names)), np.float32)
-    for i, r in enumerate(found):
-        x[i, r["hits"]] = 1
-    given = np.array([r["toxic"] for r in found], float)
-    votes = x[:, : len(voters)].astype(float)
-    post = LabelModel(votes, given).posterior(votes, given)
-    # what the lexicon says without labels: three made-up texts of each word alone, which few learning rows outweigh
-    alone = np.zeros((3 * len(LEXICON), len(names)), np.float32)
-    for i, word in enumerate(LEXICON * 3):
-        alone[i, [place[f] for f in features(word) if f in place]] = 1
-    bias, w = train_linear(np.concatenate([x, alone]), np.concatenate([post, np.full(len(alone), 0.95)]))
+    drop(rows)
+    hits = [r["hits"] for r in found]
+    votes = np.zeros((len(hits), len(voters)))
+    for i, h in enumerate(hits):
+        votes[i, [c for c in h if c < len(voters)]] = 1
+    post = oriented(LabelModel(votes).posterior(votes), np.array([r["toxic"] for r in found], float))
+    bias, w = train_linear(hits, len(names), post)
     return Model(float(bias), {f: float(v) for f, v in zip(names, w, strict=True) if v > 1e-3})
 
 
 def score(docs: DataFrame, model: Model, keep=()) -> DataFrame:
     """Adds score to doc_id and the columns in keep, from the whole text only.
 
-    Null and empty texts have no feature and get the score of the bias alone; rows stay one to one, repeated ones too.
+    Null and empty texts have no feature and get the score of the bias alone; equal texts have equal scores; texts of any
+    length are read whole. Rows stay one to one, repeated ones and null ids too; an empty table gives an empty result.
+    Other columns are ignored; those in keep must not be called score.
     """
     box = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     columns = list(dict.fromkeys(["doc_id", *[c for c in keep if c != "text"]]))

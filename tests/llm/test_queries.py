@@ -59,37 +59,43 @@ def test_equals_sql(spark, sf, name):
 # ---- 1 toxicity
 
 
-def test_op1_held_out(spark, sf):
-    """Documents with a word of the lexicon are toxic; others hardly ever are found so."""
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+def test_op1_held_out(spark):
+    """Of held-out documents, those labelled toxic are found, others hardly ever; scores are of the whole text alone."""
+    sf = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = QUERIES["op1_toxicity"](spark, sf).collect()
-    assert len(rows) == len(docs)
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
         assert r["predicted"] == int(r["score"] >= 0.7)
-    bad = lambda t: set(re.findall(r"\w+", t.lower())) & set(toxicity.LEXICON)
-    hits = [r["predicted"] for r in rows if bad(docs[r["doc_id"]])]
-    clean = [r["predicted"] for r in rows if not bad(docs[r["doc_id"]])]
-    assert sum(hits) >= 0.8 * len(hits) and sum(clean) <= 0.05 * len(clean)
+    toxic = [r["predicted"] for r in rows if r["held_out"] and label.get(r["doc_id"]) == 1]
+    clean = [r["predicted"] for r in rows if r["held_out"] and label.get(r["doc_id"]) == 0]
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.03 * len(clean)
 
 
-def test_label_model_tells_voters_apart():
+def test_label_model_without_labels():
+    """Which voters can be trusted, and which are copies, is learnt from the votes alone."""
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    fires = np.array([[0.002, 0.5], [0.002, 0.5], [0.3, 0.3], [0.01, 0.4]])
-    votes = (rng.random((4000, 4)) < fires[:, y.astype(int)].T).astype(float)
+    y = rng.random(6000) < 0.2
+    fires = np.array([[0.002, 0.5], [0.002, 0.5], [0.02, 0.02], [0.004, 0.4], [0.003, 0.35], [0.005, 0.45]])
+    votes = (rng.random((6000, 6)) < fires[:, y.astype(int)].T).astype(float)
     votes[:, 1] = votes[:, 0]  # a copy
-    given = np.where(rng.random(4000) < 0.1, 1 - y, y).astype(float)
-    m = toxicity.LabelModel(votes, given)
-    assert m.weight[0] == pytest.approx(0.5, abs=0.1) and m.weight[3] > 0.9
-    assert m.fires[1][0] / m.fires[0][0] > 20 and m.fires[1][2] / m.fires[0][2] < 3
-    assert ((m.posterior(votes, given) > 0.5) == y).mean() > ((given > 0.5) == y).mean()
+    m = toxicity.LabelModel(votes)
+    assert m.together[0, 1] > 0.9 and m.together[0, 3] == m.together[3, 5] == 0
+    assert all(abs(m.fires[1][i] - fires[i][1]) < 0.1 for i in (0, 3, 4, 5))
+    lift = m.fires[1] / m.fires[0]
+    assert min(lift[[0, 3, 4, 5]]) > 5 * lift[2]
+    found = toxicity.oriented(m.posterior(votes), np.where(rng.random(6000) < 0.1, 1 - y, y).astype(float)) > 0.5
+    assert (found == y).mean() > 0.93 and (toxicity.oriented(1 - m.posterior(votes), y.astype(float)) > 0.5).mean() == found.mean()
 
 
 def test_op1_dirty(spark, dirty):
     labels = spark.createDataFrame([(1, 1, 1), (None, 0, 1), (3, None, None), (9, 1, 0)], "doc_id long, quality int, toxic int")
     m = toxicity.fit(dirty, labels)
     assert toxicity.score(dirty, m).count() == len(DIRTY)
+    named = spark.createDataFrame([(f"doc-{i}", "you scum" if i % 4 == 0 else "good day to you", int(i % 4 == 0)) for i in range(600)], "doc_id string, text string, toxic int")
+    got = toxicity.score(named, toxicity.fit(named, named.drop("text")), keep=["toxic"]).collect()
+    assert len(got) == 600 and min(r["score"] for r in got if r["toxic"]) > 3 * max(r["score"] for r in got if not r["toxic"])
     assert toxicity.score(dirty.limit(0), toxicity.fit(dirty.limit(0), labels.limit(0))).count() == 0
 
 
@@ -178,6 +184,8 @@ def test_op3_held_out_hosts():
     bias, w = url_filter.train()
     score = lambda h: bias + sum(w[x] for x in url_filter.grams(h, "en/5")) / math.sqrt(len(url_filter.grams(h, "en/5")))
     assert all(score(h) > 0 for h in ("www.online-casino.example.org", "cheap-viagra.example.com", "m.xxx-porn.example.net"))
+    names = [f"{'-'.join(p)}.{d}" for p in (("casino", "win"), ("free", "bets"), ("cheap", "pills")) for d in ("example.com", "example.org")]
+    assert not {n.split(".")[0] for n in names} & {h.rsplit(".", 2)[-2] for h, _, _ in url_filter.labelled_urls()} and all(score(h) > 0 for h in names)
     assert all(score(h) < 0 for h in ("www.town-museum.example.org", "ththre.example.com", "openlibrary.example.net"))
 
 
