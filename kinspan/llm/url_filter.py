@@ -13,32 +13,30 @@ from pyspark.sql import functions as F
 #: Rules as they are given: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-#: The labelled URL table: what hosts to keep out are made of, and hosts and paths to let through.
-BAD_HOSTS = "casino-win free-bets adult-x cheap-pills spam-farm ads-track poker-online xxx-videos porn-tube sexcams hot-girls lottery-jackpot slots-bonus viagra-pharmacy replica-watches payday-loans warez-crack torrent-free malware-drop phish-login popup-ads click-tracker ad-server betting-tips escort-service gambling-spin win-prize essay-mill crypto-doubler miracle-diet".split()
-#: Words that mark such a host by themselves.
-BAD_WORDS = "casino bets poker porn xxx sexcams viagra pills jackpot gambling escort malware phish warez spam adserver payday betting".split()
-GOOD_HOSTS = "daily-news city-library openwiki science-journal cooking-recipes travel-notes history-museum weather-service school-portal garden-tips football-club music-review essex-council adsorption-lab bookshop software-docs health-clinic parliament film-archive chess-club winter-sports canadian-trails alphabets-school pillar-bank pokemon-cards adult-education cheapside-history".split()
-#: Made-up names of the good hosts: each syllable before each, one in three.
-SYLLABLES = "th on ti re an he in er or ha ea ed nd st en es ing tion ou wh ly sh ble at nt as is it de la le un se ch ge".split()
+#: The labelled URL table: names of hosts to keep out, and words of which names of hosts to let through are made.
+BAD_HOSTS = (
+    "grand-casino casino-royal casino365 online-slots slot-machines mega-jackpot poker-room poker-stars sport-betting betting-odds best-bets roulette-live gambling-den "
+    "pills-direct diet-pills cheap-meds viagra-shop buy-viagra discount-pharmacy adult-video adult-dating xxx-tube xxx-clips porn-movies freeporn sex-chat hot-webcams nude-girls "
+    "escort-service spam-mailer bulk-spam ad-tracker click-ads popup-ads banner-ads adserver track-clicks malware-host virus-download phish-bank login-verify free-warez crack-keys "
+    "keygen torrent-movies fake-watches replica-bags payday-loan fast-cash quick-loans get-rich crypto-doubler win-prizes win-big lottery-winner free-gift free-money miracle-cure essay-writer"
+).split()
+GOOD_FIRST = "city town daily open national royal north river garden music science history winter family public green".split()
+GOOD_SECOND = "library museum news school college weather kitchen hospital theatre football archive council railway bakery orchestra review".split()
 SUBDOMAINS = ("", "www.", "m.", "blog.")
+ENDINGS = ("com", "net", "org", "info", "co.uk", "de")
 #: Paths say little here; both kinds of host have the same.
-PATHS = ("en/4079", "wiki/History", "news/2021/05/story.html", "docs/api/", "de/1391", "fr/3608", "es/4833.html", "en/77/", "articles/42", "de/8580.html", "", "index.php")
-DOMAINS = ("", "www.", "m.", "blog.")
-BAD_PATHS = ("en/4079", "bonus/win-now", "xxx/video/12", "promo?ref=spam", "de/3580.html", "fr/512", "es/77", "buy-pills/cheap")
-GOOD_PATHS = ("en/7817", "wiki/History", "news/2021/05/story.html", "docs/api", "de/1391", "fr/3608", "es/4833.html", "articles/42")
-DOMAINS = ("example.com", "example.net", "example.org")
-DIMENSIONS, SIZES = 4096, (3, 4, 5)
+PATHS = ("about", "wiki/History", "news/2021/05/story.html", "docs/api/", "", "index.php", "articles/42", "p/1234", "shop/item?id=9", "category/all/")
+DIMENSIONS, SIZES, BIAS = 16384, (3, 4, 5), -1.75
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 for block)."""
-    made_up = [f"th{a}{b}" if i % 2 else f"{a}{b}" for i, (a, b) in enumerate(product(SYLLABLES, SYLLABLES)) if i % 3 == 0]
+    """(host, path, 1 for block). Bad names stand four times, in turn with other subdomains, endings and paths, good ones twice."""
+    good = [f"{a}{'-' if (i + j) % 2 else ''}{b}" for i, a in enumerate(GOOD_FIRST) for j, b in enumerate(GOOD_SECOND)]
     out = []
-    turned = ["-".join(reversed(name.split("-"))) for name in BAD_HOSTS]
-    for hosts, each, label in ((BAD_HOSTS, 9, 1), (turned, 3, 1), ([f"{a}{n}{b}" for n in BAD_WORDS for a, b in (("", ""), ("the-", "s"), ("super", "-club"), ("", "-best"))], 1, 1), (GOOD_HOSTS, 6, 0), (made_up, 1, 0)):
+    for hosts, each, label in ((BAD_HOSTS, 4, 1), (good, 2, 0)):
         for i, name in enumerate(hosts):
             for j in range(each):
-                out.append((f"{SUBDOMAINS[(i + j) % 4]}{name}.{DOMAINS[(i + j) % 3]}", PATHS[(5 * i + j) % len(PATHS)], label))
+                out.append((f"{SUBDOMAINS[(i + j) % 4]}{name}.{ENDINGS[(i + j) % 6]}", PATHS[(3 * i + j) % len(PATHS)], label))
     return out
 
 
@@ -50,7 +48,10 @@ def grams(host: str, path: str) -> list[int]:
 
 @lru_cache(maxsize=4)
 def train(rounds: int = 60, rate: float = 2.0, decay: float = 1e-4) -> tuple[float, tuple[float, ...]]:
-    """Bias and weights, by gradient descent on the labelled table; features are n-gram counts over the root of their number."""
+    """Bias and weights, by gradient descent on the labelled table; features are n-gram counts over the root of their number.
+
+    The bias is set, not learnt: a host of which nothing is known is let through.
+    """
     rows = []
     for host, path, label in labelled_urls():
         found = grams(host, path)
@@ -59,12 +60,11 @@ def train(rounds: int = 60, rate: float = 2.0, decay: float = 1e-4) -> tuple[flo
         for g in found:
             count[g] = count.get(g, 0.0) + scale
         rows.append((list(count.items()), label))
-    bias, w = 0.0, [0.0] * DIMENSIONS
+    bias, w = BIAS, [0.0] * DIMENSIONS
     for _ in range(rounds):
         for x, label in rows:
             z = bias + sum(w[g] * v for g, v in x)
             step = rate / len(x) ** 0.5 * (label - 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            bias += 0.1 * step
             for g, v in x:
                 w[g] += step * v - decay * w[g]
     return bias, tuple(w)
@@ -94,7 +94,9 @@ def judge(pages: DataFrame, keep=(), rules=RULES, threshold: float = 0.5) -> Dat
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest rule (host and path) wins, and
     its verdict stands. Else the verdict follows from the model's score. Null urls and urls without `://` have an empty
-    host and path, which the model judges like any other. Rows stay one to one; an empty table gives an empty result.
+    host and path, which the model judges like any other; a score of just the threshold blocks. Urls of any length are judged
+    whole. Rows stay one to one, repeated ones too; an empty table gives an empty result. Other columns are ignored; those
+    in keep must not be called host, path, rule, verdict, found or score.
     """
     host, path = parts(F.col("url"))
     d = pages.select("page_id", *keep, host.alias("host"), path.alias("path"))
