@@ -2,9 +2,13 @@
 
 A document window as long as a benchmark item can only reach the similarity if most of its word shingles are the item's.
 So shingles are joined with those of the items first, and windows that hold too few of them - which no exact test could
-accept - are left out. The rest get a SimHash; fingerprints are cut into radius + 1 blocks, of which at least one is equal
-if no more than `radius` bits differ; pairs that agree in a block and lie within the radius are verified by the exact
-similarity of their weighted shingles (a shingle's weight is how often it occurs).
+accept - are left out; where no shingle of the item repeats in the document, all but the fullest window are, since the
+number held is then the weight shared. The rest get a SimHash; fingerprints are cut into radius + 1 blocks, of which at
+least one is equal if no more than `radius` bits differ; windows that agree with their item in a block and lie within the
+radius are verified by the exact similarity of their weighted shingles (a shingle's weight is how often it occurs).
+
+Blocks are looked up within the items that shingles have led to. Alone they could not lead anywhere: shingles of which 0.8
+are shared leave about 10 of 64 bits different, and blocks for a radius that holds nearly all such pairs have three bits.
 
 A document shorter than an item is one window, the whole of it. There is at most one such window for a document and an item,
 so these are verified without fingerprints.
@@ -15,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import row_key, staged
+from kinspan.llm.common import drop, row_key, staged
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-#: Items up to this number are broadcast; a larger benchmark is joined by shuffling.
-BROADCAST_ITEMS = 20_000
+#: A benchmark of up to this many words is broadcast, as shingles of some 50 bytes; a larger one is joined by shuffling.
+BROADCAST_WORDS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -62,18 +66,44 @@ def common_weight(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
 
 
+def fullest() -> Column:
+    """(start, best) of the first window that holds most places: one pass over where windows gain and lose a place."""
+    ends = F.transform("places", lambda p: F.array(F.struct(F.greatest(p - F.col("wide"), F.lit(0)).alias("s"), F.lit(1).alias("d")), F.struct((p + 1).alias("s"), F.lit(-1).alias("d"))))
+    limit = F.col("size") - F.col("n_words")
+
+    def step(x, e):
+        better = (e["s"] > x["at"]) & (x["held"] > x["best"]) & (x["at"] <= limit)
+        return F.struct(e["s"].alias("at"), (x["held"] + e["d"]).alias("held"), F.when(better, x["held"]).otherwise(x["best"]).alias("best"), F.when(better, x["at"]).otherwise(x["start"]).alias("start"))
+
+    nothing = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.lit(0).alias("best"), F.lit(0).alias("start"))
+    return F.aggregate(F.array_sort(F.flatten(ends)), nothing, step)
+
+
+def enough() -> Column:
+    """The starts of all windows that hold `least` places: those after one place and up to the next, if the last needed is in reach."""
+    p = F.array_sort("places")
+    last = F.size("places") - F.col("least")
+
+    def starts(i):
+        low = F.greatest(F.get(p, i + F.col("least") - 1) - F.col("wide"), F.coalesce(F.get(p, i - 1) + 1, F.lit(0)), F.lit(0))
+        return F.when(low <= F.get(p, i), F.sequence(low, F.get(p, i))).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), starts))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(_key, _id, item_id, start, n_words, similarity): for each document and item the best window, if it is similar.
 
     Similarity is the shared weight of the shingles over their united weight; windows have as many words as the item, or as
     the document if that has fewer (n_words).
     Items of under five words are one shingle; items without a word match nothing; rows of the benchmark that repeat an
-    id and text count once; of equally similar windows the first is given. Null texts have no words.
+    id and text count once; of equally similar windows the first is given. Null texts have no words; very long texts and
+    items are read whole; rows equal in id and text share their matches. Without documents or items the result is empty.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     items = staged(items.select("item_id", F.xxhash64("w").alias("item"), "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k")), "decon-items")
     sizes = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()]
-    few = items.count() <= BROADCAST_ITEMS
+    few = (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_WORDS
     small = F.broadcast if few else lambda df: df
     # weight that a window must share at least, of n_words - k + 1 shingles and the item's n - k + 1
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_words") + F.col("n") - 2 * F.col("k") + 2) - F.lit(1e-9))
@@ -92,16 +122,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         hits = d.select("_key", "_id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
         hits = hits.join(small(own.where(F.col("k") == k).select("item", "item_id", "n", "k", "h")), "h")
         found = hits if found is None else found.unionByName(hits)
-    places = found.groupBy("_key", "_id", "item", "item_id", "n", "k", "size").agg(F.collect_set("at").alias("places"))
-    places = places.withColumn("n_words", F.least("n", "size")).withColumn("least", least.cast("int"))
-    places = staged(places.where(F.size("places") >= F.col("least")), "decon-places")
+    places = found.groupBy("_key", "_id", "item", "item_id", "n", "k", "size").agg(F.collect_set("at").alias("places"), F.size(F.collect_set("h")).alias("kinds"))
+    places = places.withColumn("n_words", F.least("n", "size")).withColumn("least", least.cast("int")).where(F.size("places") >= F.col("least"))
+    places = staged(places.withColumn("wide", F.col("n_words") - F.col("k")), "decon-places")
 
     # windows that hold enough of the item's shingles; text is read again for these documents only
-    wide = F.col("n_words") - F.col("k")
-    start = F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(p - wide, F.lit(0)), p)))))
-    windows = places.select("*", start.alias("start")).where(F.col("start") + F.col("n_words") <= F.col("size"))
-    windows = windows.where(F.size(F.filter("places", lambda p: (p >= F.col("start")) & (p <= F.col("start") + wide))) >= F.col("least"))
-    windows = staged(windows.select("_key", "_id", "item", "n", "n_words", "k", "start"), "decon-candidates")
+    full_ones = places.where(F.col("kinds") == F.size("places")).withColumn("x", fullest()).where(F.col("x.best") >= F.col("least")).withColumn("start", F.col("x.start"))
+    others = places.where(F.col("kinds") < F.size("places")).withColumn("start", F.explode(enough())).where(F.col("start") + F.col("n_words") <= F.col("size"))
+    columns = ["_key", "_id", "item", "n", "n_words", "k", "start"]
+    windows = staged(full_ones.select(*columns).union(others.select(*columns)), "decon-candidates")
+    drop(places)
     starts = staged(windows.select("_key", "_id", "n_words", "k", "start").distinct(), "decon-starts")
     text = d.join(starts.select("_key", "_id").distinct(), ["_key", "_id"], "left_semi").dropDuplicates(["_key", "_id"])
     cut = starts.join(text, ["_key", "_id"])
@@ -110,13 +140,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     for k in sizes:
         x = cut.where(F.col("k") == k).withColumn("hashes", shingles(F.col("w"), k)).drop("w")
         of = x if of is None else of.union(x)
-    of = staged(of, "decon-windows")
-    of = staged(of.withColumn("fp", simhash(F.col("hashes"))), "decon-prints")
-    probes = of.select("_key", "_id", F.col("n_words").alias("n"), "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("x")).select("*", "x.*").drop("x")
+    text_windows = staged(of, "decon-windows")
+    of = staged(text_windows.withColumn("fp", simhash(F.col("hashes"))), "decon-prints")
+    held = of.select("_key", "_id", "n_words", "start", "fp").join(windows.where("n_words = n").select("_key", "_id", "n_words", "start", "item").distinct(), ["_key", "_id", "n_words", "start"])
+    probes = held.select("_key", "_id", "n_words", "start", "item", "fp", F.explode(blocks(F.col("fp"), radius)).alias("x")).select("*", "x.*").drop("x")
     prints = staged(full.withColumn("item_fp", simhash(F.col("hashes"))), "decon-item-prints")
-    index = prints.select("item", "n", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("x")).select("*", "x.*").drop("x")
-    near = probes.join(small(index), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("_key", "_id", "start", F.col("n").alias("n_words"), "item").distinct()
+    index = prints.select("item", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("x")).select("*", "x.*").drop("x")
+    near = probes.join(small(index.distinct()), ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = near.select("_key", "_id", "start", "n_words", "item").distinct()
     whole = windows.where("n_words < n").select("_key", "_id", "start", "n_words", "item").distinct()
     pairs = near.union(whole).join(of.select("_key", "_id", "start", "n_words", "hashes"), ["_key", "_id", "start", "n_words"])
     items_of = prints.select("item", "item_id", F.col("hashes").alias("item_hashes"))
@@ -124,17 +155,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     shared = common_weight(F.col("hashes"), F.col("item_hashes"))
     pairs = pairs.withColumn("similarity", shared / (F.size("hashes") + F.size("item_hashes") - shared)).where(F.col("similarity") >= similarity)
     best = pairs.groupBy("_key", "_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("n_words").alias("n"))).alias("x"))
-    return staged(best.select("_key", "_id", "item_id", (-F.col("x.s")).alias("start"), F.col("x.n").alias("n_words"), "x.similarity"), "decon-matches")
+    out = staged(best.select("_key", "_id", "item_id", (-F.col("x.s")).alias("start"), F.col("x.n").alias("n_words"), "x.similarity"), "decon-matches")
+    drop(windows, starts, text_windows, of, prints, full, items)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """doc_id, item_id, start, n_words, similarity for each document that holds a benchmark item; repeated rows repeat."""
+    """doc_id, item_id, start, n_words, similarity for each document that holds a benchmark item.
+
+    Repeated rows repeat; other columns of either table are ignored, whatever their names.
+    """
     found = matches(docs, benchmark, **how)
     keys = row_key(docs).select("doc_id", "_key", "_id")
     return keys.join(found, ["_key", "_id"]).select("doc_id", "item_id", "start", "n_words", "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no benchmark item, with all their columns, which must not be called _key or _id."""
     found = matches(docs, benchmark, **how).select("_key", "_id").distinct()
     return row_key(docs).join(found, ["_key", "_id"], "left_anti").select(*docs.columns)

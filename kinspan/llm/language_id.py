@@ -17,9 +17,19 @@ from kinspan.llm.common import held_out, staged
 #: Word characters of Python that are neither letters nor decimal digits: fractions, superscripts, Roman and circled numbers.
 NUMBERS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "".join(c for c in map(chr, range(0x3000)) if c.isdigit() and not c.isdecimal() and not c.isnumeric()))
 LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Runs of word characters without decimal digits: few have anything but letters in them.
+RUNS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case."""
+    found = RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ((x,) if x.isalpha() else LETTERS.findall(x))]
+
+
 class Model:
     """Log frequencies of words and of character n-grams (1 to LONGEST, word ends marked) per language.
 
@@ -47,6 +57,7 @@ class Model:
             start = np.cumsum([0, *map(len, t.values())])
             flat = [x for v in t.values() for x in v]
             self.tables.append(({f: i for i, f in enumerate(t)}, start, np.array([x[0] for x in flat], np.int32), np.array([x[1] for x in flat], np.float32)))
+        self.dense: list[np.ndarray | None] = [None] * (LONGEST + 1)
 
     def state(self) -> tuple:
         """Plain data for a broadcast, which workers can read without this module."""
@@ -56,29 +67,39 @@ class Model:
     def of(cls, state: tuple) -> Model:
         model = cls.__new__(cls)
         model.langs, model.prior, model.base, model.tables = state
+        model.dense = [model._dense(size) for size in range(LONGEST + 1)]
         return model
 
-    def feature(self, text: str, size: int) -> np.ndarray | None:
-        """Log frequencies of a word (size 0) or an n-gram in each language; None if no language has it."""
+    def _dense(self, size: int, cells: int = 8_000_000) -> np.ndarray | None:
+        """A row of log frequencies per feature, if so many fit; else they are put together when asked for."""
         names, start, lang, value = self.tables[size]
-        at = names.get(text)
-        if at is None:
+        if len(names) * max(len(self.langs), 1) > cells:
             return None
-        out = self.base[size].copy()
-        out[lang[start[at] : start[at + 1]]] = value[start[at] : start[at + 1]]
+        out = np.repeat(self.base[size][None, :], len(names), axis=0)
+        out[np.repeat(np.arange(len(names)), np.diff(start)), lang] = value
+        return out
+
+    def features(self, at: list[int], size: int) -> np.ndarray:
+        """Log frequencies of words (size 0) or n-grams, by their numbers, in each language."""
+        if self.dense[size] is not None:
+            return self.dense[size].take(at, axis=0)
+        _, start, lang, value = self.tables[size]
+        out = np.repeat(self.base[size][None, :], len(at), axis=0)
+        for row, i in zip(out, at, strict=True):
+            row[lang[start[i] : start[i + 1]]] = value[start[i] : start[i + 1]]
         return out
 
     def vector(self, word: str) -> np.ndarray:
         """Evidence of one word: its own log frequencies, else the mean over its longest known n-grams."""
-        found = self.feature(word, 0)
-        if found is not None:
-            return found
+        known = self.tables[0][0].get(word)
+        if known is not None:
+            return self.features([known], 0)[0]
         marked = f" {word} "
         for size in range(min(LONGEST, len(marked)), 0, -1):
             names = self.tables[size][0]
-            hits = [self.feature(g, size) for at in range(len(marked) - size + 1) if (g := marked[at : at + size]) in names]
+            hits = [i for at in range(len(marked) - size + 1) if (i := names.get(marked[at : at + size])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return np.add.reduce(self.features(hits, size)) / len(hits)
         return np.zeros(len(self.langs), np.float32)
 
     def scorer(self, cells: int = 2_000_000):
@@ -99,7 +120,7 @@ class Model:
             return at
 
         def score(text: str | None) -> tuple[str, float]:
-            found = LETTERS.findall(text.lower()) if text else []
+            found = words_of(text) if text else []
             if not found or not self.langs:
                 return "und", 0.0
             sums = self.prior.copy()

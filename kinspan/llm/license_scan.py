@@ -57,13 +57,15 @@ def _phrases(docs: DataFrame) -> DataFrame:
             for text in x["text"]:
                 words = words_of(text)
                 joined = b" " + b" ".join(words) + b" "
-                starts, labels = [], set()
+                hits, labels = [], set()
                 for phrase, label in wanted:
                     at = joined.find(phrase)
                     while at >= 0:
-                        starts.append(joined.count(b" ", 0, at))
+                        hits.append(at)
                         labels.add(label)
                         at = joined.find(phrase, at + 1)
+                # the word at a place is the number of spaces before it
+                starts = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), hits).tolist() if hits else []
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels)))
             out = x.drop(columns="text")
             out["n_words"], out["n_base"] = [r[0] for r in rows], [r[1] for r in rows]
@@ -165,7 +167,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Base labels are given phrases found as consecutive words, the other labels verified template spans; score is 1 with a
     base label, else the best share of a template held, else 0. Null and empty texts have no words and no labels (empty
-    strings); repeated rows repeat; extra columns are ignored; an empty table gives an empty result.
+    strings); texts of any length are read whole; spans of equal score all give their labels; repeated rows repeat; extra
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     keyed = row_key(docs)
     found = spans(keyed).groupBy("_key", "_id").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import components, shielded, staged
+from kinspan.llm.common import components, drop, shielded, staged
 
 RADIUS = 3
 #: Rows of a bucket that one task compares at a time; larger buckets are split into pairs of pieces.
@@ -233,7 +233,9 @@ def near_duplicates(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     of = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
     of = staged(of.select("fp", "least", F.coalesce("component", "fp").alias("component")), "gph-members")
     least = staged(of.groupBy("component").agg(F.min("least").alias("component_id")), "gph-components")
-    return fps.join(staged(of.join(least, "component").select("fp", "component", "component_id"), "gph-classes"), "fp")
+    classes = staged(of.join(least, "component").select("fp", "component", "component_id"), "gph-classes")
+    drop(distinct, of, least)
+    return fps.join(classes, "fp")
 
 
 def hex_digits(fp) -> F.Column:
@@ -246,7 +248,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     A group whose ids are all null, and rows repeated under one id in one group, keep one row.
     """
     docs, back = shielded(docs)
-    fps = staged(fingerprints(docs, docs.columns), "gph-documents")
-    of = near_duplicates(fps.select("doc_id", "fp"), radius).select(F.col("fp").alias("_fp"), F.col("component").alias("_component"), F.col("component_id").alias("_least")).distinct()
-    found = fps.join(staged(of, "gph-of"), F.col("fp") == F.col("_fp")).where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    return found.dropDuplicates(["_component"]).select(*back)
+    fps = staged(fingerprints(docs, docs.columns).withColumn("_row", F.monotonically_increasing_id()), "gph-documents")
+    classes = near_duplicates(fps.select("doc_id", "fp", "_row"), radius)
+    # the row that stays is chosen by its number, before texts are moved
+    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("_row").alias("_row")).select("_row")
+    return fps.join(staged(chosen, "gph-chosen"), "_row", "left_semi").select(*back)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import WordHashes, mix, prefix_sums, row_key, span_hashes, staged, window_hashes
+from kinspan.llm.common import WordHashes, drop, mix, prefix_sums, row_key, span_hashes, staged, window_hashes
 
 WINDOW = 35
 GRAM = 12
@@ -92,23 +92,29 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> D
     """(_key, _id, factors): per document the first window and a bit mask of each context with repeated windows."""
     if window - k + 1 > 62 or window <= k:
         raise ValueError("the window must be longer than the anchor, by 61 words at most")
-    occ = staged(_occurrences(docs, window, k), "rlz-anchors")
-    shared = staged(occ.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "rlz-shared")
-    occ = staged(occ.join(shared, "anchor"), "rlz-candidates")
+    every = staged(_occurrences(docs, window, k), "rlz-anchors")
+    shared = staged(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "rlz-shared")
+    occ = staged(every.join(shared, "anchor"), "rlz-candidates")
+    drop(every, shared)
     contexts = occ.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("_key", "_id", "first", "n")).alias("at"))
     contexts = staged(contexts.select("anchor", "context", "times", "at.*"), "rlz-contexts")
     # an anchor with one context has been found whole each time; others are parsed window by window, once per context
     several = staged(contexts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "rlz-several")
     todo = contexts.join(several, "anchor").groupBy("_key", "_id").agg(F.collect_list(F.struct("context", "first", "n", "times")).alias("todo"))
-    text = docs.select("_key", "_id", "text").join(staged(todo, "rlz-todo"), ["_key", "_id"]).dropDuplicates(["_key", "_id"]).select("text", "todo")
+    todo = staged(todo, "rlz-todo")
+    text = docs.select("_key", "_id", "text").join(todo, ["_key", "_id"]).dropDuplicates(["_key", "_id"]).select("text", "todo")
     windows = staged(_windows(text, window), "rlz-windows")
+    drop(several, todo)
     counts = windows.groupBy("window").agg(F.count("*").alias("c"), F.max("often").alias("often"))
     again = staged(counts.where("c > 1 or often").select("window"), "rlz-repeated")
     masks = windows.join(again, "window").groupBy("context").agg(F.expr("bit_or(shiftleft(1L, cast(j as int)))").alias("mask"))
     whole = contexts.where("times > 1").select("context", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     masks = staged(masks.join(whole.select("context"), "context", "left_anti").union(whole), "rlz-masks")
+    drop(windows, again, contexts)
     found = occ.join(masks, "context").groupBy("_key", "_id").agg(F.collect_set(F.struct("first", "mask")).alias("factors"))
-    return staged(found, "rlz-factors")
+    found = staged(found, "rlz-factors")
+    drop(occ, masks)
+    return found
 
 
 def covered(n_words: int, factors, window: int) -> np.ndarray:
@@ -128,7 +134,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, keep=(), digest: bool = F
     Returns doc_id, the columns in keep, n_words, n_removed and the kept words joined by one space: their SHA-256 as
     kept_sha256 if digest is set, else as text. A document without a repeated window keeps its text as it is.
     Null and empty texts have no words; repeated rows count as separate documents, so their windows repeat; texts under
-    the window's length lose nothing; an empty table gives an empty result; other columns are ignored.
+    the window's length lose nothing; very long texts are read whole; an empty table gives an empty result; other columns
+    are ignored; those in keep must not be called n_words, n_removed or kept. Windows are equal if 64-bit hashes of their
+    words and of their anchor are.
     """
     keyed = row_key(docs)
     found = duplicate_windows(keyed, window)

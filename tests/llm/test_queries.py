@@ -146,6 +146,47 @@ def test_op2_repeats_back_to_back(spark):
     assert {r["label"]: r["x"] for r in where} == {"all-rights-reserved": [3 * i for i in range(500)], "mit": [len(t.split()) * i for i in range(3)]}
 
 
+def brute_method(text):
+    """Labels that the method adds, by the same rule on plain lists: chains of near diagonals, the fullest spans first."""
+    words, k, out = [w.decode() for w in license_scan.words_of(text)], license_scan.GRAM, set()
+    for label, t in license_scan.TEMPLATES:
+        t = t.split()
+        of = len(t) - k + 1
+        need = of if of < license_scan.LONG else license_scan.SHARE * of
+        hits = sorted((i - j, j) for i in range(len(words) - k + 1) for j in range(of) if words[i : i + k] == t[j : j + k])
+        chains = []
+        for d, at in hits:
+            if not chains or d - chains[-1][-1][0] > license_scan.NEAR:
+                chains.append([])
+            chains[-1].append((d, at))
+        for c in chains:
+            c = sorted((d + at, at) for d, at in c)
+            if c[-1][0] - c[0][0] < 2 * of:
+                if len({at for _, at in c}) >= need:
+                    out.add(label)
+            elif any(len({at for p, at in c if s <= p < s + 2 * of}) >= need for s, _ in c):
+                out.add(label)
+    return out
+
+
+def test_op2_method_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    texts = []
+    for i in range(150):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            t = license_scan.TEMPLATES[int(rng.integers(0, len(license_scan.TEMPLATES)))][1].split()
+            for _ in range(int(rng.integers(0, 4))):
+                at = int(rng.integers(0, len(t)))
+                t[at : at + int(rng.integers(0, 2))] = ["x"] * int(rng.integers(0, 3))
+            parts += t[int(rng.integers(0, 3)) :] + ["y"] * int(rng.integers(0, 3))
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in license_scan.scan(df).collect()}
+    want = {i: brute_method(t) | set(filter(None, brute_license(t)[4].split(","))) for i, t in enumerate(texts)}
+    assert got == want and sum(map(bool, want.values())) > 60
+
+
 # ---- 3 URL filters
 
 
@@ -397,7 +438,7 @@ def test_backoff_goes_from_words_to_single_letters():
     for lang, size, _, n in counts:
         totals[lang, size] += n
     m = language_id.Model(counts, [(*k, n) for k, n in totals.items()], {"a": 1, "b": 1}, {0: 2, 1: 5, 2: 6, 3: 5, 4: 4, 5: 2})
-    assert (m.vector("xyz") == m.feature("xyz", 0)).all()
+    assert (m.vector("xyz") == m.features([0], 0)[0]).all() and (language_id.Model.of(m.state()).vector("xyzk") == m.vector("xyzk")).all()
     assert m.vector("xyzk")[0] > m.vector("xyzk")[1] and m.vector("kq")[1] > m.vector("kq")[0]
     assert (m.vector("k") != m.vector("z")).any()
 
@@ -532,6 +573,26 @@ def test_op10_documents_shorter_than_the_item(spark):
     assert {r["doc_id"] for r in decontamination.clean(df, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
 
 
+def test_op10_long_items(spark):
+    """Items of thousands of words, the document's copy changed here and there; the place and similarity are exact."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    items = [words(3000), words(1500) + ["same"] * 300]
+    rows = []
+    for i, item in enumerate(items):
+        w = list(item)
+        for at in rng.integers(0, len(w), 20):
+            w[int(at)] = "changed"
+        rows.append((i, " ".join(words(200) + w + words(100))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in decontamination.contaminated(df, bench).collect()}
+    assert set(got) == {(0, 0), (1, 1)}
+    for i, item in enumerate(items):
+        w = rows[i][1].split()
+        assert got[i, i][0] == 200 and got[i, i][1] == pytest.approx(shingle_similarity(w[200 : 200 + len(item)], item, 5))
+
+
 def test_op10_dirty(spark, dirty):
     bench = spark.createDataFrame([(1, "under the mit license licensed")], "item_id long, text string")
     assert decontamination.contaminated(dirty, bench).count() == 0
