@@ -41,6 +41,17 @@ def portfolio_labour(labour: DataFrame, case: str = "case_id") -> DataFrame:
     return by.withColumn("share", F.coalesce(F.try_divide("minutes", F.sum("minutes").over(Window.partitionBy())), F.lit(0.0)))
 
 
+def portfolio_totals(labour: DataFrame, target_hours: int | None = None) -> DataFrame:
+    """(cases, minutes, hours, mean_hours, over_target) of all cases with labour: one row, also for none.
+
+    A case is over its package's target, or over target_hours if given. hours() rounds them for display.
+    """
+    target = F.lit(target_hours) if target_hours is not None else F.element_at(F.create_map(*[F.lit(x) for pair in TARGET_HOURS.items() for x in pair]), F.col("package"))
+    per = labour.groupBy("case_id").agg(F.sum("minutes").alias("m"), F.max(target).alias("target"))
+    total = F.coalesce(F.sum("m"), F.lit(0))
+    return per.agg(F.count("*").alias("cases"), total.alias("minutes"), (total / 60).alias("hours"), F.coalesce(F.try_divide(total / 60, F.count("*")), F.lit(0.0)).alias("mean_hours"), F.count_if(F.col("m") > F.col("target") * 60).alias("over_target"))
+
+
 def question_yield(questions: DataFrame, order: tuple = ("case_id", "ord")) -> DataFrame:
     """Questions by text across cases: text and topic as first seen, times asked, and what came of them."""
     first = F.struct(*order)

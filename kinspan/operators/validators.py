@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspan.functions import fuzzy
@@ -41,25 +41,52 @@ def chronology(cards: DataFrame, people: DataFrame, events: DataFrame, cases: Da
     )
 
 
+def _close_pairs(n: DataFrame) -> DataFrame:
+    """Pairs (a_, b_) of names of a case whose keys can have the ratio SAME_NAME without being equal.
+
+    That ratio r of keys of la and lb letters leaves at most (1 - r)(la + lb) of them unmatched, each of which parts one
+    matching run from the next, so r(la + lb)/2 - (1 - r)(la + lb) - 1 pairs of neighbouring letters are shared at least. Of
+    a name's letter pairs, taken from the rarest on, all but that many are indexed; two such names meet in one of these.
+    """
+    r = fuzzy.SAME_NAME
+    pairs = F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), i, F.lit(2)))
+    g = n.where(F.length("key") >= 2).select("*", F.posexplode(pairs).alias("_i", "_pair"))
+    same = Window.partitionBy("case_id", "at", "_pair").orderBy("_i")
+    g = g.withColumn("gram", F.concat_ws("#", "_pair", F.row_number().over(same))).drop("_i", "_pair")
+    often = g.groupBy("case_id", "gram").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("case_id", "at").orderBy("often", "gram")
+    # the least sum of lengths that a partner can make
+    total = F.length("key") * (1 + r / (2 - r))
+    g = g.join(often, ["case_id", "gram"]).withColumn("_nth", F.row_number().over(rarest))
+    g = g.where(F.col("_nth") <= F.length("key") - 1 - F.greatest(F.ceil(total * (r / 2 - (1 - r)) - 1 - 1e-9), F.lit(1)) + 1).drop("_nth", "often")
+    side = lambda x: g.select("case_id", "gram", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "name", "at", "key")])
+    la, lb = F.length("a_key"), F.length("b_key")
+    met = side("a").join(side("b"), ["case_id", "gram"])
+    met = met.where((F.col("b_at") < F.col("a_at")) & (F.col("a_id") != F.col("b_id")) & (F.col("a_key") != F.col("b_key")) & (2 * F.least(la, lb) / (la + lb) >= r))
+    return met.drop("gram").dropDuplicates(["case_id", "a_at", "b_at"])
+
+
 def name_pairs(names: DataFrame) -> DataFrame:
     """(case_id, id, other_id, name, other_name, signal): persons of a case who may be one, by their first matching names.
 
-    names: case_id, id, name, at (place among all names of the case). Pairs are compared within a case only, and a cheap
-    bound leaves out pairs that no rule can match: of the ratio of two keys, 2 * shorter / (sum of lengths) is the most.
+    names: case_id, id, name, at (place among all names of the case). Each rule has an equi-join of its own within a case:
+    on equal keys; on the surname and the first letter of the forename; on rare pairs of letters for similar spellings.
     """
     words = F.filter(F.split(F.lower("name"), "[^a-z]+"), lambda t: t != "")
     n = names.withColumns({"key": key_of(F.col("name")), "words": words}).where("key <> ''")
-    a = n.select("case_id", *[F.col(c).alias(f"a_{c}") for c in ("id", "name", "at", "key", "words")])
-    b = n.select("case_id", *[F.col(c).alias(f"b_{c}") for c in ("id", "name", "at", "key", "words")])
-    la, lb = F.length("a_key"), F.length("b_key")
-    first_a, first_b, last_a, last_b = F.get("a_words", 0), F.get("b_words", 0), F.element_at(F.col("a_words"), -1), F.element_at(F.col("b_words"), -1)
-    many = (F.size("a_words") > 1) & (F.size("b_words") > 1)
-    short = many & (F.when(many, last_a) == F.when(many, last_b)) & (first_a != first_b) & (F.startswith(first_a, first_b) | F.startswith(first_b, first_a))
-    pairs = a.join(b, "case_id").where((F.col("b_at") < F.col("a_at")) & (F.col("a_id") != F.col("b_id")))
-    pairs = pairs.withColumn("rule", F.when(F.col("a_key") == F.col("b_key"), "identical names on separate records").when(short, "same surname, one forename is a short form of the other"))
-    close = pairs.where(F.col("rule").isNull() & (2 * F.least(la, lb) / (la + lb) >= fuzzy.SAME_NAME))
-    close = close.withColumn("r", fuzzy.name_ratio("a_key", "b_key")).where(F.col("r") >= fuzzy.SAME_NAME).withColumn("rule", F.format_string("similarity %.2f", "r")).drop("r")
-    found = pairs.where("rule is not null").unionByName(close)
+    side = lambda df, x, *on: df.select("case_id", *on, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "name", "at", "key", "words")])
+    earlier = (F.col("b_at") < F.col("a_at")) & (F.col("a_id") != F.col("b_id"))
+    columns = ["case_id", *[f"{x}_{c}" for x in "ab" for c in ("id", "name", "at", "key")], "rule"]
+    k = n.withColumn("_key", F.col("key"))
+    equal = side(k, "a", "_key").join(side(k, "b", "_key"), ["case_id", "_key"]).where(earlier).withColumn("rule", F.lit("identical names on separate records"))
+    m = n.where(F.size("words") > 1).withColumns({"_last": F.element_at("words", -1), "_letter": F.left(F.get("words", 0), F.lit(1))})
+    first_a, first_b = F.get("a_words", 0), F.get("b_words", 0)
+    short = (first_a != first_b) & (F.startswith(first_a, first_b) | F.startswith(first_b, first_a)) & (F.col("a_key") != F.col("b_key"))
+    forms = side(m, "a", "_last", "_letter").join(side(m, "b", "_last", "_letter"), ["case_id", "_last", "_letter"]).where(earlier & short)
+    forms = forms.withColumn("rule", F.lit("same surname, one forename is a short form of the other"))
+    close = _close_pairs(n).join(forms.select("case_id", "a_at", "b_at"), ["case_id", "a_at", "b_at"], "left_anti")
+    close = close.withColumn("r", fuzzy.name_ratio("a_key", "b_key")).where(F.col("r") >= fuzzy.SAME_NAME).withColumn("rule", F.format_string("similarity %.2f", "r"))
+    found = equal.select(*columns).unionByName(forms.select(*columns)).unionByName(close.select(*columns))
     pick = F.struct("a_at", "b_at")
     out = found.groupBy("case_id", F.least("a_id", "b_id").alias("_one"), F.greatest("a_id", "b_id").alias("_two")).agg(F.min_by(F.struct("a_id", "b_id", "a_name", "b_name", "rule"), pick).alias("x"))
     return out.select("case_id", F.col("x.a_id").alias("id"), F.col("x.b_id").alias("other_id"), F.col("x.a_name").alias("name"), F.col("x.b_name").alias("other_name"), F.col("x.rule").alias("signal"))
@@ -193,6 +220,16 @@ def run_all(a: dict[str, DataFrame], chapters: DataFrame | None = None, export_s
     return union([p.withColumn("check_ord", F.lit(i)) for i, p in enumerate(parts)])
 
 
+def export_gate(findings: DataFrame, force: Column | bool = False) -> tuple[DataFrame, DataFrame]:
+    """(may_export, held): case_id and its number of blocking findings, by whether the case may be exported.
+
+    A case with a blocking finding is held unless it is forced; cases without any finding have no row and may be exported.
+    """
+    n = findings.groupBy("case_id").agg(F.count_if(F.col("severity") == "block").alias("blocking"))
+    ok = (F.col("blocking") == 0) | (F.lit(force) if isinstance(force, bool) else F.coalesce(force, F.lit(False)))
+    return n.where(ok), n.where(~ok)
+
+
 def listing(findings: DataFrame) -> DataFrame:
     """Findings as they are shown: by severity as text, so info comes before warn, then by check."""
     return findings.orderBy("case_id", "severity", "check_ord")

@@ -65,8 +65,12 @@ def release(cards: DataFrame, utterances: DataFrame, requests: DataFrame, at: Co
     """(cards, utterances, refused) after requests (case_id, id, level, note, force).
 
     A card and the words it rests on move together. Without force, cards that only the owner can release are refused; with
-    it, restricted cards and words become tender.
+    it, restricted cards and words become tender. Of several requests for a card the last counts, by ord if they have it,
+    else the one for the widest level. Words of several cards go by the request with the greatest such order and card id.
     """
+    at_order = F.col("ord") if "ord" in requests.columns else rank(F.col("level"), ACCESS)
+    rest = [c for c in requests.columns if c not in ("case_id", "id")]
+    requests = requests.groupBy("case_id", "id").agg(F.max_by(F.struct(*rest), F.struct(at_order, "level", "note")).alias("_x")).select("case_id", "id", "_x.*")
     blocked = needs_owner_release(cards, utterances).select("case_id", "id")
     refused = requests.where(~F.coalesce("force", F.lit(False))).join(blocked, ["case_id", "id"], "left_semi")
     done = requests.join(refused.select("case_id", "id"), ["case_id", "id"], "left_anti").select("case_id", "id", F.col("level"), F.col("note").alias("_note"), F.coalesce("force", F.lit(False)).alias("_force"))
@@ -91,7 +95,7 @@ def _released(df: DataFrame, at: Column, soften: Column) -> DataFrame:
 
 def restrict(cards: DataFrame, utterances: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cards, utterances, siblings) after cards (case_id, id, note) are pulled back to the owner with their words."""
-    req = requests.select("case_id", "id", F.coalesce("note", F.lit("kept private")).alias("_note"))
+    req = requests.groupBy("case_id", "id").agg(F.coalesce(F.max("note"), F.lit("kept private")).alias("_note"))
     withdrawn = cards.join(req.select("case_id", "id"), ["case_id", "id"], "left_semi")
     words = citations(withdrawn).join(req, ["case_id", "id"]).groupBy("case_id", F.col("ref_id").alias("_ref")).agg(F.max("_note").alias("_note")).withColumnRenamed("_ref", "id")
 

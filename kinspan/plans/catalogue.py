@@ -87,24 +87,6 @@ def sibling_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return w.join(r, "l_partkey").where("w <> s").groupBy("w", "s").agg(F.count("*").alias("shared"))
 
 
-@query(
-    """select 'order without customer' what, o_orderkey id from orders where o_custkey not in (select c_custkey from customer where c_custkey % 10 <> 3)
-    union all select 'line without order', l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders)
-    union all select 'order without line', o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)"""
-)
-def dangling_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Anti-joins."""
-    o, c, li = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "lineitem")
-    row = lambda df, what, key: df.select(F.lit(what).alias("what"), F.col(key).alias("id"))
-    return validators.union(
-        [
-            row(o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti"), "order without customer", "o_orderkey"),
-            row(li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), "line without order", "l_orderkey"),
-            row(o.join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), "order without line", "o_orderkey"),
-        ]
-    )
-
-
 @query(
     """with p as (select distinct l_orderkey k, l_partkey p from lineitem), n as (select k, count(*) n from p group by 1),
     c as (select a.k a, b.k b, count(*) common from p a join p b on a.p = b.p and a.k < b.k group by 1, 2)
@@ -310,36 +292,6 @@ def revisions_keep(spark: SparkSession, d: str) -> DataFrame:
     return state.keep_revisions(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
 
 
-_CHRONO = """select 'block' severity, 'shipped before ordered' message, cast(l_orderkey as varchar) ref_id, count(*) n from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate group by 3
- union all select 'warn', 'shipped over 110 days after', cast(l_orderkey as varchar), count(*) from lineitem join orders on l_orderkey = o_orderkey where date_diff('day', cast(o_orderdate as date), cast(l_shipdate as date)) > 110 group by 3"""
-_PRINT = "select 'warn' severity, 'part is ' || p_size || ' wide' message, cast(p_partkey as varchar) ref_id, 1 n from part where p_size > 0 and p_size < 15"
-
-
-def _shipping(spark: SparkSession, d: str) -> DataFrame:
-    j = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    late = F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")) > validators.OLDEST
-    rules = F.array(F.when(F.col("l_shipdate") < F.col("o_orderdate"), F.struct(F.lit("block").alias("severity"), F.lit("shipped before ordered").alias("message"))), F.when(late, F.struct(F.lit("warn").alias("severity"), F.lit("shipped over 110 days after").alias("message"))))
-    return j.select(F.col("l_orderkey").cast("string").alias("ref_id"), F.inline(F.filter(rules, lambda r: r.isNotNull()))).groupBy("severity", "message", "ref_id").agg(F.count("*").alias("n"))
-
-
-@query(_CHRONO)
-def chronology_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Both rules in one pass over the join."""
-    return _shipping(spark, d)
-
-
-@query(_PRINT)
-def print_findings(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_size > 0 and p_size < 15")
-    return p.select(F.lit("warn").alias("severity"), F.format_string("part is %d wide", "p_size").alias("message"), F.col("p_partkey").cast("string").alias("ref_id"), F.lit(1).alias("n"))
-
-
-@query(f"select 0 check_ord, * from ({_CHRONO}) union all select 1, * from ({_PRINT})")
-def findings_union(spark: SparkSession, d: str) -> DataFrame:
-    a, b = chronology_findings(spark, d), print_findings(spark, d)
-    return a.withColumn("check_ord", F.lit(0)).unionByName(b.withColumn("check_ord", F.lit(1))).withColumn("n", F.col("n").cast("long"))
-
-
 @query("""with s as (select doc_id, unnest(regexp_extract_all(text, '(“[^”]{2,400}”|"[^"]{2,400}"|「[^」]{2,400}」|『[^』]{2,400}』)')) q from documents) select doc_id, substr(q, 2, length(q) - 2) span from s""")
 def quoted_spans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(text.quoted_spans(F.col("text"))).alias("span"))

@@ -63,6 +63,24 @@ def save(archives: DataFrame, saved: DataFrame, path: str) -> None:
     changed(archives, saved).write.partitionBy("case_id", "revision").mode("append").json(path)
 
 
+def prune(spark: SparkSession, revisions: DataFrame, path: str, keep: int = KEEP) -> int:
+    """Deletes the folders of revisions past the newest `keep` of each case; how many. Their names alone are read by the driver."""
+    jvm, n = spark.sparkContext._jvm, 0
+    for r in expired(revisions, keep).toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/case_id={r['case_id']}/revision={r['revision']}")
+        n += bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+    return n
+
+
+def require_case(archives: DataFrame, case_id: str) -> DataFrame:
+    """One case's document; an unknown id is an error that names the cases there are."""
+    found = archives.where(F.col("meta.id") == case_id)
+    if found.isEmpty():
+        known = [r[0] for r in archives.select("meta.id").orderBy("id").limit(50).collect()]
+        raise ValueError(f"no case {case_id}; there are {', '.join(known)}")
+    return found
+
+
 def current(revisions: DataFrame) -> DataFrame:
     last = revisions.groupBy("case_id").agg(F.max("revision").alias("revision"))
     return revisions.join(last, ["case_id", "revision"], "left_semi")
@@ -77,9 +95,9 @@ def expired(revisions: DataFrame, keep: int = KEEP) -> DataFrame:
 
 
 def export_portable(archives: DataFrame, path: str) -> None:
-    """A JSON line per case, in a folder by case and revision."""
+    """A JSON line per case, in a folder by case and revision; other cases' and revisions' exports stay."""
     out = archives.select(F.col("meta.id").alias("case_id"), "revision", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    out.write.partitionBy("case_id", "revision").mode("overwrite").text(path)
+    out.write.partitionBy("case_id", "revision").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
 
 
 # ---- other files --------------------------------------------------------------------------------------------------
@@ -119,11 +137,16 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """Segments of an append-only log up to its first torn line."""
     schema = "key string, ord int, start double, end double, text string, _corrupt string"
     log = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    log = log.withColumn("_at", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+    # a line's place is that of its split in its file; a log is one file, and only the place of the first torn line is shared
+    log = log.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))})
+    torn = log.where(F.col("_corrupt").isNotNull() | F.col("ord").isNull()).groupBy("_file").agg(F.min("_at").alias("_torn"))
+    log = log.join(F.broadcast(torn), "_file", "left")  # a row for each torn file at most
+    return log.where(F.col("_torn").isNull() | (F.col("_at") < F.col("_torn"))).drop("_file", "_torn", "_at", "_corrupt")
+
 
-    torn = F.min(F.when(F.col("_corrupt").isNotNull() | F.col("ord").isNull(), F.col("_at"))).over(Window.partitionBy())
-    return log.withColumn("_torn", torn).where("_torn is null or _at < _torn").drop("_torn", "_at", "_corrupt")
+def append_checkpoint(segments: DataFrame, path: str, key: str) -> None:
+    """Adds segments (ord, start, end, text) of one run to a log, as files of their own beside those there."""
+    segments.select(F.lit(key).alias("key"), "ord", "start", "end", "text").sortWithinPartitions("ord").write.mode("append").json(path)
 
 
 def checkpoint_key(*parts: Column) -> Column:

@@ -312,3 +312,123 @@ def test_archive_round_trip(spark, tmp_path):
     assert ids(archive.waiting(f, s), "stem") == ["three"]
     ch = spark.createDataFrame([("c", 2, "B", "b"), ("c", 1, "A", "a")], "case_id string, number int, title string, prose string")
     assert render.manuscript(ch).first()["text"] == "## Chapter 1: A\n\na\n\n## Chapter 2: B\n\nb"
+
+
+def test_release_takes_the_last_request_of_a_card(case, spark):
+    cards, u = case["story_cards"], case["utterances"]
+    req = spark.createDataFrame([("c", "b", "public", "ok", False), ("c", "b", "family", "no", False)], "case_id string, id string, level string, note string, force boolean")
+    at = F.lit("2024-01-01").cast("timestamp")
+    for ord_, level in (((1, 2), "family"), ((2, 1), "public"), (None, "public")):
+        r = req if ord_ is None else req.withColumn("ord", F.when(F.col("level") == "public", ord_[0]).otherwise(ord_[1]))
+        new, words, refused = visibility.release(cards, u, r, at)
+        assert new.count() == cards.count() and words.count() == u.count()
+        assert {x["id"]: x["access"] for x in new.collect()}["b"] == level and refused.isEmpty()
+    new, words, _ = visibility.restrict(cards, u, req.select("case_id", "id", "note"))
+    assert new.count() == cards.count() and words.count() == u.count()
+
+
+def test_name_pairs_equal_all_pairs(spark):
+    """Blocking on letter pairs loses no pair that comparing all with all finds."""
+    import random
+    import re
+    from itertools import combinations
+
+    from kinspan.functions import fuzzy
+
+    random.seed(6)
+    base = ["Edith Pargeter", "Rose Ann Miller", "aaaaaaa", "Jon Smith", "Li", "Margaret O'Neill", "Theodora Quill"]
+    names = []
+    for i in range(90):
+        w = list(random.choice(base))
+        for _ in range(random.randint(0, 3)):
+            at = random.randrange(len(w) + 1)
+            w[at : at + random.randint(0, 1)] = random.choice(["", "a", "r", "x y"])
+        names.append("".join(w))
+    rows = [(f"c{i % 2}", f"p{i}", n, i) for i, n in enumerate(names)]
+    key = lambda n: re.sub(r"[^0-9a-z]", "", n.lower())
+    want = set()
+    for (c, i, n, _), (d, j, m, _) in combinations(rows, 2):
+        a, b = key(m), key(n)
+        x, y = (re.findall("[a-z]+", s.lower()) for s in (n, m))
+        short = len(x) > 1 and len(y) > 1 and x[-1] == y[-1] and x[0] != y[0] and (x[0].startswith(y[0]) or y[0].startswith(x[0]))
+        if c == d and a and b and (a == b or short or fuzzy.ratio(a, b, autojunk=True) >= fuzzy.SAME_NAME):
+            want.add((c, j, i))
+    df = spark.createDataFrame(rows, "case_id string, id string, name string, at int")
+    assert {(r["case_id"], r["id"], r["other_id"]) for r in validators.name_pairs(df).collect()} == want and len(want) > 100
+
+
+def test_export_gate(case):
+    ok, held = validators.export_gate(validators.run_all(case))
+    assert ids(held, "case_id") == ["c"] and ok.isEmpty()
+    ok, held = validators.export_gate(validators.run_all(case), force=True)
+    assert ids(ok, "case_id") == ["c"] and held.isEmpty() and ok.first()["blocking"] > 0
+
+
+def test_portfolio_totals(spark):
+    rows = spark.createDataFrame([("a", 600, "B"), ("a", 700, "B"), ("b", 30, "A")], "case_id string, minutes int, package string")
+    r = reports.portfolio_totals(rows).first()
+    assert (r["cases"], r["minutes"], r["over_target"]) == (2, 1330, 1) and r["mean_hours"] == pytest.approx(1330 / 120)
+    assert reports.portfolio_totals(rows.limit(0)).first()["mean_hours"] == 0
+
+
+def test_revisions_exports_and_logs_on_disk(spark, tmp_path):
+    doc = lambda i, n: {"meta": {"id": i, "owner_name": n}, "revision": 1}
+    for i in ("c1", "c2"):
+        d = tmp_path / "cases" / i
+        d.mkdir(parents=True)
+        (d / "archive.json").write_text(json.dumps(doc(i, "Rose")))
+    a = archive.read_archives(spark, str(tmp_path))
+    assert archive.require_case(a, "c2").count() == 1
+    with pytest.raises(ValueError, match="c1, c2"):
+        archive.require_case(a, "c3")
+    out = str(tmp_path / "out")
+    archive.export_portable(a, out)
+    archive.export_portable(a.where("meta.id = 'c1'"), out)
+    assert {r["case_id"] for r in spark.read.text(out).collect()} == {"c1", "c2"}
+    revs = spark.range(1, 34).select(F.lit("c1").alias("case_id"), F.col("id").cast("int").alias("revision"), F.lit("x").alias("value"))
+    kept = str(tmp_path / "revisions")
+    revs.write.partitionBy("case_id", "revision").text(kept)
+    assert archive.prune(spark, revs, kept) == 3
+    assert sorted(r["revision"] for r in spark.read.text(kept).collect()) == list(range(4, 34))
+    log = str(tmp_path / "log")
+    seg = spark.createDataFrame([(0, 0.0, 1.0, "a"), (1, 1.0, 2.0, "b")], "ord int, start double, end double, text string")
+    archive.append_checkpoint(seg.coalesce(1), log, "k")
+    archive.append_checkpoint(seg.withColumn("ord", F.col("ord") + 2).coalesce(1), log, "k")
+    assert sorted((r["key"], r["ord"]) for r in archive.read_checkpoint(spark, log).collect()) == [("k", i) for i in range(4)]
+
+
+MERGED = "case_id string, window int, result string"
+
+
+def _merge(spark, results, n=6, **how):
+    u = spark.createDataFrame([("c", f"u{i}", f"We crossed the river on day {i} of that year.", None) for i in range(1, n)], "case_id string, id string, text string, t_start string")
+    w = spark.createDataFrame([("c", k, f"u{i}") for k in range(len(results)) for i in range(1, n)], "case_id string, window int, id string")
+    rows = merge.merge_results(spark.createDataFrame([("c", k, json.dumps(r)) for k, r in enumerate(results)], MERGED), u, w, **how).collect()
+    return lambda name: [json.loads(x["record"]) for x in sorted(rows, key=lambda x: x["ord"]) if x["collection"] == name]
+
+
+def test_merge_names_the_owner(spark):
+    owners = spark.createDataFrame([("c", "Rose")], "case_id string, name string")
+    claim = lambda t: {"text": t, "kind": "place", "source_utterance_ids": ["u1"]}
+    card = {"title": "The story owner leaves", "setup": "The interviewee packed.", "strength": 2, "source_utterance_ids": ["u2"], "quotes": [{"text": "we crossed the river on day 2 of that year", "source_utterance_id": "u2"}]}
+    get = _merge(spark, [{"claims": [claim("The story owner was born in Leeds"), claim("Rose was born in Leeds")], "story_cards": [card]}], owners=owners)
+    assert [c["text"] for c in get("claims")] == ["Rose was born in Leeds"] and get("report")[0]["duplicates_merged"] == 1
+    assert (get("story_cards")[0]["title"], get("story_cards")[0]["setup"]) == ("Rose leaves", "Rose packed.")
+
+
+def test_merge_into_records_that_are_there(spark):
+    """A second session's results meet the records of the first one."""
+    first = {"people": [{"name": "Father", "relationship": None, "source_utterance_ids": ["u1"]}], "claims": [{"text": "It was cold.", "kind": "event", "importance": 2, "source_utterance_ids": ["u1"]}]}
+    first["story_cards"] = [{"title": "River", "setup": "s", "strength": 2, "source_utterance_ids": ["u1", "u2"], "quotes": [{"text": "the river on day 1", "source_utterance_id": "u1"}], "people": ["Uncle"]}]
+    one = _merge(spark, [first])
+    known = spark.createDataFrame([("c", name, r["id"], i, json.dumps(r)) for name in ("people", "places", "claims", "quotes", "story_cards") for i, r in enumerate(one(name))], merge.OUT)
+    second = {"people": [{"name": "father ", "relationship": "father", "source_utterance_ids": ["u3", "u3"]}, {"name": "Dad", "relationship": None, "source_utterance_ids": []}], "claims": [{"text": "it was cold", "kind": "event", "importance": 4, "source_utterance_ids": ["u2"]}, {"text": "It rained.", "kind": "event", "source_utterance_ids": ["u2"]}]}
+    second["story_cards"] = [{"title": "river", "setup": "longer", "strength": 1, "choice": "go", "source_utterance_ids": ["u2", "u3", "u4", "u5"], "quotes": [{"text": "The river on day 1", "source_utterance_id": "u1"}], "people": ["Aunt"]}]
+    known = known.withColumn("record", F.when(F.col("id") == one("people")[0]["id"], F.replace("record", F.lit('"sources"'), F.lit('"aliases": ["Dad"], "sources"'))).otherwise(F.col("record")))
+    two = _merge(spark, [second], existing=known)
+    assert [(p["name"], p["relationship"], p["sources"]) for p in two("people")] == [("Father", "father", ["u1", "u3", "u3"]), ("Uncle", None, [])]
+    assert [(c["text"], c["importance"], c["sources"]) for c in two("claims")] == [("It was cold.", 4, ["u1", "u2"]), ("It rained.", 3, ["u2"])]
+    (card,) = two("story_cards")
+    assert (card["title"], card["setup"], card["choice"], card["sources"], len(card["quote_ids"]), len(card["claim_ids"])) == ("River", "longer", "go", ["u1", "u2", "u3", "u4", "u5"], 1, 2)
+    rep = two("report")[0]
+    assert (rep["claims_added"], rep["quotes_added"], rep["story_cards_added"], rep["people_added"], rep["places_added"], rep["duplicates_merged"]) == (1, 0, 0, 0, 0, 2)
