@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspan.llm.common import components, staged
+from kinspan.llm.common import components, drop, staged
 
 COSINE = 0.93
 #: Leading principal dimensions that the grid uses, rows of a sequence interval written as one block, rows compared at once.
 GRID, BLOCK, LEAF = 6, 512, 64
+#: Blocks that are joined in one task with so many others; directions whose cells bring intervals together.
+SUPER, NEAR_BY = 8, 2
 #: Slack for rounding in distances, so that nothing within reach is skipped.
 SLACK = 1e-6
 
@@ -69,7 +71,7 @@ def _placed(distinct: DataFrame, directions: np.ndarray, eps: float) -> DataFram
             x["cells"] = list(np.floor(lead / eps).astype(np.int32))
             yield x
 
-    return distinct.mapInPandas(run, "vec_id long, label long, dim int, times long, vec array<double>, lead array<double>, cells array<int>")
+    return distinct.mapInPandas(run, "vec_id long, label string, dim int, times long, vec array<double>, lead array<double>, cells array<int>")
 
 
 def _blocks(placed: DataFrame, block: int) -> DataFrame:
@@ -85,7 +87,7 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
             nonlocal n
             lead = np.stack(list(rows["lead"]))
             unit = _unit(np.concatenate(list(rows["vec"])).astype(np.float64), len(rows), int(rows["dim"].iloc[0]))
-            out = (part << 32 | n, int(rows["label"].iloc[0]), int(rows["dim"].iloc[0]), lead.min(axis=0).tolist(), lead.max(axis=0).tolist(), rows["vec_id"].to_numpy(np.int64).tobytes(), rows["times"].to_numpy(np.int64).tobytes(), lead.tobytes(), unit.tobytes())
+            out = (part << 32 | n, rows["label"].iloc[0], int(rows["dim"].iloc[0]), lead.min(axis=0).tolist(), lead.max(axis=0).tolist(), rows["vec_id"].to_numpy(np.int64).tobytes(), rows["times"].to_numpy(np.int64).tobytes(), lead.tobytes(), unit.tobytes())
             n += 1
             return out
 
@@ -108,7 +110,7 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
         if held:
             yield pd.DataFrame([packed(held[0])], columns=columns)
 
-    return ordered.mapInPandas(run, "block long, label long, dim int, low array<double>, high array<double>, ids binary, times binary, lead binary, unit binary")
+    return ordered.mapInPandas(run, "block long, label string, dim int, low array<double>, high array<double>, ids binary, times binary, lead binary, unit binary")
 
 
 def apart(low_a, high_a, low_b, high_b) -> float:
@@ -145,51 +147,85 @@ def ego_join(a: dict, b: dict, same: bool, eps: float, cosine: float, found) ->
     go(0, len(a["ids"]), 0, len(b["ids"]))
 
 
-def _joined(pairs: DataFrame, cosine: float, eps: float) -> DataFrame:
-    """For each pair of blocks: links added per vector, and a few links that connect what is linked in the pair."""
+def near_blocks(bounds: DataFrame, grid: int, eps: float) -> DataFrame:
+    """(block, block_b, super, super_b): pairs of blocks of one label whose boxes lie within reach, block <= block_b.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for r in x.itertuples(index=False):
-                side = []
-                for ids, times, lead, unit in ((r.ids, r.times, r.lead, r.unit), (r.ids_b, r.times_b, r.lead_b, r.unit_b)):
-                    n = len(ids) // 8
-                    side.append({"ids": np.frombuffer(ids, np.int64), "times": np.frombuffer(times, np.int64), "lead": np.frombuffer(lead).reshape(n, -1), "unit": np.frombuffer(unit).reshape(n, -1)})
-                a, b = side
-                same = r.block == r.block_b
-                na, nb = np.zeros(len(a["ids"]), np.int64), np.zeros(len(b["ids"]), np.int64)
-                size = len(na) + (0 if same else len(nb))
-                shift = 0 if same else len(na)
-                parent = list(range(size))
-
-                def root(i, parent=parent):
-                    while parent[i] != i:
-                        parent[i] = parent[parent[i]]
-                        i = parent[i]
-                    return i
-
-                edges = []
-
-                def found(i, j, a=a, b=b, na=na, nb=nb, shift=shift, parent=parent, root=root, edges=edges):
-                    np.add.at(na, i, b["times"][j])
-                    np.add.at(nb, j, a["times"][i])
-                    for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                        s, t = root(p), root(q + shift)
+    Intervals of SUPER blocks in sequence are brought together first, by the cells of the first directions that their boxes
+    touch; only blocks of intervals within reach are compared.
+    """
+    where = F.floor(F.col("block") / SUPER).cast("long")
+    of = bounds.withColumn("super", F.xxhash64("label", "dim", where))
+    edge = lambda f, c: F.array(*[f(F.get(c, i)) for i in range(grid)]).alias(c)
+    upper = staged(of.groupBy("super", "label", "dim").agg(edge(F.min, "low"), edge(F.max, "high")), "ego-intervals")
+    cell = lambda c: F.floor(c / eps)
+    axes = range(min(NEAR_BY, grid))
+    left, right = upper, upper.select(*[F.col(c).alias(f"{c}_b") for c in upper.columns])
+    for i in axes:
+        left = left.withColumn(f"cell{i}", F.explode(F.sequence(cell(F.get("low", i)) - 1, cell(F.get("high", i)) + 1)))
+        right = right.withColumn(f"cell{i}", F.explode(F.sequence(cell(F.get("low_b", i)), cell(F.get("high_b", i)))))
+    gap = F.aggregate(
+        F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("low_b", "high_b"), lambda x, y: F.greatest(F.lit(0.0), x["low"] - y["high_b"], y["low_b"] - x["high"])),
+        F.lit(0.0),
+        lambda s, g: s + g * g,
+    )
+    reach = gap <= (eps + SLACK) ** 2
+    keys = [f"cell{i}" for i in axes]
+    near = left.join(right.withColumnsRenamed({"label_b": "label", "dim_b": "dim"}), ["label", "dim", *keys]).where((F.col("super") <= F.col("super_b")) & reach)
+    near = staged(near.select("super", "super_b").distinct(), "ego-near")
+    a, b = of.select("block", "low", "high", "super"), of.select(*[F.col(c).alias(f"{c}_b") for c in ("block", "low", "high", "super")])
+    # of an interval with itself each pair of blocks is taken once
+    once = (F.col("super") != F.col("super_b")) | (F.col("block") <= F.col("block_b"))
+    pairs = staged(near.join(a, "super").join(b, "super_b").where(reach & once).select("block", "block_b", "super", "super_b"), "ego-pairs")
+    drop(upper, near)
+    return pairs
+
+
+def _joined(blocks: DataFrame, pairs: DataFrame, cosine: float, eps: float) -> DataFrame:
+    """For each pair of intervals: links added per vector, and a few links that connect what is linked in them.
+
+    A block is sent once to each interval that has a partner of it; such a task holds 2 * SUPER blocks at most.
+    """
+    key = ["super", "super_b"]
+    asked = pairs.groupBy(*key, "block").agg(F.collect_list("block_b").alias("others"))
+    also = pairs.select(*key, F.col("block_b").alias("block"), F.array().cast("array<long>").alias("others"))
+    wanted = asked.unionByName(also).groupBy(*key, "block").agg(F.flatten(F.collect_list("others")).alias("others"))
+    rows = wanted.join(blocks.select("block", "ids", "times", "lead", "unit"), "block")
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        side, place = {}, {}
+        for r in x.itertuples(index=False):
+            n = len(r.ids) // 8
+            side[r.block] = {"ids": np.frombuffer(r.ids, np.int64), "times": np.frombuffer(r.times, np.int64), "lead": np.frombuffer(r.lead).reshape(n, -1), "unit": np.frombuffer(r.unit).reshape(n, -1)}
+            place[r.block] = sum(len(s["ids"]) for s in side.values()) - n
+        ids = np.concatenate([s["ids"] for s in side.values()])
+        count, parent, edges = np.zeros(len(ids), np.int64), list(range(len(ids))), []
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for r in x.itertuples(index=False):
+            for other in r.others:
+                a, b, at_a, at_b = side[r.block], side[other], place[r.block], place[other]
+
+                def found(i, j, a=a, b=b, at_a=at_a, at_b=at_b):
+                    np.add.at(count, i + at_a, b["times"][j])
+                    np.add.at(count, j + at_b, a["times"][i])
+                    for p, q in zip((i + at_a).tolist(), (j + at_b).tolist(), strict=True):
+                        s, t = root(p), root(q)
                         if s != t:
                             parent[s] = t
-                            edges.append((a["ids"][p], b["ids"][q]))
+                            edges.append((p, q))
 
-                ego_join(a, b, same, eps, cosine, found)
-                if same:
-                    na, nb = na + nb, nb[:0]
-                ids, n = np.concatenate([a["ids"], b["ids"][: len(nb)]]), np.concatenate([na, nb])
-                some = n > 0
-                if some.any():
-                    yield pd.DataFrame({"a": ids[some], "b": None, "n": n[some]}).astype({"b": "Int64"})
-                if edges:
-                    yield pd.DataFrame({"a": [e[0] for e in edges], "b": pd.array([e[1] for e in edges], "Int64"), "n": 0})
+                ego_join(a, b, r.block == other, eps, cosine, found)
+        some = count > 0
+        links = pd.DataFrame({"a": [int(ids[p]) for p, _ in edges], "b": pd.array([int(ids[q]) for _, q in edges], "Int64"), "n": 0})
+        counts = pd.DataFrame({"a": ids[some], "b": pd.array([None] * int(some.sum()), "Int64"), "n": count[some]})
+        return pd.concat([counts, links]) if len(links) else counts
 
-    return pairs.mapInPandas(run, "a long, b long, n long")
+    return rows.groupBy(*key).applyInPandas(run, "a long, b long, n long")
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -198,34 +234,24 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Data
     Vectors of one label and length link at a cosine of at least `cosine`, in double precision. Equal vectors are joined
     once and count as often as they occur. Vectors that are null, zero or hold null or non-finite components, and rows
     without a label, have no links and are their own component. Rows repeated under one vec_id count as vectors of their
-    own in n_links but share a component. An empty table gives an empty result; extra columns are ignored.
+    own in n_links but share a component. Labels of any type are compared as they are. Vectors of any length will do; one
+    task holds 2 * SUPER blocks of them. An empty table gives an empty result; extra columns are ignored.
     """
-    v = usable(vectors).select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
-    v = v.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # one zero
-    v = v.withColumn("same", F.xxhash64("vec"))
+    text_of = lambda c: (c + F.lit(0.0) if vectors.schema["label"].dataType.simpleString() in ("float", "double") else c).cast("string")
+    label, one_zero = text_of(F.col("label")).alias("label"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec")
+    v = usable(vectors).select("vec_id", label, one_zero)
     distinct = v.groupBy("label", "vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"))
     distinct = staged(distinct.select("vec_id", "label", F.size("vec").alias("dim"), "times", "vec"), "ego-distinct")
-    of = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec"))
+    of = vectors.select("vec_id", label, one_zero)
     dim = distinct.agg(F.max("dim")).first()[0]
     if dim is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    blocks = staged(_blocks(_placed(distinct, _principal(distinct, dim), eps), block), "ego-blocks")
-    bounds = blocks.select("block", "label", "dim", "low", "high")
-    # boxes within reach of each other share or neighbour a cell on the first direction
-    cell = lambda c: F.floor(c / eps)
-    left = bounds.withColumn("cell", F.explode(F.sequence(cell(F.get("low", 0)) - 1, cell(F.get("high", 0)) + 1)))
-    right = bounds.select(*[F.col(c).alias(f"{c}_b") for c in bounds.columns]).withColumn("cell_b", F.explode(F.sequence(cell(F.get("low_b", 0)), cell(F.get("high_b", 0)))))
-    gap = F.aggregate(
-        F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("low_b", "high_b"), lambda x, y: F.greatest(F.lit(0.0), x["low"] - y["high_b"], y["low_b"] - x["high"])),
-        F.lit(0.0),
-        lambda s, g: s + g * g,
-    )
-    near = left.join(right, (F.col("label") == F.col("label_b")) & (F.col("dim") == F.col("dim_b")) & (F.col("cell") == F.col("cell_b")) & (F.col("block") <= F.col("block_b")))
-    near = staged(near.where(gap <= (eps + SLACK) ** 2).select("block", "block_b").distinct(), "ego-pairs")
-    data = blocks.select("block", "ids", "times", "lead", "unit")
-    pairs = near.join(data, "block").join(data.select(*[F.col(c).alias(f"{c}_b") for c in data.columns]), "block_b")
-    found = staged(_joined(pairs, cosine, eps), "ego-links")
+    directions = _principal(distinct, dim)
+    blocks = staged(_blocks(_placed(distinct, directions, eps), block), "ego-blocks")
+    pairs = near_blocks(blocks.select("block", "label", "dim", "low", "high"), directions.shape[1], eps)
+    found = staged(_joined(blocks, pairs, cosine, eps), "ego-links")
+    drop(blocks, pairs)
     n = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     comp = components(found.where("b is not null").select("a", "b"))
     classes = distinct.join(n, distinct["vec_id"] == n["a"], "left").join(comp, distinct["vec_id"] == comp["node"], "left")
@@ -236,6 +262,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Data
         F.coalesce("component", "vec_id").alias("component_id"),
     )
     classes = staged(classes, "ego-classes")
+    drop(distinct, found)
     out = of.join(classes, (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

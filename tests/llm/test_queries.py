@@ -262,6 +262,10 @@ def test_op4_blocks_and_dirty_vectors(spark):
     assert got == {i: (len(links[i]), comp[i], comp[i] == i) for i in links}
     assert sum(len(x) for x in links.values()) > 500
     assert embedding_dedup.link(df.limit(0)).count() == 0
+    few = df.where("vec_id < 40").unionByName(df.where("vec_id = 7"))  # a vec_id that repeats, and labels of other types
+    for kind in ("label", "label + 0.5D", "concat('x', label)"):
+        again = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.link(few.withColumn("label", F.expr(kind)), block=16).collect()}
+        assert again == {(i, len({j for j in links[i] if j < 40}) + sum(j == 7 for j in links[i] | {i}), c) for i, _, c in again} and len(again) == 40
 
 
 # ---- 5 HTML extraction
