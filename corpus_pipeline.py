@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspan.llm import decontamination, language_id, mixing, simhash_dedup, substring_dedup
-from kinspan.llm.common import shielded, staged
+from kinspan.llm.common import drop, shielded, staged
 
 #: A language is taken as found from this probability on.
 CERTAIN = 0.5
@@ -63,6 +63,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            drop(before)  # its successor is written
     return STAGES[-1][1](spark, docs, sf_dir)
