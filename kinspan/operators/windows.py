@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,9 +162,9 @@ def checklist(turns: DataFrame, hints: list[str] | None = None) -> DataFrame:
 def word_runs(rows: DataFrame, text: str, size: int, keep: list[str]) -> DataFrame:
     """(keep, pos, h) for each run of `size` words of a cleaned text: its place from 0 and its hash.
 
-    Words are split in a projection of their own; inside the lambda they would be split anew for each run.
+    Each word is hashed once, in a projection of its own, and a run by the hashes of its words.
     """
-    words = F.filter(F.split(F.col(text), " "), lambda x: x != "")
+    words = F.transform(F.filter(F.split(F.col(text), " "), lambda x: x != ""), lambda x: F.xxhash64(x))
     d = rows.select(*keep, words.alias("_w")).where(F.size("_w") >= size)
     return d.select(*keep, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - size + 1), lambda i: F.xxhash64(F.slice(F.col("_w"), i, F.lit(size))))).alias("pos", "h"))
 
@@ -191,11 +189,13 @@ def least_supported(sentences: DataFrame, vocabulary: DataFrame, units_of: str =
 
     sentences: chapter, pos, sentence and an array of comparison units, which count with repeats; vocabulary: unit.
     """
-    each = sentences.where(F.size(units_of) >= least).select("chapter", "pos", "sentence", F.explode(units_of).alias("unit"))
+    each = sentences.where(F.size(units_of) >= least).select("chapter", "pos", F.explode(units_of).alias("unit"))
     heard = vocabulary.select("unit").distinct().withColumn("_in", F.lit(1))
-    s = each.join(heard, "unit", "left").groupBy("chapter", "pos", "sentence").agg((F.count("_in") / F.count("*")).alias("support")).where(F.col("support") < below)
+    s = each.join(heard, "unit", "left").groupBy("chapter", "pos").agg((F.count("_in") / F.count("*")).alias("support")).where(F.col("support") < below)
     w = Window.partitionBy("chapter").orderBy("support", "pos")
-    return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_chapter)
+    few = s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_chapter)
+    # sentences are moved once, not with each of their words
+    return few.join(sentences.select("chapter", "pos", "sentence"), ["chapter", "pos"]).select("chapter", "pos", "sentence", "support", "place")
 
 
 def sentences_of(chapters: DataFrame) -> DataFrame:
@@ -209,18 +209,3 @@ def gap_sessions(rows: DataFrame, by: list[str], at: str, seconds: float) -> Dat
     w = Window.partitionBy(*by).orderBy(at)
     new = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) - F.lag(F.unix_micros(F.col(at).cast("timestamp"))).over(w) > int(seconds * 1e6), F.lit(True))
     return rows.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(w)).drop("_new")
-
-
-def pieces(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Halves windows too large for a provider: overlapping by 2 on each side, no smaller than 8 rows, three times at most."""
-    for x in batches:
-        yield from _halves(x, size, 0)
-
-
-def _halves(x: pd.DataFrame, size: int, depth: int) -> Iterator[pd.DataFrame]:
-    if len(x) <= size or len(x) < 8 or depth == 3:
-        yield x
-        return
-    middle = len(x) // 2
-    yield from _halves(x.iloc[: middle + 2], size, depth + 1)
-    yield from _halves(x.iloc[max(0, middle - 2) :], size, depth + 1)
