@@ -1,14 +1,15 @@
-"""Substring dedup by counting windows, grouped by anchor.
-
-This takes the place of relative Lempel-Ziv parsing: no reference is built and no factor is extended against one. What is
-removed are the words of all windows that occur twice in the corpus, and counting finds these exactly.
+"""Substring dedup by relative Lempel-Ziv parsing against routed reference blocks.
 
 A match of `window` words always shares an anchor: the smallest k-gram hash of the window, which depends on the window's
-words alone. Each anchor of a document has a context: the words of all windows that it stands for. A context seen twice
-is repeated whole. Where an anchor has several contexts, each of their windows is counted by itself.
-
-Counts per context and per window are combined before the shuffle, so a passage in any number of documents makes no
-large group, and contexts and windows are only built where an anchor occurs at least twice.
+words alone. Each anchor of a document has a context: the words of all windows that it stands for. So what a document has in
+common with any other lies in the reference block of one of its anchors, the different contexts of that anchor, and only
+there is it parsed. A context seen twice is one factor, whole. Others are factored greedily, each against the block without
+itself: the longest match from a place on, compared word by word; a factor of `window` words or more makes its windows
+duplicates, and parsing goes on at the first window over the factor's end, so none across a boundary is missed.
+
+A block has BLOCK contexts at most. Windows of an anchor with more of them, as where one phrase stands in very many
+different surroundings, are counted by hash instead, so no anchor makes a large group; contexts and windows are only built
+where an anchor occurs at least twice. Hashes of contexts and windows are compared within their anchor alone.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from kinspan.llm.common import WordHashes, drop, mix, prefix_sums, row_key, span
 
 WINDOW = 35
 GRAM = 12
+#: Contexts of a reference block.
+BLOCK = 128
 
 
 def anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
@@ -69,23 +72,100 @@ def _occurrences(docs: DataFrame, window: int, k: int) -> DataFrame:
     return docs.select("_key", "_id", "text").mapInArrow(run, schema)
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """The windows of the contexts in column todo, by hash."""
+def _segments(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """The contexts in column todo: word hashes and the anchor's place for a reference block, or their windows to be counted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for x in batches:
             out = []
             for text, todo in zip(x["text"], x["todo"], strict=True):
-                h = window_hashes(prefix_sums(hashes.of(text.encode().split())), window)
+                h = hashes.of(text.encode().split())
+                sums = prefix_sums(h)
                 for t in todo:
-                    at = np.arange(t["first"], t["first"] + t["n"])
-                    out.append((h[at].view(np.int64), np.full(len(at), t["context"], np.int64), np.arange(len(at), dtype=np.int8), np.full(len(at), t["times"] > 1)))
+                    first, end = t["first"], t["first"] + t["n"] + window - 1
+                    words = windows = None
+                    at = 0
+                    if t["c"] > BLOCK:
+                        starts = np.arange(first, first + t["n"])
+                        windows = span_hashes(sums, starts, starts + window).view(np.int64)
+                    else:
+                        places = np.arange(first, end - k + 1)
+                        at = int(np.argmax(span_hashes(sums, places, places + k).view(np.int64) == t["anchor"]))
+                        words = h[first:end].view(np.int64)
+                    out.append((t["anchor"], t["context"], t["times"] > 1, t["n"], at, words, windows))
             if out:
-                a = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pd.DataFrame({"window": a[0], "context": a[1], "j": a[2], "often": a[3]})
+                yield pd.DataFrame(out, columns=["anchor", "context", "often", "n", "at", "words", "windows"])
+
+    return docs.mapInPandas(run, "anchor long, context long, often boolean, n int, at int, words array<long>, windows array<long>")
+
+
+def _extensions(parts: list[np.ndarray], width: int) -> np.ndarray:
+    """How many words each two of the parts have in common from their start on."""
+    x, size = np.zeros((len(parts), width), np.int64), np.array([len(p) for p in parts])
+    for row, p in zip(x, parts, strict=True):
+        row[: len(p)] = p
+    same = np.minimum.accumulate(x[:, None, :] == x[None, :, :], axis=2).sum(axis=2)
+    return np.minimum(same, np.minimum(size[:, None], size[None, :]))
+
+
+def factors(block: list[tuple[np.ndarray, int, int, bool]], window: int, k: int) -> list[int]:
+    """For each context (words, place of the anchor, windows, seen more than once) a bit mask of the windows that factors hold.
+
+    A context seen once is factored against the others; one seen more often is a factor itself.
+    """
+    left = _extensions([w[:at][::-1] for w, at, _, _ in block], window - k)
+    right = _extensions([w[at + k :] for w, at, _, _ in block], window - k)
+    gram = np.stack([w[at : at + k] for w, at, _, _ in block])
+    fits = (gram[:, None, :] == gram[None, :, :]).all(axis=2)
+    np.fill_diagonal(fits, False)
+    # longest match to the right of a partner that matches so far to the left, or further
+    reach = np.full((len(block), window - k + 1), -1)
+    i, j = np.nonzero(fits)
+    np.maximum.at(reach, (i, left[i, j]), right[i, j])
+    reach = np.maximum.accumulate(reach[:, ::-1], axis=1)[:, ::-1].tolist()
+    out = []
+    for (_, at, n, often), longest in zip(block, reach, strict=True):
+        mask = (1 << n) - 1 if often else 0
+        start = n if often else 0
+        while start < n:
+            more = longest[at - start]
+            held = at - start + k + more - window + 1 if more >= 0 else 0
+            if held > 0:
+                mask |= ((1 << held) - 1) << start
+                start += held
+            else:
+                start += 1
+        out.append(mask)
+    return out
+
+
+def _parsed(segments: DataFrame, window: int, k: int) -> DataFrame:
+    """(anchor, context, mask) of the contexts of each anchor, parsed against one another. Sorted, so a block is read at once."""
+    rows = segments.where("words is not null").select("anchor", "context", "often", "n", "at", "words").repartition("anchor").sortWithinPartitions("anchor")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(x: pd.DataFrame) -> pd.DataFrame:
+            anchors_, found = x["anchor"].to_numpy(), []
+            rows = list(zip(x["words"], x["at"], x["n"], x["often"], strict=True))
+            cuts = [0, *(np.flatnonzero(anchors_[1:] != anchors_[:-1]) + 1).tolist(), len(rows)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                found += factors(rows[a:b], window, k)
+            return pd.DataFrame({"anchor": anchors_, "context": x["context"], "mask": np.array(found, np.int64)})
+
+        for x in batches:
+            if len(x):
+                x = pd.concat([*held, x]) if held else x
+                last = x["anchor"] == x["anchor"].iloc[-1]
+                held = [x[last]]
+                if not last.all():
+                    yield done(x[~last])
+        if held:
+            yield done(held[0])
 
-    return docs.mapInPandas(run, "window long, context long, j byte, often boolean")
+    return rows.mapInPandas(run, "anchor long, context long, mask long")
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
@@ -98,20 +178,21 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = GRAM) -> D
     drop(every, shared)
     contexts = occ.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("_key", "_id", "first", "n")).alias("at"))
     contexts = staged(contexts.select("anchor", "context", "times", "at.*"), "rlz-contexts")
-    # an anchor with one context has been found whole each time; others are parsed window by window, once per context
-    several = staged(contexts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "rlz-several")
-    todo = contexts.join(several, "anchor").groupBy("_key", "_id").agg(F.collect_list(F.struct("context", "first", "n", "times")).alias("todo"))
+    # an anchor with one context has been found whole each time; others make a reference block
+    several = staged(contexts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "rlz-several")
+    todo = contexts.join(several, "anchor").groupBy("_key", "_id").agg(F.collect_list(F.struct("anchor", "context", "first", "n", "times", "c")).alias("todo"))
     todo = staged(todo, "rlz-todo")
     text = docs.select("_key", "_id", "text").join(todo, ["_key", "_id"]).dropDuplicates(["_key", "_id"]).select("text", "todo")
-    windows = staged(_windows(text, window), "rlz-windows")
+    segments = staged(_segments(text, window, k), "rlz-segments")
     drop(several, todo)
-    counts = windows.groupBy("window").agg(F.count("*").alias("c"), F.max("often").alias("often"))
-    again = staged(counts.where("c > 1 or often").select("window"), "rlz-repeated")
-    masks = windows.join(again, "window").groupBy("context").agg(F.expr("bit_or(shiftleft(1L, cast(j as int)))").alias("mask"))
-    whole = contexts.where("times > 1").select("context", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    masks = staged(masks.join(whole.select("context"), "context", "left_anti").union(whole), "rlz-masks")
-    drop(windows, again, contexts)
-    found = occ.join(masks, "context").groupBy("_key", "_id").agg(F.collect_set(F.struct("first", "mask")).alias("factors"))
+    windows = segments.where("windows is not null").select("anchor", "context", "often", F.posexplode("windows").alias("j", "window"))
+    again = staged(windows.groupBy("anchor", "window").agg(F.count("*").alias("c"), F.max("often").alias("often")).where("c > 1 or often").select("anchor", "window"), "rlz-repeated")
+    counted = windows.join(again, ["anchor", "window"]).groupBy("anchor", "context").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
+    whole = contexts.where("times > 1").select("anchor", "context", F.expr("shiftleft(1L, n) - 1").alias("mask"))
+    masks = counted.unionByName(_parsed(segments, window, k)).unionByName(whole).groupBy("anchor", "context").agg(F.bit_or("mask").alias("mask"))
+    masks = staged(masks.where("mask <> 0"), "rlz-masks")
+    drop(segments, again, contexts)
+    found = occ.join(masks, ["anchor", "context"]).groupBy("_key", "_id").agg(F.collect_set(F.struct("first", "mask")).alias("factors"))
     found = staged(found, "rlz-factors")
     drop(occ, masks)
     return found
@@ -135,8 +216,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, keep=(), digest: bool = F
     kept_sha256 if digest is set, else as text. A document without a repeated window keeps its text as it is.
     Null and empty texts have no words; repeated rows count as separate documents, so their windows repeat; texts under
     the window's length lose nothing; very long texts are read whole; an empty table gives an empty result; other columns
-    are ignored; those in keep must not be called n_words, n_removed or kept. Windows are equal if 64-bit hashes of their
-    words and of their anchor are.
+    are ignored; those in keep must not be called n_words, n_removed or kept.
     """
     keyed = row_key(docs)
     found = duplicate_windows(keyed, window)

@@ -57,6 +57,37 @@ def test_anchors_cover_every_window(seed):
     assert first[0] == 0 and (first + n == np.append(first[1:], 300 - 35 + 1)).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_factors_of_a_block_are_all_repeated_windows(seed):
+    """Greedy factors of aligned contexts hold just the windows that another context has too."""
+    rng = np.random.default_rng(seed)
+    window, k = 9, 3
+    block = []
+    for _ in range(12):
+        at, after = int(rng.integers(0, window - k + 1)), int(rng.integers(0, window - k + 1))
+        after = max(after, window - k - at)
+        words = np.concatenate([rng.integers(0, 2, at), [7, 8, 9], rng.integers(0, 2, after)]).astype(np.int64)
+        n = min(len(words) - window + 1, at + 1)
+        block.append((words[: n + window - 1], at, n, bool(rng.random() < 0.1)))
+    seen = Counter((at - i, tuple(w[i : i + window])) for w, at, n, often in block for i in range(n) for _ in range(2 if often else 1))
+    want = [sum(1 << i for i in range(n) if seen[at - i, tuple(w[i : i + window])] > 1) for w, at, n, _ in block]
+    assert substring_dedup.factors(block, window, k) == want and any(want)
+
+
+def test_op9_large_blocks_are_counted(spark, monkeypatch):
+    """Anchors with more contexts than a block holds lose nothing."""
+    rng = np.random.default_rng(9)
+    phrase = [f"p{i}" for i in range(30)]
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 3, n)]
+    texts = [" ".join(word(12) + phrase + word(12)) for _ in range(400)] + [" ".join(phrase[:20] * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((i, *x) for i, x in enumerate(removed(texts, 35)))
+    for size in (4, 128):
+        monkeypatch.setattr(substring_dedup, "BLOCK", size)
+        assert sorted(tuple(r) for r in substring_dedup.deduplicate(df, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == want
+    assert 0 < sum(r[2] for r in want) < sum(r[1] for r in want)
+
+
 def brute_fp(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
