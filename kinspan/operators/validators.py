@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspan.functions import fuzzy
-from kinspan.functions.text import clean, key_of, quoted_spans, reader_constant, squash, strip, units
+from kinspan.functions.text import clean, has_cjk, key_of, quoted_spans, reader_constant, squash, strip, units
 from kinspan.operators import queue, visibility, windows
 from kinspan.schema import ACCESS, access_visible, filled, rank, year
 
@@ -70,7 +70,8 @@ def name_pairs(names: DataFrame) -> DataFrame:
     """(case_id, id, other_id, name, other_name, signal): persons of a case who may be one, by their first matching names.
 
     names: case_id, id, name, at (place among all names of the case). Each rule has an equi-join of its own within a case:
-    on equal keys; on the surname and the first letter of the forename; on rare pairs of letters for similar spellings.
+    on equal keys; on the surname and the first letter of the forename; on all characters but one; on rare pairs of letters
+    for similar spellings. Two Chinese names are never compared by similarity; how they sound needs a dictionary.
     """
     words = F.filter(F.split(F.lower("name"), "[^a-z]+"), lambda t: t != "")
     n = names.withColumns({"key": key_of(F.col("name")), "words": words}).where("key <> ''")
@@ -84,9 +85,15 @@ def name_pairs(names: DataFrame) -> DataFrame:
     short = (first_a != first_b) & (F.startswith(first_a, first_b) | F.startswith(first_b, first_a)) & (F.col("a_key") != F.col("b_key"))
     forms = side(m, "a", "_last", "_letter").join(side(m, "b", "_last", "_letter"), ["case_id", "_last", "_letter"]).where(earlier & short)
     forms = forms.withColumn("rule", F.lit("same surname, one forename is a short form of the other"))
-    close = _close_pairs(n).join(forms.select("case_id", "a_at", "b_at"), ["case_id", "a_at", "b_at"], "left_anti")
+    # of Chinese names with one surname, three characters or more and as many, one differs: they meet with that one masked
+    han = n.where(has_cjk(F.col("key")) & (F.length("key") >= 3))
+    masks = F.transform(F.sequence(F.lit(2), F.length("key")), lambda i: F.concat(F.left(F.col("key"), i - 1), F.lit("_"), F.substring(F.col("key"), i + 1, F.length("key"))))
+    han = han.withColumn("_mask", F.explode(masks))
+    one = side(han, "a", "_mask").join(side(han, "b", "_mask"), ["case_id", "_mask"]).where(earlier & (F.col("a_key") != F.col("b_key")))
+    one = one.withColumn("rule", F.lit("same surname, one character different"))
+    close = _close_pairs(n).where(~(has_cjk(F.col("a_key")) & has_cjk(F.col("b_key")))).join(forms.select("case_id", "a_at", "b_at"), ["case_id", "a_at", "b_at"], "left_anti")
     close = close.withColumn("r", fuzzy.name_ratio("a_key", "b_key")).where(F.col("r") >= fuzzy.SAME_NAME).withColumn("rule", F.format_string("similarity %.2f", "r"))
-    found = equal.select(*columns).unionByName(forms.select(*columns)).unionByName(close.select(*columns))
+    found = equal.select(*columns).unionByName(forms.select(*columns)).unionByName(one.select(*columns)).unionByName(close.select(*columns))
     pick = F.struct("a_at", "b_at")
     out = found.groupBy("case_id", F.least("a_id", "b_id").alias("_one"), F.greatest("a_id", "b_id").alias("_two")).agg(F.min_by(F.struct("a_id", "b_id", "a_name", "b_name", "rule"), pick).alias("x"))
     return out.select("case_id", F.col("x.a_id").alias("id"), F.col("x.b_id").alias("other_id"), F.col("x.a_name").alias("name"), F.col("x.b_name").alias("other_name"), F.col("x.rule").alias("signal"))

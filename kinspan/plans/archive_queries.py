@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.operators import queue, reports, validators, visibility
+from kinspan.operators import queue, reports, validators, views, visibility
 from kinspan.plans.catalogue import query, table
 from kinspan.schema import SOURCE, SOURCES
 
@@ -45,6 +45,7 @@ def archive(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.when(F.col("o_orderstatus") == "F", "family").when(F.col("o_orderstatus") == "P", "public").otherwise("operator").alias("access"),
         F.when(F.col("o_totalprice") > 480_000, "restricted").otherwise("routine").alias("sensitivity"),
         F.lit(None).cast("timestamp").alias("released_at"), F.lit(None).cast("string").alias("released_note"),
+        F.when(F.col("o_orderstatus") == "O", "x").alias("conflict"), F.lit("y").alias("consequence"), (1 + key % 5).cast("int").alias("strength"),
     )
     quotes = words.where("l_quantity = 50").select(
         "case_id", F.concat(F.lit("q"), "uid").alias("id"), text.alias("text"), _source(F.when(F.col("l_tax") >= 0.07, F.concat(F.lit("u"), key, F.lit("-0"))).otherwise(F.col("uid"))).alias("source"),
@@ -210,6 +211,17 @@ def release_cards(spark: SparkSession, d: str) -> DataFrame:
     return cards.join(no, ["case_id", "id"], "left").select("case_id", "id", "access", F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
+@query(
+    f"""with {_ARCHIVE}, c as (select case_id, count(*) cards, count(*) filter (st = 'O' and 1 + k % 5 >= 3) scenes, count(*) filter (access <> 'operator' and sensitivity <> 'restricted') released, count(*) filter (sensitivity = 'restricted') restricted
+      from (select card.*, o_orderstatus st from card join o on o_orderkey = k) group by 1)
+    select cast(n_nationkey as varchar) case_id, (select count(*) from utt where utt.case_id = cast(n_nationkey as varchar)) utterances, (select count(*) from supplier where s_nationkey = n_nationkey) people, (select count(*) from cl where cl.case_id = cast(n_nationkey as varchar)) claims,
+      (select count(*) from utt where qty = 50 and utt.case_id = cast(n_nationkey as varchar)) quotes, coalesce(cards, 0) cards, coalesce(scenes, 0) scenes, coalesce(released, 0) released, coalesce(restricted, 0) restricted from nation left join c on c.case_id = cast(n_nationkey as varchar)"""
+)
+def case_status(spark: SparkSession, d: str) -> DataFrame:
+    """What there is of each case."""
+    return views.status(archive(spark, d))
+
+
 _EVENTS = "(select cast(user_id as varchar) case_id, event_type stage, cast(floor(value * 100) as bigint) as mins from events)"
 
 

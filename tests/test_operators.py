@@ -432,3 +432,23 @@ def test_merge_into_records_that_are_there(spark):
     assert (card["title"], card["setup"], card["choice"], card["sources"], len(card["quote_ids"]), len(card["claim_ids"])) == ("River", "longer", "go", ["u1", "u2", "u3", "u4", "u5"], 1, 2)
     rep = two("report")[0]
     assert (rep["claims_added"], rep["quotes_added"], rep["story_cards_added"], rep["people_added"], rep["places_added"], rep["duplicates_merged"]) == (1, 0, 0, 0, 0, 2)
+
+
+def test_chinese_names_with_one_character_different(spark):
+    rows = [("c", str(i), n, i) for i, n in enumerate(["王秀英", "王秀瑛", "李秀英", "王英", "王瑛", "王秀英梅", "王 秀英"])]
+    got = {(r["other_id"], r["id"], r["signal"]) for r in validators.name_pairs(spark.createDataFrame(rows, "case_id string, id string, name string, at int")).collect()}
+    one = "same surname, one character different"
+    assert got == {("0", "1", one), ("1", "6", one), ("0", "6", "identical names on separate records")}
+
+
+def test_views(case, spark):
+    from kinspan.operators import views
+
+    s = views.status(case).where("case_id = 'c'").first()
+    assert s["cards"] == case["story_cards"].count() and s["utterances"] == case["utterances"].count() and s["restricted"] == case["story_cards"].where("sensitivity = 'restricted'").count()
+    a = {**case, "places": make(spark, "places", []), "sessions": make(spark, "sessions", [{"id": "s2", "number": 2}, {"id": "s1", "number": 1}, {"id": "s3", "number": 3}])}
+    one = views.card(a, "c", "b").first()
+    assert one["claims"] == ["Rose was born over the shop."] and one["words"][1] == "My brother never came home." and one["people"] == []
+    assert [(r["id"], r["utterances"]) for r in views.sessions(a).collect()] == [("s1", 3), ("s2", 1), ("s3", 0)]
+    kinds = [r["kind"] for r in views.claims(case).collect()]
+    assert kinds == sorted(kinds, key=schema.CLAIM_KINDS.index) and len(kinds) == case["claims"].count()
