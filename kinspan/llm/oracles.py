@@ -68,4 +68,88 @@ select best.doc_id, best.item_id, cast(min(z.s) - 1 as integer) as "start", cast
 from best join z on z.doc_id = best.doc_id and z.item_id = best.item_id and z.sim = best.similarity group by best.doc_id, best.item_id, similarity
 """
 
-ORACLE = {"op4_embedding_dedup": OP4, "op8_mixing": OP8, "op9_substring_dedup": OP9, "op10_decontamination": OP10}
+#: crc32 of a text of ASCII characters, byte by byte over its table.
+_CRC_TABLE = "select list(v order by i) tab from (select i, list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) v from range(256) r(i))"
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: cast(ascii(x) as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11 = f"""
+with recursive crc as ({_CRC_TABLE}),
+o as (select conv_id, coalesce(role, '') r, coalesce(text, '') t, row_number() over (partition by conv_id order by turn nulls first, role, text) i from conversations where conv_id is not null),
+c as (select conv_id, {_crc("cast(conv_id as varchar)")} % 6 h from (select distinct conv_id from o), crc),
+m as (select c.conv_id, o.i, o.r, o.t from c join o on o.conv_id = c.conv_id - c.conv_id % 100 and o.i <= h union all
+      select c.conv_id, o.i, o.r, o.t from c join o on o.conv_id = c.conv_id and o.i > h),
+n as (select conv_id, row_number() over (partition by conv_id order by i) d, length(t) size, sha256(length(r) || ':' || r || t) k from m),
+p(conv_id, d, size, path) as (
+  select conv_id, cast(0 as bigint), cast(0 as bigint), sha256('') from c union all
+  select n.conv_id, n.d, n.size, sha256(p.path || n.k) from p join n on n.conv_id = p.conv_id and n.d = p.d + 1),
+l as (select conv_id, max(d) last from p group by 1),
+node as (select path, d, any_value(size) size, min(p.conv_id) conv_id, count(*) n,
+    sha256(coalesce(string_agg(cast(p.conv_id as varchar), ',' order by p.conv_id) filter (where d = last), '')) ends
+  from p join l on l.conv_id = p.conv_id group by 1, 2),
+link as (select distinct b.path, a.path parent from p a join p b on b.conv_id = a.conv_id and b.d = a.d + 1),
+kids as (select parent, count(*) n from link group by 1),
+under as (select distinct a.path top, b.path from p a join p b on b.conv_id = a.conv_id and b.d >= a.d),
+sums as (select top, count(*) filter (where kids.n is null) leaves, sum((node.n - 1) * node.size) saved from under join node on node.path = under.path left join kids on kids.parent = under.path group by 1)
+select node.conv_id, node.d depth, up.conv_id parent_conv_id, node.n n_convs, coalesce(kids.n, 0) n_children, leaves n_leaves, cast(saved as bigint) saved_tokens, node.ends ends_sha256
+from node join sums on sums.top = node.path left join link on link.path = node.path left join node up on up.path = link.parent left join kids on kids.parent = node.path
+"""
+
+#: Least (cost, audit, repaired text) as one text: cost in 9 digits, audit, U+0001, turns each after a line feed.
+_NEXT = (2, 2, 3, 2)
+_NAME = {2: "user", 3: "assistant"}
+
+
+def _edit(cost: str, letter: str, turn: str, state: int) -> str:
+    """What stands in x.s{state}, after one more edit at its front."""
+    s = f"x.s{state}"
+    cost = f"lpad(cast(cast(left({s}, 9) as integer) + {cost} as varchar), 9, '0')"
+    rest = f"substr({s}, 10, strpos({s}, chr(1)) - 9)"
+    return f"({cost} || '{letter}' || {rest} || {turn} || substr({s}, strpos({s}, chr(1)) + 1))"
+
+
+def _insert(q: int) -> str:
+    return _edit("5", "I", f"chr(10) || '{_NAME[_NEXT[q]]}:'", _NEXT[q])
+
+
+def _closed(rows: str) -> str:
+    """The rows with turns inserted first: two at most."""
+    once = f"select * replace ({', '.join(f'least(s{q}, {_insert(q)}) as s{q}' for q in range(4))}) from ({rows}) x"
+    return f"select * replace ({', '.join(f'least(s{q}, {_insert(q)}) as s{q}' for q in range(4))}) from ({once}) x"
+
+
+def _row_edits(q: int) -> str:
+    keep = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[q]
+    kept = " ".join(f"when left(o.role, 1) = '{c}' then " + _edit("5 * cast(fault = 3 as integer)", "K", "chr(10) || o.role || ':' || o.text", to) for c, to in keep.items())
+    rerole = _edit("1 + 5 * cast(fault = 3 as integer)", "R", f"chr(10) || '{_NAME[_NEXT[q]]}:' || o.text", _NEXT[q])
+    drop = _edit("2", "D", "''", q)
+    return f"case when fault in (1, 2) then {drop} else least({drop}, {rerole}, case {kept} end) end"
+
+
+_FAR = "'900000000' || chr(1)"
+OP12 = f"""
+with recursive crc as ({_CRC_TABLE}),
+raw as (select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t, {_crc("(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))")} % 20 how from conversations, crc),
+d as (select conv_id, turn, case when how = 4 then 'user' else r end "role", case when how in (0, 1) then '' when how = 2 then regexp_replace(t, '[.!?]', '', 'g') else t end "text" from raw where how <> 0
+      union all select conv_id, turn, r, t from raw where how = 3),
+e as (select *, rtrim("text", chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) v, row_number() over w i, count(*) over (partition by conv_id) n, lag("role") over w before
+      from d window w as (partition by conv_id order by turn nulls first, "role", "text")),
+o as (select *, case when v = '' then 1 when row_number() over (partition by conv_id, "role", "text" order by i) > 1 then 2 when right(v, 1) not in ('.', '!', '?') then 3 else 0 end fault from e),
+facts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (where fault = 1) blank, count(*) filter (where fault = 2) duplicate, count(*) filter (where fault = 3) truncated,
+    count(*) filter (where i > 1 and left(before, 1) || left("role", 1) not in ('su', 'ua', 'au')) illegal from o group by 1),
+v(conv_id, i, s0, s1, s2, s3) as (
+  {_closed(f"select conv_id, max(n) + 1 i, '000000000' || chr(1) s0, {_FAR} s1, {_FAR} s2, '000000000' || chr(1) s3 from o group by 1")}
+  union all
+  {_closed(f"select x.conv_id, o.i, {', '.join(f'{_row_edits(q)} s{q}' for q in range(4))} from v x join o on o.conv_id is not distinct from x.conv_id and o.i = x.i - 1")}
+),
+best as (select conv_id, s0 s from v where i = 1)
+select r.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  coalesce(cast(left(s, 9) as bigint), 0) "cost", coalesce(substr(s, 10, strpos(s, chr(1)) - 10), '') audit, sha256(coalesce(substr(s, strpos(s, chr(1)) + 2), '')) repaired_sha256
+from (select distinct conv_id from raw) r left join facts on facts.conv_id is not distinct from r.conv_id left join best on best.conv_id is not distinct from r.conv_id
+"""
+
+ORACLE = {"op4_embedding_dedup": OP4, "op8_mixing": OP8, "op9_substring_dedup": OP9, "op10_decontamination": OP10, "op11_prefix_trie": OP11, "op12_turn_repair": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.llm import decontamination, embedding_dedup, html_extract, language_id, license_scan, mixing, simhash_dedup, substring_dedup, toxicity, url_filter
+from kinspan.llm import byte_bpe, decontamination, embedding_dedup, html_extract, language_id, license_scan, mixing, prefix_trie, simhash_dedup, substring_dedup, toxicity, turn_repair, url_filter
 from kinspan.llm.common import held_out, staged
 from kinspan.llm.oracles import ORACLE as ORACLE
 
@@ -61,6 +61,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    seqs = prefix_trie.sequences(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_start(seqs, conv - conv % 100, F.crc32(conv.cast("string")) % 6, 5))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turn_repair.repair(turn_repair.damage(_table(spark, sf_dir, "conversations")))
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return found.withColumn("repaired_sha256", F.sha2(lines, 256)).drop("repaired")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -72,4 +92,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_byte_bpe": op13_byte_bpe,
 }
