@@ -330,7 +330,7 @@ def least_supported(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("chapter").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "sentence", "support")
 
 
-@query("select doc_id, len(regexp_extract_all(text, '[.!?。！？…]+[\"''”’」』）)]*\\s*$')) > 0 ends, " + _UNITS + " units, case when length(text) <= 180 then trim(text) else left(text, 177) || '...' end as \"context\", lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) as \"key\" from (select doc_id, string_split(text, chr(10))[1] as \"text\" from documents)")
+@query("select doc_id, len(regexp_extract_all(text, '[.!?。！？…]+[\"''”’」』）)]*\\s*$')) > 0 ends, " + _UNITS + " units, case when length(text) <= 180 then trim(text) else left(text, 177) || '...' end as \"context\", lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) as \"key\" from documents")
 def text_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Scalar functions on the whole text of each document; only the context is a beginning."""
     t = F.col("text")
