@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -27,7 +28,13 @@ def partial(needle: str | None, hay: str | None) -> float:
     if n >= len(hay):
         return ratio(needle, hay)
     places = {min(max(b.b - b.a, 0), len(hay) - n) for b in SequenceMatcher(None, needle, hay, autojunk=False).get_matching_blocks()}
-    return max(ratio(needle, hay[at : at + n]) for at in places)
+    letters, best = Counter(needle), 0.0
+    # no order of the letters matches more than they have in common, so most stretches need no matching
+    for bound, at in sorted(((sum((letters & Counter(hay[at : at + n])).values()) / n, at) for at in places), reverse=True):
+        if bound <= best:
+            break
+        best = max(best, ratio(needle, hay[at : at + n]))
+    return best
 
 
 def partial_ratio(needle: str | Column, hay: str | Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from kinspan.functions import fuzzy
 from kinspan.functions.text import clean, has_cjk, key_of, quoted_spans, reader_constant, squash, strip, units
-from kinspan.operators import queue, visibility, windows
+from kinspan.operators import queue, quotations, visibility, windows
 from kinspan.schema import ACCESS, access_visible, filled, rank, year
+from kinspan.sources.stage import kept
 
 # Limits.
 OLDEST, PRINT_WIDTH = 110, 1500
@@ -121,18 +122,29 @@ def quote_fidelity(quotes: DataFrame, utterances: DataFrame) -> DataFrame:
     )
 
 
-def draft_quotes(drafts: DataFrame, utterances: DataFrame, cases: DataFrame) -> DataFrame:
-    """Quoted passages of a draft (case_id, text) that no transcript has. A case's words are one list, of one case's size."""
+def quoted_passages(drafts: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, span, needle): each quoted passage of the drafts (case_id, text) that is long enough to be judged."""
     lang = cases.select(F.col("id").alias("case_id"), "language")
     spans = drafts.join(lang, "case_id", "left").select("case_id", "language", F.explode(quoted_spans(F.col("text"))).alias("span"))
-    spans = spans.where(units(F.col("span")) >= reader_constant(F.col("language"), "quote")).withColumn("needle", squash(F.col("span"))).where("needle <> ''")
-    lines = utterances.select("case_id", "session_id", "seq", squash(F.col("text")).alias("line"))
-    corpus = lines.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("session_id", "seq", "line"))).alias("all"))
-    corpus = corpus.select("case_id", F.transform("all", lambda x: x["line"]).alias("lines"))
-    left = spans.join(corpus, "case_id", "left").where(~F.coalesce(F.contains(F.array_join("lines", ""), F.col("needle")), F.lit(False)))
-    each = left.select("case_id", "span", "needle", F.explode_outer("lines").alias("line")).withColumn("r", fuzzy.partial_ratio("needle", "line"))
-    best = each.groupBy("case_id", "span").agg(F.max("r").alias("r")).where(F.col("r") < fuzzy.FIDELITY).withColumn("id", F.lit(None).cast("string"))
-    return finding(best, "draft_quotes", "block", F.format_string("quoted passage not found in any transcript (best match %.2f)", "r"), detail=F.left("span", F.lit(90)))
+    spans = spans.where(units(F.col("span")) >= reader_constant(F.col("language"), "quote"))
+    return spans.select("case_id", "span", squash(F.col("span")).alias("needle")).where("needle <> ''")
+
+
+def transcript_lines(utterances: DataFrame) -> DataFrame:
+    return utterances.select("case_id", "session_id", "seq", squash(F.coalesce("text", F.lit(""))).alias("line"))
+
+
+def draft_quotes(drafts: DataFrame, utterances: DataFrame, cases: DataFrame) -> DataFrame:
+    """Quoted passages of a draft (case_id, text) that no transcript has, once for each time that they are quoted.
+
+    The best match told is that of the line most like it by shared runs, 0 if there is none.
+    """
+    spans, lines = kept(quoted_passages(drafts, cases)), kept(transcript_lines(utterances))
+    needles = spans.select("case_id", "needle").distinct()
+    left = kept(needles.join(quotations.verbatim(needles, lines), ["case_id", "needle"], "left_anti"))
+    left = left.join(quotations.nearest(left, lines), ["case_id", "needle"], "left").withColumn("r", F.coalesce("ratio", F.lit(0.0))).where(F.col("r") < fuzzy.FIDELITY)
+    bad = spans.join(left, ["case_id", "needle"]).withColumn("id", F.lit(None).cast("string"))
+    return finding(bad, "draft_quotes", "block", F.format_string("quoted passage not found in any transcript (best match %.2f)", "r"), detail=F.left("span", F.lit(90)))
 
 
 def missing_consents(consents: DataFrame, cases: DataFrame, scopes: list[str], now: Column) -> DataFrame:
