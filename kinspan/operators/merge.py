@@ -13,12 +13,13 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspan.functions.fuzzy import FIDELITY, partial
-from kinspan.functions.text import clean, name_the_owner, strip
+from kinspan.functions.text import clean, key_of, name_the_owner, strip
 from kinspan.providers import RESULT
+from kinspan.sources.stage import kept
 
 # Fixed value: share of common sources from which two cards tell the same moment.
 SAME_SCENE = 0.5
@@ -95,6 +96,41 @@ def moments(cards: list[dict]) -> list[list[dict]]:
     return out
 
 
+def moments_by_joins(cards: DataFrame) -> DataFrame:
+    """Adds moment, the ord of the first card of the moment that a card tells, by the rule of moments().
+
+    cards: case_id, ord (distinct in a case), title, strength, sources (ids); existing, if there, marks records that head a
+    moment of their own. The rule goes from card to card, as a moment's sources and title are those of its cards so far. Here
+    all cards choose at once, by joins on sources, from the moments as they were chosen in the round before, of which a card
+    sees what came before it; a card is settled once those before it are, so when nothing changes any more all have chosen as
+    one after the other would. That takes as many rounds as choices hang on one another, not as there are cards, and a case
+    may be any number of tasks.
+    """
+    existing = F.coalesce("existing", F.lit(False)) if "existing" in cards.columns else F.lit(False)
+    c = kept(
+        cards.select(
+            "case_id", F.col("ord").cast("long").alias("ord"), key_of(F.coalesce("title", F.lit(""))).alias("_key"), F.coalesce("strength", F.lit(0)).cast("int").alias("_strength"),
+            F.coalesce(F.array_distinct(F.array_compact("sources")), F.array().cast("array<string>")).alias("_sources"), existing.alias("_existing"),
+        )
+    )
+    cites = c.select("case_id", "ord", "_existing", F.size("_sources").alias("_own"), "_key", F.explode("_sources").alias("source"))
+    chosen = c.select("case_id", "ord", F.col("ord").alias("moment"))
+    before = Window.partitionBy("case_id", "moment").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    while True:
+        has = cites.select("case_id", "ord", "source").join(chosen, ["case_id", "ord"]).groupBy("case_id", "moment", "source").agg(F.min("ord").alias("at"))
+        met = cites.where("not _existing").join(has, ["case_id", "source"]).where("at < ord").groupBy("case_id", "moment", "ord", "_own", "_key").agg(F.count("*").alias("_common"))
+        told = c.join(chosen, ["case_id", "ord"]).select("case_id", "moment", F.col("ord").alias("at"), F.struct("_strength", (-F.col("ord")).alias("_first"), "_key").alias("_head"))
+        seen = has.select("case_id", "moment", "at", F.lit(1).alias("_n")).unionByName(told, True).unionByName(met.withColumn("at", F.col("ord")), True)
+        seen = seen.withColumns({"_size": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_title": F.max("_head").over(before)["_key"]}).where("_common is not null")
+        same = F.col("_common") >= SAME_SCENE * (F.col("_own") + F.col("_size") - F.col("_common"))
+        found = seen.where(same | ((F.col("_key") != "") & (F.col("_key") == F.col("_title")))).groupBy("case_id", "ord").agg(F.min("moment").alias("moment"))
+        after = kept(c.select("case_id", "ord").join(found, ["case_id", "ord"], "left").select("case_id", "ord", F.coalesce("moment", "ord").alias("moment")))
+        settled = after.join(chosen, ["case_id", "ord", "moment"], "left_anti").isEmpty()
+        chosen = after
+        if settled:
+            return cards.join(chosen.withColumn("ord", F.col("ord").cast(cards.schema["ord"].dataType)), ["case_id", "ord"])
+
+
 class Case:
     """Mentions of one case, and the records that they make."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinspan.operators import quotations, validators
+from kinspan.operators import merge, quotations, validators, windows
 from kinspan.plans.catalogue import _UNITS, query, table
 
 
@@ -55,3 +55,16 @@ def quotes_verbatim(spark: SparkSession, d: str) -> DataFrame:
     needles = validators.quoted_passages(drafts(said), _cases(said)).select("case_id", "needle").distinct()
     found = quotations.verbatim(needles, validators.transcript_lines(said)).withColumn("_there", F.lit(True))
     return needles.join(found, ["case_id", "needle"], "left").select("case_id", "needle", F.col("_there").isNotNull().alias("verbatim"))
+
+
+def scene_cards(said: DataFrame) -> DataFrame:
+    """A card for every four turns of a conversation, three of them shared with the next, titled by the first word."""
+    w = windows.count_windows(said, ["case_id", "session_id"], ["seq"], 4, 3)
+    cards = w.groupBy("case_id", "session_id", "window").agg(F.collect_set("id").alias("sources"), F.min_by(F.element_at(F.split("text", r"\s+"), 1), "seq").alias("title"), (F.sum(F.length("text")) % 5).cast("int").alias("strength"))
+    return cards.withColumn("ord", F.col("session_id").cast("long") * 1_000_000 + F.col("window"))
+
+
+@query()
+def scene_moments(spark: SparkSession, d: str) -> DataFrame:
+    """The moment that each card tells: cards of overlapping windows are the same scene where they share enough."""
+    return merge.moments_by_joins(scene_cards(interviews(spark, d))).select("case_id", "ord", "title", "moment")
