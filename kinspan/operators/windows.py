@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspan.functions.text import clock, dates, ends_sentence, looks_like_question, plausible_speaker, pronunciation_key, role_for, split_sentences, strip, units
+from kinspan.functions.text import CLOSERS, clock, dates, ends_sentence, looks_like_question, plausible_speaker, pronunciation_key, role_for, split_sentences, strip, units
 
 # Sizes and limits.
 SIZE, OVERLAP = 60, 8
@@ -64,50 +67,136 @@ def parse_transcript(lines: DataFrame, by: list[str], number: str = "line_no", o
     return folded.select(*by, F.col("seq").cast("int").alias("seq"), F.col("_m.speaker").alias("speaker"), role_for(F.col("_m.speaker"), owners or [], interviewers or []).alias("role"), F.col("_m.ts").alias("t_start"), out.alias("text"))
 
 
-def assemble_turns(segments: DataFrame, chinese: bool = False, gap: float = GAP) -> DataFrame:
-    """Segments (recording_id, ord, start, end, text) to turns, one fold over each recording in the JVM.
+TURN = "ord int, start double, end double, text string"
+#: What is carried from segment to segment: the turn that is open, with its length and whether it ends a sentence.
+OPEN = "ord int, start double, end double, text string, units int, ends boolean"
+_WORD_END, _WORD_START = re.compile(r"[A-Za-z0-9]['’\-]?$"), re.compile(r"['’\-]?[A-Za-z0-9]")
 
-    A segment runs on if the pause is short, the turn so far doesn't end a sentence (Latin: or the segment starts in lower
-    case) and is not yet as long as the cap.
-    """
+
+def _measured(segments: DataFrame, chinese: bool) -> DataFrame:
+    """Segments with what the fold asks of their texts, so that the fold itself looks at numbers only."""
+    s = segments.select("recording_id", "ord", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), strip(F.col("text")).alias("text"))
+    closing = F.lit(chinese) & F.rlike("text", F.lit(f"^[{CLOSERS}]+$"))  # ends a sentence if what it closes does
+    lower = F.lit(not chinese) & F.rlike("text", F.lit(r"^\p{Ll}"))
+    return s.withColumns({"units": units(F.col("text")).cast("int"), "ends": F.when(~closing, ends_sentence(F.col("text"))), "lower": lower})
+
+
+def _folded(rows: Iterable[tuple], open_: tuple | None, chinese: bool, gap: float) -> tuple[list[tuple], tuple | None]:
+    """(turns that ended, the one that is open) after segments (start, end, text, units, ends, lower) in order."""
     cap, joiner = (CAP_ZH, "") if chinese else (CAP, " ")
-    turn = "struct<start:double,end:double,text:string>"
-    segs = F.array_sort(F.collect_list(F.struct(F.col("ord"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), strip(F.col("text")).alias("text"))))
+    done, pieces = [], [open_[3]] if open_ else []
+    turn = list(open_) if open_ else None
+
+    def closed() -> tuple:
+        return (turn[0], turn[1], turn[2], joiner.join(pieces).strip())
+
+    for start, end, text, size, ends, lower in rows:
+        if turn and start - turn[2] <= gap and (not turn[5] or lower) and turn[4] < cap:
+            last = pieces[-1]
+            glued = chinese and _WORD_END.search(last) and _WORD_START.match(text) and not (last[-1] in "'’-" and text[0] in "'’-")
+            pieces.append(text)
+            turn[2], turn[4], turn[5] = end, turn[4] + size - bool(glued), turn[5] if ends is None else ends
+        else:
+            if turn:
+                done.append(closed())
+            turn, pieces = [turn[0] + 1 if turn else 0, start, end, text, size, bool(ends)], [text]
+    if turn:
+        turn[3] = joiner.join(pieces).strip()
+    return done, tuple(turn) if turn else None
+
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        runs_on = ~ends_sentence(last["text"]) | (F.lit(not chinese) & F.rlike(s["text"], F.lit(r"^\p{Ll}")))
-        on = last.isNotNull() & (s["start"] - last["end"] <= gap) & runs_on & (units(last["text"]) < cap)
-        new = F.array(F.struct(s["start"], s["end"], s["text"]).cast(turn))
-        longer = F.array(F.struct(last["start"], s["end"], strip(F.concat(last["text"], F.lit(joiner), s["text"]))).cast(turn))
-        return F.when(s["text"] == "", done).when(on, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.concat(done, new))
+_SEGMENT = ("start", "end", "text", "units", "ends", "lower")
 
-    folded = segments.groupBy("recording_id").agg(F.aggregate(segs, F.array().cast(f"array<{turn}>"), step).alias("t"))
-    return folded.select("recording_id", F.posexplode("t").alias("ord", "t")).select("recording_id", "ord", "t.*")
+
+def _rows(x: pd.DataFrame) -> Iterator[tuple]:
+    return zip(x["start"].tolist(), x["end"].tolist(), x["text"], x["units"].tolist(), (None if e is None or e != e else bool(e) for e in x["ends"]), x["lower"].tolist())
+
+
+def assemble_turns(segments: DataFrame, chinese: bool = False, gap: float = GAP) -> DataFrame:
+    """Segments (recording_id, ord, start, end, text) to turns.
+
+    A segment runs on if the pause is short, the turn so far doesn't end a sentence (Latin: or the segment starts in lower
+    case) and is not yet as long as the cap. Recordings are sorted by Spark and read once; only the open turn is held.
+    """
+    kind = segments.schema["recording_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["recording_id", "ord", "start", "end", "text"]
+        current = open_ = None
+        for x in batches:
+            out = []
+            for key, rows in x.groupby("recording_id", sort=False, dropna=False):
+                if open_ and key != current:
+                    out.append((current, *open_[:4]))
+                    open_ = None
+                current = key
+                done, open_ = _folded(_rows(rows), open_, chinese, gap)
+                out += [(key, *t) for t in done]
+            yield pd.DataFrame(out, columns=columns)
+        if open_:
+            yield pd.DataFrame([(current, *open_[:4])], columns=columns)
+
+    s = _measured(segments, chinese).where("text <> '' and recording_id is not null")
+    return s.repartition("recording_id").sortWithinPartitions("recording_id", "ord").select("recording_id", *_SEGMENT).mapInPandas(run, f"recording_id {kind}, {TURN}")
+
+
+def live_turns(segments: DataFrame, chinese: bool = False, gap: float = GAP, wait: str | None = "10 minutes") -> DataFrame:
+    """assemble_turns() for a stream: turns are emitted when they end, only the open turn of a recording is kept as state.
+
+    Segments of a recording arrive in order from batch to batch; within a batch they are sorted. A segment without a text
+    ends its recording, and so does a time `wait` of the machine's clock without any; ords then go on from 0 if more come.
+    A query that is to end by itself (availableNow) takes no `wait`, as Spark goes on making batches to look at the clock.
+    """
+    kind = segments.schema["recording_id"].dataType.simpleString()
+    limit = int(pd.Timedelta(wait).total_seconds() * 1000) if wait else None
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        open_, out = state.get if state.exists else None, []
+        ended = state.hasTimedOut
+        if not ended:
+            x = pd.concat(list(batches)).sort_values("ord", kind="stable")
+            ended = bool(x["text"].isna().any())
+            done, open_ = _folded(_rows(x[x["text"].notna() & (x["text"] != "")]), open_, chinese, gap)
+            out += done
+        if ended and open_:
+            out.append(open_[:4])
+            open_ = None
+        if open_:
+            state.update(open_)
+            if limit:
+                state.setTimeoutDuration(limit)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], *t) for t in out], columns=["recording_id", "ord", "start", "end", "text"])
+
+    s = _measured(segments, chinese).where("recording_id is not null").select("recording_id", "ord", *_SEGMENT)
+    return s.groupBy("recording_id").applyInPandasWithState(run, f"recording_id {kind}, {TURN}", OPEN, "append", "ProcessingTimeTimeout" if wait else "NoTimeout")
 
 
 def guess_speakers(turns: DataFrame, owner: str, interviewer: str, chinese: bool = False) -> DataFrame:
-    """Adds speaker: short questions after a pause are the interviewer's. A fold per recording, as labels depend on the last one."""
+    """Adds speaker: short questions after a pause are the interviewer's.
+
+    Each turn either says by itself whether it asks, or takes that over from the turn before, or turns it round; such steps
+    compose, so running values over windows label a recording without a loop: the last turn that said by itself, and how many
+    turned it round since.
+    """
     floor, top = (12, 30) if chinese else (10, 25)
-    t = turns.withColumns({"_u": units(F.col("text")), "_q": looks_like_question(F.col("text"), F.lit(chinese)), "_mark": F.rlike(strip(F.col("text")), F.lit("[?？]$"))})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema if f.name != "speaker") + ", speaker string"
-    columns = [c for c in turns.columns if c != "speaker"]
-
-    def label(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("ord")
-        n = x["_u"].tolist()
-        limit = min(2 * max(floor, sorted(n)[len(n) // 2]), top)
-        asks: list[bool] = []
-        for i, (q, u, start) in enumerate(zip(x["_q"], n, x["start"], strict=True)):
-            same_breath = i > 0 and not asks[-1] and start - x["end"].iloc[i - 1] < BREATH
-            asks.append(bool(q) and u <= limit and not same_breath)
-        for i, mark in enumerate(x["_mark"]):
-            if i and asks[i] and asks[i - 1] and not mark:
-                asks[i] = False
-        x["speaker"] = [interviewer if a else owner for a in asks]
-        return x[[*columns, "speaker"]]
-
-    return t.groupBy("recording_id").applyInPandas(label, schema)
+    by, t = Window.partitionBy("recording_id"), F.col("text")
+    at = by.orderBy("ord")
+    d = turns.withColumns({"_u": units(t), "_q": looks_like_question(t, F.lit(chinese)), "_mark": F.rlike(strip(t), F.lit("[?？]$")), "_i": F.row_number().over(at)})
+    d = d.withColumn("_rank", F.row_number().over(by.orderBy("_u", "ord")))
+    d = d.withColumn("_half", F.count("*").over(by)).withColumn("_typical", F.max(F.when(F.col("_rank") == F.floor(F.col("_half") / 2) + 1, F.col("_u"))).over(by))
+    asks = F.col("_q") & (F.col("_u") <= F.least(2 * F.greatest(F.lit(floor), "_typical"), F.lit(top)))
+    # a question in the same breath as the turn before asks only if that does
+    same_breath = (F.col("_i") > 1) & (F.col("start") - F.lag("end").over(at) < BREATH)
+    d = d.withColumn("_said", F.when(~(asks & same_breath), asks))
+    d = d.withColumn("_asks", F.last("_said", ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    # without a question mark, it doesn't ask if the turn before does
+    d = d.withColumn("_since", F.sum(F.when(F.col("_asks") & ~F.col("_mark") & (F.col("_i") > 1), 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("recording_id", "_since").orderBy("ord")
+    d = d.withColumns({"_first": F.first("_asks").over(run), "_turned": F.row_number().over(run) - 1})
+    d = d.withColumn("speaker", F.when(F.col("_first") != (F.col("_turned") % 2 == 1), interviewer).otherwise(owner))
+    return d.select(*[c for c in turns.columns if c != "speaker"], "speaker")
 
 
 # Capitalised words that are not names.

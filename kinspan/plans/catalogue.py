@@ -372,7 +372,28 @@ def transcript_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return b.join(nxt, "item_id").select("item_id", fuzzy.error_rate()("text", "heard").alias("rate"))
 
 
-@query()
+_OPENERS = "|".join(text.ENGLISH_OPENERS)
+_TURNS = rf"""
+with recursive w as (select conv_id, turn, regexp_split_to_array("text", '\s+') a from conversations),
+p as (select conv_id recording_id, turn * 1000000 + i - 1 ord, cast(turn as double) * 10000.0 + (i - 1) * 0.5e0 st, a[i] as "text" from (select *, unnest(range(1, len(a) + 1)) i from w)),
+g as (select *, st + 0.4e0 en, {_UNITS} u, regexp_matches("text", '[.!?。！？…]+["''”’」』）)]*$') e, regexp_matches("text", '^\p{{Ll}}') l, row_number() over (partition by recording_id order by ord) n from p where trim("text") <> ''),
+r(recording_id, n, turn, first, en, u, e) as (
+  select recording_id, n, 0, st, en, u, e from g where n = 1 union all
+  select g.recording_id, g.n, case when joined then turn else turn + 1 end, case when joined then first else st end, gen, case when joined then ru + g.u else g.u end, g.e
+  from (select g.*, g.en gen, r.turn, r.first, r.u ru, g.st - r.en <= 0.3e0 and (not r.e or g.l) and r.u < 80 joined from r join g on g.recording_id = r.recording_id and g.n = r.n + 1) g),
+t as (select r.recording_id, r.turn ord, min(r.first) "start", max(r.en) "end", string_agg(g."text", ' ' order by g.n) as "text" from r join g on g.recording_id = r.recording_id and g.n = r.n group by 1, 2),
+q as (select *, {_UNITS} u, regexp_matches(trim("text"), '[?？]$') mark, regexp_matches(trim("text"), '[?？]$') or regexp_matches(lower(trim("text")), '^(?:{_OPENERS})') q, row_number() over w i, "start" - lag("end") over w pause from t window w as (partition by recording_id order by ord)),
+m as (select *, row_number() over (partition by recording_id order by u, ord) rk, count(*) over (partition by recording_id) c from q),
+k as (select recording_id, max(u) filter (where rk = c // 2 + 1) typical from m group by 1),
+a as (select m.*, q and u <= least(2 * greatest(10, typical), 25) ask from m join k using (recording_id)),
+b as (select *, last_value(case when ask and i > 1 and pause < 0.25 then null else ask end ignore nulls) over (partition by recording_id order by ord rows between unbounded preceding and current row) asks from a),
+c as (select *, sum(case when asks and not mark and i > 1 then 0 else 1 end) over (partition by recording_id order by ord rows between unbounded preceding and current row) since from b),
+d as (select *, first_value(asks) over v first, row_number() over v - 1 turned from c window v as (partition by recording_id, since order by ord))
+select recording_id, cast(ord as integer) ord, "start", "end", "text", case when first <> (turned % 2 = 1) then 'Interviewer' else 'Owner' end speaker from d
+"""
+
+
+@query(_TURNS)
 def turn_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of conversations as segments with made-up times, folded into turns, with speakers guessed."""
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("recording_id"), "turn", F.posexplode(F.split("text", r"\s+")).alias("i", "text"))
