@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspan.functions import fuzzy
+from kinspan.functions import chinese, fuzzy
 from kinspan.functions.text import clean, has_cjk, key_of, quoted_spans, reader_constant, squash, strip, units
 from kinspan.operators import queue, quotations, visibility, windows
 from kinspan.schema import ACCESS, access_visible, filled, rank, year
@@ -67,12 +67,13 @@ def _close_pairs(n: DataFrame) -> DataFrame:
     return met.drop("gram").dropDuplicates(["case_id", "a_at", "b_at"])
 
 
-def name_pairs(names: DataFrame) -> DataFrame:
+def name_pairs(names: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """(case_id, id, other_id, name, other_name, signal): persons of a case who may be one, by their first matching names.
 
     names: case_id, id, name, at (place among all names of the case). Each rule has an equi-join of its own within a case:
     on equal keys; on the surname and the first letter of the forename; on all characters but one; on rare pairs of letters
-    for similar spellings. Two Chinese names are never compared by similarity; how they sound needs a dictionary.
+    for similar spellings. Two Chinese names are never compared by similarity; with readings (char, reading, ord) they also
+    meet where a reading of all their characters is the same.
     """
     words = F.filter(F.split(F.lower("name"), "[^a-z]+"), lambda t: t != "")
     n = names.withColumns({"key": key_of(F.col("name")), "words": words}).where("key <> ''")
@@ -94,15 +95,21 @@ def name_pairs(names: DataFrame) -> DataFrame:
     one = one.withColumn("rule", F.lit("same surname, one character different"))
     close = _close_pairs(n).where(~(has_cjk(F.col("a_key")) & has_cjk(F.col("b_key")))).join(forms.select("case_id", "a_at", "b_at"), ["case_id", "a_at", "b_at"], "left_anti")
     close = close.withColumn("r", fuzzy.name_ratio("a_key", "b_key")).where(F.col("r") >= fuzzy.SAME_NAME).withColumn("rule", F.format_string("similarity %.2f", "r"))
-    found = equal.select(*columns).unionByName(forms.select(*columns)).unionByName(one.select(*columns)).unionByName(close.select(*columns))
-    pick = F.struct("a_at", "b_at")
+    parts = [(1, equal), (2, forms), (3, one), (4, close)]
+    if readings is not None:
+        sounding = chinese.every_sound(n.where(has_cjk(F.col("key"))), "key", readings)
+        alike = side(sounding, "a", "sound").join(side(sounding, "b", "sound"), ["case_id", "sound"]).where(earlier & (F.col("a_key") != F.col("b_key")))
+        alike = alike.groupBy(*columns[:-1]).agg(F.min("sound").alias("sound"))
+        parts.append((0, alike.withColumn("rule", F.format_string("same pronunciation (%s), different characters -- probably one name misheard", "sound"))))
+    found = union([p.select(*columns, F.lit(i).alias("_rank")) for i, p in parts])
+    pick = F.struct("a_at", "b_at", "_rank")  # how names sound tells more than that one character differs
     out = found.groupBy("case_id", F.least("a_id", "b_id").alias("_one"), F.greatest("a_id", "b_id").alias("_two")).agg(F.min_by(F.struct("a_id", "b_id", "a_name", "b_name", "rule"), pick).alias("x"))
     return out.select("case_id", F.col("x.a_id").alias("id"), F.col("x.b_id").alias("other_id"), F.col("x.a_name").alias("name"), F.col("x.b_name").alias("other_name"), F.col("x.rule").alias("signal"))
 
 
-def names(people: DataFrame) -> DataFrame:
+def names(people: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     each = people.select("case_id", "id", "ord", F.posexplode(visibility.all_names()).alias("pos", "name")).withColumn("at", F.struct("ord", "pos"))
-    pairs = name_pairs(each.select("case_id", "id", "name", "at"))
+    pairs = name_pairs(each.select("case_id", "id", "name", "at"), readings)
     message = F.format_string("'%s' and '%s' may be the same person", "name", "other_name")
     empty = people.where(strip(F.coalesce("name", F.lit(""))) == "")
     return union([finding(pairs, "names", "warn", message, detail=F.concat("signal", F.lit("; merge them or add an alias"))), finding(empty, "names", "block", "person record with an empty name")])
@@ -221,11 +228,11 @@ def repetition(chapters: DataFrame, size: int = 12) -> DataFrame:
     return finding(p, "repetition", "warn", F.format_string("chapters %d and %d tell the same passage", F.col("earlier").cast("int"), F.col("later").cast("int")), detail=F.col("run"))
 
 
-def run_all(a: dict[str, DataFrame], chapters: DataFrame | None = None, export_scopes: list[str] | None = None, now: Column | None = None) -> DataFrame:
+def run_all(a: dict[str, DataFrame], chapters: DataFrame | None = None, export_scopes: list[str] | None = None, now: Column | None = None, readings: DataFrame | None = None) -> DataFrame:
     """All findings in the order of the checks. Consent is checked for export alone; the book checks if there are chapters."""
     parts = [
         chronology(a["story_cards"], a["people"], a["life_events"], a["cases"]),
-        names(a["people"]),
+        names(a["people"], readings),
         quote_fidelity(a["quotes"], a["utterances"]),
         access(a["story_cards"], a["utterances"], a["quotes"]),
         confirmation_safety(a["claims"], a["story_cards"], a["utterances"]),

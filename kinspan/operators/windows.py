@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspan.functions.text import CLOSERS, clock, dates, ends_sentence, looks_like_question, plausible_speaker, pronunciation_key, role_for, split_sentences, strip, units
+from kinspan.functions import chinese
+from kinspan.functions.text import CLOSERS, clock, dates, ends_sentence, has_cjk, looks_like_question, plausible_speaker, pronunciation_key, role_for, split_sentences, strip, units
 
 # Sizes and limits.
 SIZE, OVERLAP = 60, 8
@@ -216,18 +217,24 @@ def capitalised_runs(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(split_sentences(text), runs)), F.trim), lambda r: r != ""))
 
 
-def checklist(turns: DataFrame, hints: list[str] | None = None) -> DataFrame:
+def checklist(turns: DataFrame, hints: list[str] | None = None, nouns: Callable[[Column], Column] | None = None, readings: DataFrame | None = None) -> DataFrame:
     """(recording_id, term, kind, first_at, count, heard_also, hinted): names and dates to check against the audio.
 
     Terms are counted per turn; spellings that sound alike fold into the first; a hinted term is counted by occurrence.
+    nouns finds the names of Chinese turns (chinese.proper_nouns), readings tell how their characters sound.
     """
     named = F.transform(capitalised_runs(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit("name").alias("kind")))
-    dated = F.transform(dates(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit("date").alias("kind")))
+    if nouns is not None:
+        named = nouns(F.col("text"))
+    dated = F.transform(dates(F.col("text"), nouns is not None), lambda t: F.struct(t.alias("term"), F.lit("date").alias("kind")))
     each = turns.select("recording_id", "ord", "start", F.posexplode(F.concat(named, dated)).alias("pos", "x")).select("recording_id", "ord", "start", "pos", "x.*")
     first = F.struct("ord", "pos")
     terms = each.groupBy("recording_id", "term").agg(F.min_by("kind", first).alias("kind"), F.min_by(clock(F.col("start")), first).alias("first_at"), F.count("*").alias("n"), F.min(first).alias("at"))
-    sound = F.when(F.col("kind") == "date", F.concat(F.lit("date:"), F.col("term"))).otherwise(pronunciation_key(F.col("term")))
-    folded = terms.groupBy("recording_id", sound.alias("sound")).agg(F.array_sort(F.collect_list(F.struct("at", "term", "kind", "first_at", "n"))).alias("v"))
+    heard = pronunciation_key(F.col("term"))
+    if readings is not None:
+        terms, heard = chinese.usual_sound(terms, "term", readings), F.coalesce(F.when(has_cjk(F.col("term")), F.col("sound")), heard)
+    sound = F.when(F.col("kind") == "date", F.concat(F.lit("date:"), F.col("term"))).otherwise(heard)
+    folded = terms.withColumn("_sound", sound).groupBy("recording_id", "_sound").agg(F.array_sort(F.collect_list(F.struct("at", "term", "kind", "first_at", "n"))).alias("v"))
     head = F.get("v", 0)
     out = folded.select("recording_id", head["term"].alias("term"), head["kind"].alias("kind"), head["first_at"].alias("first_at"), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("count"), F.transform(F.slice("v", 2, 1_000_000_000), lambda x: x["term"]).alias("heard_also"))
     primed = [h.strip() for h in hints or [] if h and h.strip()]
