@@ -66,17 +66,18 @@ def release(cards: DataFrame, utterances: DataFrame, requests: DataFrame, at: Co
 
     A card and the words it rests on move together. Without force, cards that only the owner can release are refused; with
     it, restricted cards and words become tender. Of several requests for a card the last counts, by ord if they have it,
-    else the one for the widest level. Words of several cards go by the request with the greatest such order and card id.
+    else the one for the widest level. Words of several cards go by the last of the cards' requests in this order, then by card id.
     """
     at_order = F.col("ord") if "ord" in requests.columns else rank(F.col("level"), ACCESS)
     rest = [c for c in requests.columns if c not in ("case_id", "id")]
-    requests = requests.groupBy("case_id", "id").agg(F.max_by(F.struct(*rest), F.struct(at_order, "level", "note")).alias("_x")).select("case_id", "id", "_x.*")
+    requests = requests.groupBy("case_id", "id").agg(F.max_by(F.struct(*rest, at_order.alias("_order")), F.struct(at_order, "level", "note")).alias("_x")).select("case_id", "id", "_x.*")
     blocked = needs_owner_release(cards, utterances).select("case_id", "id")
-    refused = requests.where(~F.coalesce("force", F.lit(False))).join(blocked, ["case_id", "id"], "left_semi")
-    done = requests.join(refused.select("case_id", "id"), ["case_id", "id"], "left_anti").select("case_id", "id", F.col("level"), F.col("note").alias("_note"), F.coalesce("force", F.lit(False)).alias("_force"))
+    refused = requests.where(~F.coalesce("force", F.lit(False))).join(blocked, ["case_id", "id"], "left_semi").drop("_order")
+    done = requests.join(refused.select("case_id", "id"), ["case_id", "id"], "left_anti").select("case_id", "id", F.col("level"), F.col("note").alias("_note"), F.coalesce("force", F.lit(False)).alias("_force"), "_order")
     new_cards = _released(cards.join(done, ["case_id", "id"], "left"), at, F.lit(True)).select(*cards.columns)
     words = citations(cards).join(done, ["case_id", "id"]).groupBy("case_id", F.col("ref_id").alias("_ref"))
-    words = words.agg(F.max_by("level", F.col("id")).alias("level"), F.max_by("_note", F.col("id")).alias("_note"), F.bool_or("_force").alias("_force")).withColumnRenamed("_ref", "id")
+    last = F.max_by(F.struct("level", "_note"), F.struct("_order", "id")).alias("_x")
+    words = words.agg(last, F.bool_or("_force").alias("_force")).select("case_id", F.col("_ref").alias("id"), "_x.*", "_force")
     new_words = _released(utterances.join(words, ["case_id", "id"], "left"), at, F.col("_force")).select(*utterances.columns)
     return new_cards, new_words, refused
 

@@ -452,3 +452,16 @@ def test_views(case, spark):
     assert [(r["id"], r["utterances"]) for r in views.sessions(a).collect()] == [("s1", 3), ("s2", 1), ("s3", 0)]
     kinds = [r["kind"] for r in views.claims(case).collect()]
     assert kinds == sorted(kinds, key=schema.CLAIM_KINDS.index) and len(kinds) == case["claims"].count()
+
+
+def test_words_of_several_cards_go_by_the_last_request(spark):
+    cite = lambda *x: [{"kind": "utterance", "ref_id": i} for i in x]
+    cards = make(spark, "story_cards", [{"id": c, "access": "operator", "sensitivity": "routine", "sources": cite("u1")} for c in ("a", "z")])
+    u = make(spark, "utterances", [{"id": "u1", "access": "operator", "sensitivity": "routine"}])
+    for first, level in (("a", "public"), ("z", "family")):  # who is asked for first comes first, whatever the ids
+        other = "z" if first == "a" else "a"
+        asked = spark.createDataFrame([("c", first, "operator", "one", False, 1), ("c", other, level, "two", False, 2)], "case_id string, id string, level string, note string, force boolean, ord int")
+        _, words, refused = visibility.release(cards, u, asked, F.lit("2024-01-01").cast("timestamp"))
+        assert (words.first()["access"], words.first()["released_note"]) == (level, "two") and refused.isEmpty()
+    plain = spark.createDataFrame([("c", "a", "public", "wide", False), ("c", "z", "family", "narrow", False)], "case_id string, id string, level string, note string, force boolean")
+    assert visibility.release(cards, u, plain, F.lit("2024-01-01").cast("timestamp"))[1].first()["access"] == "public"
