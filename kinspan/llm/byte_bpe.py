@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of texts encoded together; pieces kept with their ids; bytes of the pieces of a matrix.
-BATCH, KEEP, BLOCK = 4_000_000, 300_000, 2_000_000
+BATCH, KEEP, BLOCK = 1_000_000, 300_000, 2_000_000
 NONE = np.int32(2**31 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -234,32 +234,37 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Data
     Vectors of one label and length link at a cosine of at least `cosine`, in double precision. Equal vectors are joined
     once and count as often as they occur. Vectors that are null, zero or hold null or non-finite components, and rows
     without a label, have no links and are their own component. Rows repeated under one vec_id count as vectors of their
-    own in n_links but share a component. Labels of any type are compared as they are. Vectors of any length will do; one
+    own in n_links but share a component. A null vec_id names nothing: such a vector links and counts, and its component goes
+    by the others' ids. Ids of any type are compared in their order. Labels of any type are compared as they are. Vectors of any length will do; one
     task holds 2 * SUPER blocks of them. An empty table gives an empty result; extra columns are ignored.
     """
     text_of = lambda c: (c + F.lit(0.0) if vectors.schema["label"].dataType.simpleString() in ("float", "double") else c).cast("string")
     label, one_zero = text_of(F.col("label")).alias("label"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec")
     v = usable(vectors).select("vec_id", label, one_zero)
-    distinct = v.groupBy("label", "vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"))
-    distinct = staged(distinct.select("vec_id", "label", F.size("vec").alias("dim"), "times", "vec"), "ego-distinct")
+    distinct = v.groupBy("label", "vec").agg(F.min("vec_id").alias("own"), F.count("*").alias("times"))
+    # a number of its own, as ids may be null and of any type; written, so it stays what it is
+    distinct = staged(distinct.select(F.monotonically_increasing_id().alias("vec_id"), "own", "label", F.size("vec").alias("dim"), "times", "vec"), "ego-distinct")
     of = vectors.select("vec_id", label, one_zero)
     dim = distinct.agg(F.max("dim")).first()[0]
     if dim is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     directions = _principal(distinct, dim)
-    blocks = staged(_blocks(_placed(distinct, directions, eps), block), "ego-blocks")
+    blocks = staged(_blocks(_placed(distinct.drop("own"), directions, eps), block), "ego-blocks")
     pairs = near_blocks(blocks.select("block", "label", "dim", "low", "high"), directions.shape[1], eps)
     found = staged(_joined(blocks, pairs, cosine, eps), "ego-links")
     drop(blocks, pairs)
     n = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     comp = components(found.where("b is not null").select("a", "b"))
+    of_class = distinct.select("vec_id", "own").join(comp, F.col("vec_id") == F.col("node"))
+    least = of_class.groupBy("component").agg(F.min("own").alias("least"))
+    comp = comp.join(least, "component")
     classes = distinct.join(n, distinct["vec_id"] == n["a"], "left").join(comp, distinct["vec_id"] == comp["node"], "left")
     classes = classes.select(
         F.col("label").alias("_label"),
         F.col("vec").alias("_vec"),
         (F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
+        F.coalesce("least", "own").alias("component_id"),
     )
     classes = staged(classes, "ego-classes")
     drop(distinct, found)

@@ -657,3 +657,14 @@ def test_url_parts_agree_with_a_url_parser():
     for u in ("http://a.example.com/x/y?z#w", "https://b.example.org/", "http://c.example.net"):
         host, path, _ = brute_rule(u)
         assert (host, path) == (urlsplit(u).netloc, urlsplit(u).path)
+
+
+def test_op4_null_and_text_ids(spark):
+    rows = [(1, [1.0, 0.0], 7), (None, [1.0, 0.1], 7), (3, [1.0, 0.05], 7), (None, [0.0, 1.0], 7), (None, [0.0, 1.0], 7), (9, [1.0, 0.0], 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link(df).collect() if r["vec_id"] or r["component_id"])
+    assert got == [(0, 2, 1, False), (1, 2, 1, True), (3, 2, 1, False), (9, 0, 9, True)]
+    alone = [tuple(r) for r in embedding_dedup.link(df).where("component_id is null").collect()]
+    assert alone == [(None, 1, None, True)] * 2
+    text = embedding_dedup.link(df.withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))).collect()
+    assert sorted((r["vec_id"] or "", r["component_id"] or "", r["n_links"]) for r in text) == [("", "", 1), ("", "", 1), ("", "v1", 2), ("v1", "v1", 2), ("v3", "v1", 2), ("v9", "v9", 0)]
