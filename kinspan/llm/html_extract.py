@@ -35,11 +35,21 @@ MARKS = frozenset(
 PLACES = frozenset("main site page global top bottom left right upper lower primary secondary mobile desktop area list box bar block wrap wrapper container section inner outer posts links link buttons button items item module slot unit panel form icons".split())
 #: Elements that a class may mark; a paragraph or a heading of an article keeps its text whatever its class.
 HOLDERS = frozenset("article aside center dd details dir div dl fieldset figure footer form header hgroup li menu nav ol section span table tr td ul".split())
+#: Marks that count in any hyphenated value, and whose branches go whatever share of a page's text they have; words that undo them.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored".split())
+NOTICES = frozenset("cookie cookies consent gdpr popup modal overlay".split())
+STRICT = COMMENTS | ADVERTS | NOTICES
+UNDONE = frozenset("no not has with without open opened closed count enabled disabled".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset(("header", "masthead", "banner"))
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Different pages of a host that make its tree count; importance up to which a branch is the site's own; the share of its most important sibling's.
 LEAST_PAGES, LEAST_IMPORTANCE, LEAST_SHARE = 8, 0.1, 0.65
+#: Content entropy up to which a branch is compared with its siblings: one that says something else on most pages is kept.
+LEAST_CONTENT = 0.5
+#: Share of a page's text from which a marked branch is its wrapper, and share below which article elements are teasers.
+WRAPPER, TEASER = 0.8, 0.25
 IMPLIED = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 IMPLIED = {k: frozenset(v.split()) for k, v in IMPLIED.items()}
 LISTS = ("ul", "ol", "dl", "table", "select")
@@ -47,10 +57,11 @@ SCOPES = frozenset("table ul ol dl article section div aside nav footer header m
 
 
 class Node:
-    __slots__ = ("tag", "style", "branch", "children", "parent", "noise", "main", "unseen")
+    __slots__ = ("tag", "style", "branch", "children", "parent", "noise", "doubted", "main", "unseen", "solid")
 
-    def __init__(self, tag, style, branch, parent, noise, main, unseen):
-        self.tag, self.style, self.branch, self.parent, self.noise, self.main, self.unseen, self.children = tag, style, branch, parent, noise, main, unseen, []
+    def __init__(self, tag, style, branch, parent, noise, doubted, main, unseen):
+        self.tag, self.style, self.branch, self.parent, self.noise, self.doubted, self.main, self.unseen = tag, style, branch, parent, noise, doubted, main, unseen
+        self.children, self.solid = [], 0
 
 
 class Reader:
@@ -70,10 +81,10 @@ class Reader:
     def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
         """The attributes from here, whether the tag closes itself, and the place after its `>`; -1 if the page ends first."""
         out: dict[str, str] = {}
-        page, n = self.page, len(self.page)
+        page, n, valued = self.page, len(self.page), -1
         while at < n:
             if page[at] == ">":
-                return out, page[at - 1] == "/", at + 1
+                return out, page[at - 1] == "/" and at != valued, at + 1
             m = ATTRIBUTE.match(page, at)
             start, at = at, m.end()
             value = ""
@@ -86,6 +97,7 @@ class Reader:
                 else:
                     u = UNQUOTED.match(page, at)
                     value, at = u[0], u.end()
+                    valued = at  # a slash that ends it is part of it
             if m[1]:
                 out.setdefault(m[1].lower(), value)
             elif at == start:
@@ -94,7 +106,10 @@ class Reader:
 
 
 def _marked(values: str) -> set[str]:
-    """The marks among class or id values; one joined of several words counts if it has no words but marks and places."""
+    """The marks among class or id values; one joined of several words counts if it has no words but marks and places.
+
+    Comments and adverts count as part of any value, but for one like `has-comments`.
+    """
     out = set()
     for value in values.lower().split():
         if value in MARKS:
@@ -104,6 +119,8 @@ def _marked(values: str) -> set[str]:
         hits = MARKS.intersection(parts)
         if hits and all(w in MARKS or w in PLACES for w in parts):
             out |= hits
+        elif not UNDONE.intersection(parts):
+            out |= hits & (COMMENTS | ADVERTS)
     return out
 
 
@@ -111,7 +128,7 @@ class Builder:
     """Open elements, with the depths at which each tag, block and scope is open, so no search walks up the tree."""
 
     def __init__(self):
-        self.root = Node("#root", "", 0, None, False, False, False)
+        self.root = Node("#root", "", 0, None, False, False, False, False)
         self.stack, self.open, self.blocks, self.scopes, self.nodes = [self.root], {}, [0], [0], [self.root]
 
     def push(self, node: Node) -> None:
@@ -158,15 +175,18 @@ class Builder:
         style = re.sub(r"\d{2,}", "0", ".".join([tag, *sorted(set(names.lower().split())), *(["#" + name.lower()] if name else [])]))
         role = attrs.get("role", "").lower()
         noise = parent.noise or tag in NEVER or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        doubted = False
         if not noise and tag in HOLDERS and (names or name):
             marks = _marked(f"{names} {name}")
             # an article's own title block is kept
-            noise = bool(marks) and (tag == "article" or not (parent.main and marks <= HEADINGS))
+            if marks and (tag == "article" or not (parent.main and marks <= HEADINGS)):
+                noise = not STRICT.isdisjoint(marks)
+                doubted = not noise
         if not noise and tag == "header" and not parent.main:
             noise = "header" in HEADINGS
         main = parent.main or tag in MAIN or (bool(MAIN) and (role in ("main", "article") or attrs.get("itemprop", "") == "articleBody"))
         branch = xxhash.xxh64_intdigest(f"{parent.branch}/{style}".encode(), 7) >> 1 if tag in BLOCKS and tag != "p" else parent.branch
-        node = Node(tag, style, branch, parent, noise, main, parent.unseen or tag in UNSEEN)
+        node = Node(tag, style, branch, parent, noise, doubted, main, parent.unseen or tag in UNSEEN)
         parent.children.append(node)
         self.nodes.append(node)
         return node
@@ -221,9 +241,27 @@ def tree(page: str | None) -> list[Node]:
             at = len(page) if gt < 0 else gt + 1
         elif tag not in VOID and not (closed and tag not in BLOCKS):
             built.push(node)
+    _settle(built.nodes)
     return built.nodes
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Text of each element (solid: characters outside noise and links), and which branches with doubtful marks are noise.
+
+    A class like `sidebar` on an element with nearly all of the page's text is about its layout, so it is no noise.
+    """
+    for x in reversed(nodes):
+        if x.noise or x.unseen or x.tag == "a":
+            x.solid = 0
+            continue
+        x.solid += sum(len(c) - c.count(" ") for c in x.children if isinstance(c, str) and not c.isspace())
+        if x.parent is not None:
+            x.parent.solid += x.solid
+    enough = WRAPPER * nodes[0].solid
+    for x in nodes[1:]:
+        x.noise = x.noise or x.parent.noise or (x.doubted and (x.solid == 0 or x.solid < enough))
+
+
 def parse(page: str | None) -> Node:
     return tree(page)[0]
 
@@ -277,43 +315,53 @@ def _main(root: Node) -> list[Node]:
 
 
 def _extract(root: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
-    return "\n\n".join(t for x in _main(root) or [root] for t in blocks(x, low))
+    parts = [t for x in _main(root) for t in blocks(x, low)]
+    if parts and "main" in MAIN and not any(x.tag == "main" for x in _main(root)):
+        # article elements with little of the page's text are teasers beside it
+        page = blocks(root, low)
+        if sum(map(len, parts)) < TEASER * sum(map(len, page)):
+            parts = page
+    return "\n\n".join(parts or blocks(root, low))
 
 
 def extract(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     return _extract(parse(page), low)
 
 
-def branches(page: str | None) -> list[tuple[int, int, int, int, int, bool]]:
-    """(copy, branch, parent, content, presentation, titled) of each block branch with text.
+def branches(page: str | None) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(copy, branch, parent, content, presentation, titled, chars) of each block branch with text.
 
     A branch is the path of element names, classes and ids; paragraphs and inline elements belong to their branch. A page
-    has a branch once, with the contents of all its nodes in order, their children's styles as presentation, and whether a
-    heading is in it. Branches inside articles and main elements are left out. Pages with the same main text have the same
-    value of copy.
+    has a branch once, with the contents of all its nodes in order, their children's styles as presentation, whether a
+    heading is in it (2 for an h1, 1 for another, else 0), and how much text. Branches inside articles and main elements
+    are left out. Pages with the same main text have the same value of copy.
     """
     nodes = tree(page)
     content: dict[int, bytes] = {}
-    titled: set[int] = set()
+    chars: dict[int, int] = {}
+    titled: dict[int, int] = {}
     for x in reversed(nodes):
         parts = [content.get(id(c), b"") if isinstance(c, Node) else " ".join(c.split()).encode() for c in x.children if isinstance(c, str) or not c.unseen]
         parts = [p for p in parts if p]
         if parts:
             content[id(x)] = xxhash.xxh64_digest(b"\0".join(parts))
-        if x.parent is not None and (x.tag in TITLES or id(x) in titled):
-            titled.add(id(x.parent))
-    found: dict[int, tuple[int, list[bytes], list[str], list[bool]]] = {}
+        chars[id(x)] = sum(chars[id(c)] if isinstance(c, Node) else len(c.strip()) for c in x.children if isinstance(c, str) or not c.unseen)
+        titled[id(x)] = max(titled.get(id(x), 0), 2 if x.tag == "h1" else int(x.tag in TITLES))
+        if x.parent is not None:
+            titled[id(x.parent)] = max(titled.get(id(x.parent), 0), titled[id(x)])
+    found: dict[int, tuple[int, list[bytes], list[str], list[int], list[int]]] = {}
     for x in nodes[1:]:
         if x.tag in BLOCKS and x.tag not in ("html", "body", "p") and not x.unseen and not x.parent.main and id(x) in content:
-            _, contents, styles, heads = found.setdefault(x.branch, (x.parent.branch, [], [], []))
+            _, contents, styles, heads, sizes = found.setdefault(x.branch, (x.parent.branch, [], [], [], []))
             contents.append(content[id(x)])
             styles.append(">".join(k.style for k in x.children if isinstance(k, Node)))
-            heads.append(x.tag in TITLES or id(x) in titled)
+            heads.append(titled[id(x)])
+            sizes.append(chars[id(x)])
     if not found:
         return []
     of = lambda data: xxhash.xxh64_intdigest(data) >> 1
     copy = of(_extract(nodes[0]).encode())
-    return [(copy, b, parent, of(b"\0".join(contents)), of("\0".join(styles).encode()), any(heads)) for b, (parent, contents, styles, heads) in found.items()]
+    return [(copy, b, parent, of(b"\0".join(contents)), of("\0".join(styles).encode()), max(heads), sum(sizes)) for b, (parent, contents, styles, heads, sizes) in found.items()]
 
 
 def host_of(url):
@@ -321,30 +369,31 @@ def host_of(url):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, branch, parent, pages, titled, content, presentation, importance): the merged trees of each host's different pages.
+    """(host, branch, parent, pages, titled, chars, content, presentation, importance): the merged trees of each host's different pages.
 
     Pages of a host with the same main text, repeated rows among them, count as one. Content and presentation have the
     collision entropy of their variants over a branch's pages, in units of that of LEAST_PAGES different ones and 1 at
-    most: 0 where all pages are the same, and neither more pages nor copies make it smaller. importance is their mean.
+    most: 0 where all pages are the same, and neither more pages nor copies make it smaller. importance is their mean, chars
+    the mean length of a branch's text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = [(h, *b) for h, page in zip(x["host"], x["html"], strict=True) for b in branches(page)]
             if rows:
-                yield pd.DataFrame(rows, columns=["host", "copy", "branch", "parent", "content", "style", "titled"])
+                yield pd.DataFrame(rows, columns=["host", "copy", "branch", "parent", "content", "style", "titled", "chars"])
 
-    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, copy long, branch long, parent long, content long, style long, titled boolean")
+    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, copy long, branch long, parent long, content long, style long, titled int, chars long")
     # copies can differ in markup; one of them is taken
-    once = nodes.groupBy("host", "branch", "copy").agg(F.min("content").alias("content"), F.min("style").alias("style"), F.min("parent").alias("parent"), F.max("titled").alias("titled"))
-    counts = once.groupBy("host", "branch", "content", "style").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.max("titled").alias("titled"))
+    once = nodes.groupBy("host", "branch", "copy").agg(F.min("content").alias("content"), F.min("style").alias("style"), F.min("parent").alias("parent"), F.max("titled").alias("titled"), F.max("chars").alias("chars"))
+    counts = once.groupBy("host", "branch", "content", "style").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.max("titled").alias("titled"), F.sum("chars").alias("chars"))
     counts = staged(counts, "sst-variants")
 
     def entropy(of: str) -> DataFrame:
-        sums = counts.groupBy("host", "branch", of).agg(F.sum("n").alias("n"), F.min("parent").alias("parent"), F.max("titled").alias("titled")).groupBy("host", "branch")
-        sums = sums.agg(F.sum("n").alias("pages"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.min("parent").alias("parent"), F.max("titled").alias("titled"))
+        sums = counts.groupBy("host", "branch", of).agg(F.sum("n").alias("n"), F.min("parent").alias("parent"), F.max("titled").alias("titled"), F.sum("chars").alias("chars")).groupBy("host", "branch")
+        sums = sums.agg(F.sum("n").alias("pages"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.min("parent").alias("parent"), F.max("titled").alias("titled"), (F.sum("chars") / F.sum("n")).alias("chars"))
         value = F.least(F.lit(1.0), F.log(F.col("pages") * F.col("pages") / F.col("squares")) / math.log(LEAST_PAGES))
-        return sums.select("host", "branch", "parent", "pages", "titled", value.alias(of))
+        return sums.select("host", "branch", "parent", "pages", "titled", "chars", value.alias(of))
 
     both = entropy("content").join(entropy("style").select("host", "branch", F.col("style").alias("presentation")), ["host", "branch"])
     out = staged(both.withColumn("importance", (F.col("content") + F.col("presentation")) / 2), "sst-tree")
@@ -356,12 +405,19 @@ def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, least: float =
     """(host, low): branches that at least least_pages of a host's pages have and whose importance is low.
 
     It is if it is no more than `least`, so that all pages say the same; or, for a branch without a heading, no more than
-    `share` of that of its most important sibling found on at least half as many pages as any of them.
+    `share` of that of its most important sibling found on at least half as many pages as any of them. However regular its
+    markup, a branch that says something else on most pages (LEAST_CONTENT) is only held against a sibling with the page's
+    title and with more text.
     """
     siblings = Window.partitionBy("host", "parent")
     tree = tree.where(F.col("pages") >= least_pages).withColumn("most", F.max("pages").over(siblings))
-    best = F.max(F.when(2 * F.col("pages") >= F.col("most"), F.col("importance"))).over(siblings)
-    low = tree.withColumn("best", best).where((F.col("importance") <= least) | (~F.col("titled") & (F.col("importance") <= share * F.col("best"))))
+    often = 2 * F.col("pages") >= F.col("most")
+    best = F.max(F.when(often, F.col("importance"))).over(siblings)
+    story = F.max(F.when(often & (F.col("titled") == 2), F.struct("importance", "chars"))).over(siblings)
+    tree = tree.withColumns({"best": best, "story": story})
+    regular = (F.col("content") <= LEAST_CONTENT) & (F.col("importance") <= share * F.col("best"))
+    beside = (F.col("importance") <= share * F.col("story.importance")) & (F.col("chars") < F.col("story.chars"))
+    low = tree.where((F.col("importance") <= least) | ((F.col("titled") == 0) & (regular | beside)))
     return low.groupBy("host").agg(F.collect_list("branch").alias("low"))
 
 

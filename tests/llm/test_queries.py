@@ -322,6 +322,35 @@ def test_op5_contents_that_recur_in_articles(spark):
     assert got[4000] == "Welcome to our site\n\nStory 0 is told here."
 
 
+def test_op5_tree_keeps_what_pages_say_of_their_own(spark):
+    """Regular markup is no reason to go: the story beside a part of changing shape, and a lead beside the text, stay."""
+    talk = lambda i: "".join(f"<span>w{j}{i}</span><b>x</b>" * (j + 1) for j in range(i % 5 + 1))
+    story = lambda i: f"<div class='top'>Welcome</div><div class='story'><p>Own text number {i}.</p></div><div class='talk'>{talk(i)}</div>"
+    lead = lambda i: f"<h1>Title {i}</h1><div class='lead'><p>Lead {i}.</p></div><div class='text'>{'<p>Body</p>' * (i % 4 + 1)}<p>End {i}.</p></div>"
+    rows = [(i, "http://story.example/", story(i)) for i in range(12)] + [(100 + i, "http://lead.example/", lead(i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].startswith(f"Own text number {i}.") for i in range(12))
+    assert all(got[100 + i] == "\n\n".join([f"Title {i}", f"Lead {i}.", *["Body"] * (i % 4 + 1), f"End {i}."]) for i in range(12))
+
+
+def test_op5_marks_on_wrappers():
+    x, body = html_extract.extract, "<h1>Title</h1><p>All that the page has to say is said here, at some length.</p>"
+    all_of_it = "Title\n\nAll that the page has to say is said here, at some length."
+    for start, end in (("<div class='sidebar-right'>", "</div>"), ("<div class='content sidebar'>", "</div>"), ("<article class='search post'>", "</article>"), ("<article><section class='social'>", "</section></article>"), ("<div class='header'><div class='widget main'>", "</div></div>")):
+        assert x(f"<body>{start}<nav><a href=/>Home</a></nav>{body}{end}<div class='sidebar'>Side</div></body>") == all_of_it
+    # nothing but a notice, links or comments is no article
+    assert x("<div class='cookie-notice'>We use cookies on this page</div>") == x("<div class='menu'><a href=/>Home</a> <a href=/b>B</a></div>") == x("<div class='comments'>First!</div>") == ""
+
+
+def test_op5_comments_adverts_and_teasers():
+    x = html_extract.extract
+    assert x("<article><p>Said.</p><section id='user-comments'><p>First!</p></section><div class='comment-thread'>Second</div><div class='google-ad'>Buy</div></article>") == "Said."
+    assert x("<article class='post no-comments'><p>Said.</p></article>") == "Said."
+    story = "The story is long, and no element names it as the main text of its page. " * 3
+    assert story.strip() in x(f"<div class='story'><p>{story}</p></div><article><p>A teaser</p></article>")
+    assert x(f"<article><p>{story}</p></article><div><p>Something else</p></div>") == story.strip()
+
+
 def test_op5_order_and_own_text_of_main():
     x = html_extract.extract
     assert x("<main><div><article>A</article></div><article>B</article></main>") == "A\n\nB"
