@@ -1,17 +1,18 @@
 """Benchmark decontamination by SimHash of item-sized windows, DataFrame functions only.
 
 A document window as long as a benchmark item can only reach the similarity if most of its word shingles are the item's.
-So shingles are joined with those of the items first, and windows that hold too few of them - which no exact test could
-accept - are left out; where no shingle of the item repeats in the document, all but the fullest window are, since the
-number held is then the weight shared. The rest get a SimHash; fingerprints are cut into radius + 1 blocks, of which at
-least one is equal if no more than `radius` bits differ; windows that agree with their item in a block and lie within the
-radius are verified by the exact similarity of their weighted shingles (a shingle's weight is how often it occurs).
+So shingles are joined with those of the items first, and one pass over their places in a document gives the window that
+shares most weight with the item (a shingle's weight is how often it occurs): the place of a shingle that the item has c times
+counts in those windows that hold it and fewer than c earlier places of the same one. If even that window shares too little,
+no window is made. The rest get a SimHash; fingerprints are cut into radius + 1 blocks, of which at least one is equal if no
+more than `radius` bits differ; windows that agree with their item in a block and lie within the radius are matches.
 
 Blocks are looked up within the items that shingles have led to. Alone they could not lead anywhere: shingles of which 0.8
 are shared leave about 10 of 64 bits different, and blocks for a radius that holds nearly all such pairs have three bits.
 
-A document shorter than an item is one window, the whole of it. There is at most one such window for a document and an item,
-so these are verified without fingerprints.
+A document shorter than an item is one window, the whole of it. These and windows in which a shingle of the item repeats are
+judged by their exact similarity alone: a slight change of the weight of a frequent shingle can turn a whole fingerprint.
+Time is in proportion to the places at which shingles of items stand, however often they repeat.
 """
 
 from __future__ import annotations
@@ -60,15 +61,17 @@ def blocks(fp: Column, radius: int) -> Column:
     )
 
 
-def common_weight(a: Column, b: Column) -> Column:
-    """Weight that two arrays of hashes share, repeats counted."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+def fullest() -> Column:
+    """(start, best) of the first window that shares most weight: one pass over where windows gain and lose a place.
+
+    places: (h, at, c), sorted; the place counts from the window on that no longer holds the c-th place of h before it.
+    """
 
+    def ends(p, i):
+        back = F.get("places", i - p["c"])
+        first = F.greatest(p["at"] - F.col("wide"), F.when((i >= p["c"]) & (back["h"] == p["h"]), back["at"] + 1).otherwise(0), F.lit(0))
+        return F.array(F.struct(first.alias("s"), F.lit(1).alias("d")), F.struct((p["at"] + 1).alias("s"), F.lit(-1).alias("d")))
 
-def fullest() -> Column:
-    """(start, best) of the first window that holds most places: one pass over where windows gain and lose a place."""
-    ends = F.transform("places", lambda p: F.array(F.struct(F.greatest(p - F.col("wide"), F.lit(0)).alias("s"), F.lit(1).alias("d")), F.struct((p + 1).alias("s"), F.lit(-1).alias("d"))))
     limit = F.col("size") - F.col("n_words")
 
     def step(x, e):
@@ -76,19 +79,7 @@ def fullest() -> Column:
         return F.struct(e["s"].alias("at"), (x["held"] + e["d"]).alias("held"), F.when(better, x["held"]).otherwise(x["best"]).alias("best"), F.when(better, x["at"]).otherwise(x["start"]).alias("start"))
 
     nothing = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.lit(0).alias("best"), F.lit(0).alias("start"))
-    return F.aggregate(F.array_sort(F.flatten(ends)), nothing, step)
-
-
-def enough() -> Column:
-    """The starts of all windows that hold `least` places: those after one place and up to the next, if the last needed is in reach."""
-    p = F.array_sort("places")
-    last = F.size("places") - F.col("least")
-
-    def starts(i):
-        low = F.greatest(F.get(p, i + F.col("least") - 1) - F.col("wide"), F.coalesce(F.get(p, i - 1) + 1, F.lit(0)), F.lit(0))
-        return F.when(low <= F.get(p, i), F.sequence(low, F.get(p, i))).otherwise(F.array().cast("array<int>"))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), last), starts))
+    return F.aggregate(F.array_sort(F.flatten(F.transform("places", ends))), nothing, step)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -114,25 +105,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     for x in by_k[1:]:
         full = full.union(x)
     full = staged(full.drop("w"), "decon-shingles")
-    own = full.select("item", "item_id", "n", "k", F.explode(F.array_distinct("hashes")).alias("h"))
+    own = full.select("item", "item_id", "n", "k", F.explode("hashes").alias("h")).groupBy("item", "item_id", "n", "k", "h").agg(F.count("*").cast("int").alias("c"))
 
     d = row_key(docs).select("_key", "_id", words(F.col("text")).alias("w"))
     found = None
     for k in sizes:
         hits = d.select("_key", "_id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
-        hits = hits.join(small(own.where(F.col("k") == k).select("item", "item_id", "n", "k", "h")), "h")
+        hits = hits.join(small(own.where(F.col("k") == k)), "h")
         found = hits if found is None else found.unionByName(hits)
-    places = found.groupBy("_key", "_id", "item", "item_id", "n", "k", "size").agg(F.collect_set("at").alias("places"), F.size(F.collect_set("h")).alias("kinds"))
+    places = found.groupBy("_key", "_id", "item", "item_id", "n", "k", "size").agg(F.array_sort(F.collect_set(F.struct("h", "at", "c"))).alias("places"))
     places = places.withColumn("n_words", F.least("n", "size")).withColumn("least", least.cast("int")).where(F.size("places") >= F.col("least"))
     places = staged(places.withColumn("wide", F.col("n_words") - F.col("k")), "decon-places")
 
-    # windows that hold enough of the item's shingles; text is read again for these documents only
-    full_ones = places.where(F.col("kinds") == F.size("places")).withColumn("x", fullest()).where(F.col("x.best") >= F.col("least")).withColumn("start", F.col("x.start"))
-    others = places.where(F.col("kinds") < F.size("places")).withColumn("start", F.explode(enough())).where(F.col("start") + F.col("n_words") <= F.col("size"))
-    columns = ["_key", "_id", "item", "n", "n_words", "k", "start"]
-    windows = staged(full_ones.select(*columns).union(others.select(*columns)), "decon-candidates")
+    # the best window of each document and item, if it is similar; text is read again for these documents only
+    windows = places.withColumn("x", fullest()).where(F.col("x.best") >= F.col("least"))
+    union = F.col("n_words") + F.col("n") - 2 * F.col("k") + 2 - F.col("x.best")
+    inside = F.transform(F.filter("places", lambda p: p["at"].between(F.col("x.start"), F.col("x.start") + F.col("wide"))), lambda p: p["h"])
+    exact = (F.col("n_words") < F.col("n")) | (F.size(F.array_distinct(inside)) < F.size(inside))
+    columns = ["_key", "_id", "item", "item_id", "n_words", "k"]
+    windows = staged(windows.select(*columns, F.col("x.start").alias("start"), (F.col("x.best") / union).alias("similarity"), exact.alias("exact")).where(F.col("similarity") >= similarity), "decon-candidates")
     drop(places)
-    starts = staged(windows.select("_key", "_id", "n_words", "k", "start").distinct(), "decon-starts")
+    starts = staged(windows.where("not exact").select("_key", "_id", "n_words", "k", "start").distinct(), "decon-starts")
     text = d.join(starts.select("_key", "_id").distinct(), ["_key", "_id"], "left_semi").dropDuplicates(["_key", "_id"])
     cut = starts.join(text, ["_key", "_id"])
     cut = cut.select("_key", "_id", "n_words", "k", "start", F.slice(F.col("w"), F.col("start") + 1, F.col("n_words")).alias("w"))
@@ -141,22 +134,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         x = cut.where(F.col("k") == k).withColumn("hashes", shingles(F.col("w"), k)).drop("w")
         of = x if of is None else of.union(x)
     text_windows = staged(of, "decon-windows")
-    of = staged(text_windows.withColumn("fp", simhash(F.col("hashes"))), "decon-prints")
-    held = of.select("_key", "_id", "n_words", "start", "fp").join(windows.where("n_words = n").select("_key", "_id", "n_words", "start", "item").distinct(), ["_key", "_id", "n_words", "start"])
-    probes = held.select("_key", "_id", "n_words", "start", "item", "fp", F.explode(blocks(F.col("fp"), radius)).alias("x")).select("*", "x.*").drop("x")
-    prints = staged(full.withColumn("item_fp", simhash(F.col("hashes"))), "decon-item-prints")
+    of = text_windows.withColumn("fp", simhash(F.col("hashes"))).select("_key", "_id", "n_words", "start", "fp")
+    held = of.join(windows.where("not exact"), ["_key", "_id", "n_words", "start"])
+    probes = held.select(*windows.columns, "fp", F.explode(blocks(F.col("fp"), radius)).alias("x")).select("*", "x.*").drop("x")
+    prints = staged(full.select("item", "hashes").dropDuplicates(["item"]).withColumn("item_fp", simhash(F.col("hashes"))).drop("hashes"), "decon-item-prints")
     index = prints.select("item", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("x")).select("*", "x.*").drop("x")
-    near = probes.join(small(index.distinct()), ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("_key", "_id", "start", "n_words", "item").distinct()
-    whole = windows.where("n_words < n").select("_key", "_id", "start", "n_words", "item").distinct()
-    pairs = near.union(whole).join(of.select("_key", "_id", "start", "n_words", "hashes"), ["_key", "_id", "start", "n_words"])
-    items_of = prints.select("item", "item_id", F.col("hashes").alias("item_hashes"))
-    pairs = pairs.join(small(items_of), "item")
-    shared = common_weight(F.col("hashes"), F.col("item_hashes"))
-    pairs = pairs.withColumn("similarity", shared / (F.size("hashes") + F.size("item_hashes") - shared)).where(F.col("similarity") >= similarity)
+    near = probes.join(small(index), ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    pairs = near.select(windows.columns).distinct().union(windows.where("exact"))
     best = pairs.groupBy("_key", "_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("n_words").alias("n"))).alias("x"))
     out = staged(best.select("_key", "_id", "item_id", (-F.col("x.s")).alias("start"), F.col("x.n").alias("n_words"), "x.similarity"), "decon-matches")
-    drop(windows, starts, text_windows, of, prints, full, items)
+    drop(windows, starts, text_windows, prints, full, items)
     return out
 
 

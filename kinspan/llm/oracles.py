@@ -58,11 +58,11 @@ ic as (select item_id, n, k, array_to_string(w[q:q + k - 1], ' ') g, count(*) c
 d as (select doc_id, {_tokens('text')} w from documents),
 ks as (select distinct k from i),
 dg as (select doc_id, k, w, unnest(range(1, len(w) - k + 2)) p from d, ks where len(w) >= k),
-h as (select doc_id, p, item_id, n, ic.k, g, c from (select doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') gram from dg) x join ic on ic.k = x.k and ic.g = x.gram),
-s as (select distinct doc_id, item_id, n, k, unnest(range(greatest(p - (n - k), 1), p + 1)) s from h),
-m as (select s.doc_id, s.item_id, s.n, s.k, s.s, h.g, least(count(*), any_value(c)) as shared from s join h on h.doc_id = s.doc_id and h.item_id = s.item_id and h.p between s.s and s.s + s.n - s.k group by all),
-v as (select doc_id, item_id, n, s, sum(shared) b, n - k + 1 t from m group by doc_id, item_id, n, k, s),
-z as (select v.doc_id, item_id, n, s, b / (2 * t - b) sim from v join d on d.doc_id = v.doc_id where s + n - 1 <= len(d.w)),
+h as (select doc_id, p, item_id, n t, least(n, size) n, ic.k, g, c from (select doc_id, k, p, len(w) size, array_to_string(w[p:p + k - 1], ' ') gram from dg) x join ic on ic.k = x.k and ic.g = x.gram),
+s as (select distinct doc_id, item_id, t, n, k, unnest(range(greatest(p - (n - k), 1), p + 1)) s from h),
+m as (select s.doc_id, s.item_id, s.t, s.n, s.k, s.s, h.g, least(count(*), any_value(c)) as shared from s join h on h.doc_id = s.doc_id and h.item_id = s.item_id and h.p between s.s and s.s + s.n - s.k group by all),
+v as (select doc_id, item_id, n, s, sum(shared) b, t + n - 2 * k + 2 both_n from m group by doc_id, item_id, t, n, k, s),
+z as (select v.doc_id, item_id, n, s, b / (both_n - b) sim from v join d on d.doc_id = v.doc_id where s + n - 1 <= len(d.w)),
 best as (select doc_id, item_id, max(sim) similarity from z where sim >= {decontamination.SIMILARITY} group by 1, 2)
 select best.doc_id, best.item_id, cast(min(z.s) - 1 as integer) as "start", cast(any_value(z.n) as integer) n_words, cast(similarity as double) similarity
 from best join z on z.doc_id = best.doc_id and z.item_id = best.item_id and z.sim = best.similarity group by best.doc_id, best.item_id, similarity

@@ -626,6 +626,34 @@ def test_op10_long_items(spark):
         assert got[i, i][0] == 200 and got[i, i][1] == pytest.approx(shingle_similarity(w[200 : 200 + len(item)], item, 5))
 
 
+def test_op10_repeated_words_in_linear_time(spark):
+    """Shingles that stand at every place: two letters in other shares, one word without end, an item within itself."""
+    import time
+
+    rng = np.random.default_rng(12)
+    few = lambda n: " ".join("abc"[i] for i in rng.choice(3, n, p=[0.8, 0.1, 0.1]))
+    items = ["spam " * 400, few(40), few(60), "one two three four five six seven"]
+    docs = ["spam " * 60_000, "spam " * 390, *[few(300) for _ in range(25)], items[1] + " b c " + items[1], few(35), (items[3] + " ") * 40]
+    one_off = lambda at: " ".join("x" if j == at else x for j, x in enumerate(items[2].split()))
+    docs += [f"{few(20)} {one_off(at)} {few(20)}" for at in (1, 30, 58)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    decontamination.contaminated(df.limit(2), bench).count()  # the session and its code are warm
+    start = time.perf_counter()
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], round(r["similarity"], 9)) for r in decontamination.contaminated(df, bench).collect()}
+    assert time.perf_counter() - start < 20
+    want = {}
+    for d, doc in enumerate(docs[1:], 1):
+        for i, item in enumerate(items):
+            w, x = doc.split(), item.split()
+            n, grams = min(len(w), len(x)), lambda v: Counter(tuple(v[j : j + 5]) for j in range(len(v) - 4))
+            of = grams(x)
+            sims = [(round(sum((a & of).values()) / sum((a | of).values()), 9), -s) for s in range(len(w) - n + 1) for a in [grams(w[s : s + n])]]
+            if max(sims)[0] >= 0.8:
+                want[d, i] = (-max(sims)[1], n, max(sims)[0])
+    assert got == want | {(0, 0): (0, 400, 1.0)} and len(want) >= 6
+
+
 def test_op10_dirty(spark, dirty):
     bench = spark.createDataFrame([(1, "under the mit license licensed")], "item_id long, text string")
     assert decontamination.contaminated(dirty, bench).count() == 0
