@@ -47,8 +47,10 @@ def archive(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.lit(None).cast("timestamp").alias("released_at"), F.lit(None).cast("string").alias("released_note"),
         F.when(F.col("o_orderstatus") == "O", "x").alias("conflict"), F.lit("y").alias("consequence"), (1 + key % 5).cast("int").alias("strength"),
     )
+    # some quotes say what nobody said
+    quoted = F.when(F.col("l_discount").between(0.045, 0.055), F.concat(F.lit("Zulu "), F.repeat(F.lit("x"), F.col("seq").cast("int")))).otherwise(text)
     quotes = words.where("l_quantity = 50").select(
-        "case_id", F.concat(F.lit("q"), "uid").alias("id"), text.alias("text"), _source(F.when(F.col("l_tax") >= 0.07, F.concat(F.lit("u"), key, F.lit("-0"))).otherwise(F.col("uid"))).alias("source"),
+        "case_id", F.concat(F.lit("q"), "uid").alias("id"), quoted.alias("text"), _source(F.when(F.col("l_tax") >= 0.07, F.concat(F.lit("u"), key, F.lit("-0"))).otherwise(F.col("uid"))).alias("source"),
         F.when(F.col("l_returnflag") == "N", "owner_only").otherwise("family").alias("access"), (F.col("l_discount") < 0.04).alias("publication_ok"),
     )
     s = table(spark, d, "supplier")
@@ -71,7 +73,7 @@ def archive(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 _ARCHIVE = """o as (select o.*, cast(c_nationkey as varchar) case_id, left(o_orderpriority, 1) pr from orders o join customer on c_custkey = o_custkey),
 said as (select l_orderkey k, l_linenumber seq, min(l_partkey) part, min(l_suppkey) supp, max(l_linestatus) ls, max(l_returnflag) rf, max(l_quantity) qty, min(l_tax) tax, min(l_discount) disc, max(l_shipdate) ship, 'u' || l_orderkey || '-' || l_linenumber uid from lineitem group by 1, 2),
-utt as (select case_id, uid id, k, seq, 'Part ' || part || ' came from ' || supp || '.' as "text", case when ls = 'F' then 'family' else 'operator' end access, case when rf = 'R' and qty >= 45 then 'restricted' else 'routine' end sensitivity, rf, qty, tax, disc from said join o on o_orderkey = k),
+utt as (select case_id, uid id, k, seq, 'Part ' || part || ' came from ' || supp || '.' as "text", case when ls = 'F' then 'family' else 'operator' end access, case when rf = 'R' and qty >= 45 then 'restricted' else 'routine' end sensitivity, rf, qty, tax, disc, case when disc between 0.045 and 0.055 then 'Zulu ' || repeat('x', cast(seq as integer)) else 'Part ' || part || ' came from ' || supp || '.' end quoted from said join o on o_orderkey = k),
 cl as (select case_id, 'c' || o_orderkey id, o_orderkey ord, 'Order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y-%m-%d') as "text", case pr when '1' then 'name' when '2' then 'date' when '3' then 'relationship' when '4' then 'place' else 'event' end kind,
   case when o_totalprice > 490000 then 'excluded' when o_orderstatus = 'P' then 'conflicting' when o_orderstatus = 'O' then 'unresolved' else 'stated_by_owner' end status, 1 + o_orderkey % 5 importance, o_orderstatus st from o),
 card as (select case_id, 'k' || o_orderkey id, o_orderkey k, 'Order ' || o_orderkey title, year(o_orderdate) y, case when pr = '5' then last - 5 else last end ye, pr, last is not null has,
@@ -93,13 +95,18 @@ _CHRONOLOGY = " union all ".join(
 )
 _BORN = "b as (select cast(n_nationkey as varchar) k, case n_nationkey % 5 when 0 then 1998 when 1 then 1880 when 2 then null else 1960 end born from nation), ppl as (select cast(s_nationkey as varchar) case_id, 'p' || s_suppkey id, case when s_acctbal < 0 then '' else translate(md5(cast(s_suppkey as varchar)), '0123456789', 'ghijklmnop') end as \"name\", 1900 + s_nationkey birth, s_acctbal from supplier)"
 _NAMES = _row("names", "block", "'person record with an empty name'", "id", "cast(null as varchar)", "ppl where name = ''")
-_FIDELITY = _row("quote_fidelity", "block", "'quote cites an utterance that is not in the archive'", "'u' || k || '-0'", "\"text\"", "utt where qty = 50 and tax >= 0.07").replace("'u' || k || '-0' ref_id", "'q' || id ref_id")
+_FIDELITY = " union all ".join(
+    [
+        _row("quote_fidelity", "block", "'quote cites an utterance that is not in the archive'", "'q' || id", "quoted", "utt where qty = 50 and tax >= 0.07"),
+        _row("quote_fidelity", "block", "'quote does not match its source (similarity 0.00)'", "'q' || id", "'quote: ' || quoted || ' / source: ' || \"text\"", "utt where qty = 50 and tax < 0.07 and disc between 0.045 and 0.055"),
+    ]
+)
 _OPEN = "access in ('family', 'public')"
 _ACCESS = " union all ".join(
     [
         _row("access", "block", "'restricted story card is released to ' || access", "id", "title", f"card where sensitivity = 'restricted' and {_OPEN}"),
         _row("access", "block", "'story card is released to family but rests on an operator utterance'", "id", "title || ' <- ' || uid", f"(select card.*, utt.id uid from card join utt using (case_id, k) where card.{_OPEN} and utt.access = 'operator')"),
-        _row("access", "block", "'quote marked publishable but still owner-only'", "'q' || id", "\"text\"", "utt where qty = 50 and rf = 'N' and disc < 0.04"),
+        _row("access", "block", "'quote marked publishable but still owner-only'", "'q' || id", "quoted", "utt where qty = 50 and rf = 'N' and disc < 0.04"),
     ]
 )
 _SAFETY = _row("confirmation", "block", "'restricted material has been released to ' || access", "id", "\"text\"", f"utt where sensitivity = 'restricted' and {_OPEN}")
