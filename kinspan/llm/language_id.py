@@ -6,9 +6,12 @@ import math
 import re
 import sys
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: Runs of word characters without decimal digits: few have anything but letters in them.
 RUNS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("feature", pa.string()), ("times", pa.int64())])
 
 
 def words_of(text: str) -> list[str]:
@@ -34,10 +38,11 @@ class Model:
     """Log frequencies of words and of character n-grams (1 to LONGEST, word ends marked) per language.
 
     A table of features holds, for each, the languages that have it; all others share one value per language and size, so
-    its length follows from the features of each language, not from their product with the languages.
+    its length follows from the features of each language, not from their product with the languages. Tables are columns
+    throughout: the driver makes no object per feature, and only workers look features up.
     """
 
-    def __init__(self, counts: list[tuple[str, int, str, int]], totals: list[tuple[str, int, int]], documents: dict[str, int], known: dict[int, int], smooth: float = 0.5):
+    def __init__(self, counts: pa.Table | list[tuple[str, int, str, int]], totals: list[tuple[str, int, int]], documents: dict[str, int], known: dict[int, int], smooth: float = 0.5):
         """counts: (language, size, feature, times), size 0 for words; totals: times of all features per language and size; known: features per size."""
         self.langs = sorted(documents)
         column = {lang: i for i, lang in enumerate(self.langs)}
@@ -49,14 +54,19 @@ class Model:
         space = np.array([[known.get(size, 0)] for size in range(LONGEST + 1)])
         norm = np.log(sums + smooth * space + 1e-9)
         self.base = (math.log(smooth) - norm).astype(np.float32)
-        tables: list[dict[str, list[tuple[int, float]]]] = [{} for _ in range(LONGEST + 1)]
-        for lang, size, feature, times in counts:
-            tables[size].setdefault(feature, []).append((column[lang], math.log(times + smooth) - norm[size, column[lang]]))
+        if not isinstance(counts, pa.Table):
+            counts = pa.Table.from_pylist([dict(zip(COUNTS.names, x, strict=True)) for x in counts], schema=COUNTS)
         self.tables = []
-        for t in tables:
-            start = np.cumsum([0, *map(len, t.values())])
-            flat = [x for v in t.values() for x in v]
-            self.tables.append(({f: i for i, f in enumerate(t)}, start, np.array([x[0] for x in flat], np.int32), np.array([x[1] for x in flat], np.float32)))
+        for size in range(LONGEST + 1):
+            t = counts.filter(pc.equal(counts["size"], size)).combine_chunks()
+            feature = pa.array(t["feature"], pa.string()) if not t.num_rows else t["feature"].combine_chunks()
+            coded = feature.dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            lang = pc.index_in(t["lang"], value_set=pa.array(self.langs, pa.string())).to_numpy()[order].astype(np.int32)
+            value = np.log(t["times"].to_numpy()[order] + smooth) - norm[size, lang]
+            start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(coded.dictionary)))])
+            self.tables.append((coded.dictionary, start, lang, value.astype(np.float32)))
         self.dense: list[np.ndarray | None] = [None] * (LONGEST + 1)
 
     def state(self) -> tuple:
@@ -70,6 +80,11 @@ class Model:
         model.dense = [model._dense(size) for size in range(LONGEST + 1)]
         return model
 
+    @cached_property
+    def index(self) -> list[dict[str, int]]:
+        """The number of each word (size 0) or n-gram."""
+        return [{f: i for i, f in enumerate(names.to_pylist())} for names, *_ in self.tables]
+
     def _dense(self, size: int, cells: int = 8_000_000) -> np.ndarray | None:
         """A row of log frequencies per feature, if so many fit; else they are put together when asked for."""
         names, start, lang, value = self.tables[size]
@@ -91,12 +106,12 @@ class Model:
 
     def vector(self, word: str) -> np.ndarray:
         """Evidence of one word: its own log frequencies, else the mean over its longest known n-grams."""
-        known = self.tables[0][0].get(word)
+        known = self.index[0].get(word)
         if known is not None:
             return self.features([known], 0)[0]
         marked = f" {word} "
         for size in range(min(LONGEST, len(marked)), 0, -1):
-            names = self.tables[size][0]
+            names = self.index[size]
             hits = [i for at in range(len(marked) - size + 1) if (i := names.get(marked[at : at + size])) is not None]
             if hits:
                 return np.add.reduce(self.features(hits, size)) / len(hits)
@@ -169,7 +184,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, words_per_lang: int = 40_000, gra
     is_word = (F.col("size") == 0).cast("int")
     rank = F.row_number().over(Window.partitionBy("lang", is_word).orderBy(F.desc("times"), "size", "feature"))
     top = every.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("size") == 0, words_per_lang).otherwise(grams_per_lang))
-    return Model([tuple(r) for r in top.select("lang", "size", "feature", "times").collect()], totals, documents, known)
+    return Model(top.select(*COUNTS.names).toArrow(), totals, documents, known)
 
 
 def predict(docs: DataFrame, model: Model, keep=()) -> DataFrame:

@@ -476,6 +476,24 @@ def test_backoff_goes_from_words_to_single_letters():
     assert (m.vector("k") != m.vector("z")).any()
 
 
+def test_op6_model_is_columns_in_the_driver(spark):
+    """The driver keeps no objects per feature: some hundred bytes each, in Python and Arrow together."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.translate(F.md5((F.col("id") * 40 + i).cast("string")), "0123456789", "ghijklmnop"))
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"), F.lit("a").alias("lang"))
+    language_id.fit(docs.limit(9))  # what is imported and set up once doesn't count
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    m = language_id.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    n = sum(len(x[2]) for x in m.tables)
+    assert n > 50_000 and peak < 150 * n, peak / n
+
+
 # ---- 8 mixing
 
 
