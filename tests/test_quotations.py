@@ -1,6 +1,7 @@
 """Quotations found by joins on runs against the sequence matcher on every line."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,23 @@ def test_findings_of_conversations(spark, sf):
     assert 0 < len(want) < len(spans) and sorted(map(tuple, got)) == want
 
 
+def test_matching_is_the_sequence_matchers():
+    rng = random.Random(5)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcd", "etaoinshrdlu我你"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 9, 60, 130]))) for _ in range(2))
+        want = SequenceMatcher(None, a, b, autojunk=False)
+        pairs = lambda blocks: {(i + k, j + k) for i, j, n in blocks for k in range(n)}
+        assert pairs(fuzzy.matching(a, b)) == pairs(want.get_matching_blocks()) and fuzzy.plain_ratio(a, b) == want.ratio()
+
+
+def test_runs_of_a_passage_are_not_carried_along(spark):
+    """A row for each run of a passage, and none of them with all its runs."""
+    asked = spark.createDataFrame([("c", "abcdefgh")], "case_id string, needle string")
+    ranked = quotations._ranked(asked, spark.createDataFrame([("abc",)], "run string"))
+    assert ranked.count() == 6 and not any(kind.startswith("array") for _, kind in ranked.dtypes)
+
+
 def test_edges(spark):
     cases = spark.createDataFrame([("c", "en"), ("z", "zh")], "id string, language string")
     u = spark.createDataFrame([("c", "s", 1, "We walked to the"), ("c", "s", 2, "river in the morning."), ("c", "s", 3, None), ("z", "s", 1, "我们一起走到了河边看日出")], "case_id string, session_id string, seq int, text string")
