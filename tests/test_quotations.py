@@ -83,6 +83,35 @@ def test_runs_of_a_passage_are_not_carried_along(spark):
     assert ranked.count() == 6 and not any(kind.startswith("array") for _, kind in ranked.dtypes)
 
 
+def test_no_run_of_a_passage_or_line_is_shuffled(spark):
+    """No row is made of each run, and few pairs are matched: a line that shares most runs, but none near each other, is no fit."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    lines = [("c", "s", i, text(300)) for i in range(40)]
+    asked = [("c", text(60)) for _ in range(50)] + [("c", lines[i][3][100:130] + "x" + lines[i][3][131:160]) for i in range(20)]
+    df, needles = spark.createDataFrame(lines, LINES), spark.createDataFrame(asked, "case_id string, needle string")
+    assert "Generate" not in quotations.nearest(needles, df)._jdf.queryExecution().executedPlan().toString()
+    index = quotations._alike(fuzzy.FIDELITY)([x[3] for x in lines])
+    found = index([x[1] for x in asked])
+    assert [(x, y) for x, y, fits in zip(found["needle"], found["line"], found["fits"]) if fits] == [(asked[50 + i][1], lines[i][3]) for i in range(20)]
+    assert len(found["needle"]) == len(asked)
+
+
+@pytest.mark.parametrize("chunk", [500, 3000])
+def test_chunks_of_a_case(spark, monkeypatch, chunk):
+    """A case larger than one index, with lines told twice, gives what one index gives."""
+    rng = random.Random(chunk)
+    lines = [("c", str(s), i, "".join(rng.choice("abcdefgh我") for _ in range(rng.choice([1, 40, 300])))) for s in range(3) for i in range(12)]
+    lines += [("c", "9", i, x[3]) for i, x in enumerate(lines[:5])]
+    whole = "".join(x[3] for x in lines)
+    asked = sorted({changed(rng, whole[at : at + 40], k % 3) for k, at in enumerate(rng.sample(range(len(whole) - 40), 60))} | {"zzzz", "ab"})
+    df, needles = spark.createDataFrame(lines, LINES), spark.createDataFrame([("c", x) for x in asked], "case_id string, needle string")
+    look = lambda f: sorted(map(tuple, f(needles, df).collect()))
+    want = look(quotations.verbatim), look(quotations.nearest)
+    monkeypatch.setattr(quotations, "CHUNK", chunk)
+    assert (look(quotations.verbatim), look(quotations.nearest)) == want and [x[1] for x in want[0]] == [x for x in asked if x in whole]
+
+
 def test_edges(spark):
     cases = spark.createDataFrame([("c", "en"), ("z", "zh")], "id string, language string")
     u = spark.createDataFrame([("c", "s", 1, "We walked to the"), ("c", "s", 2, "river in the morning."), ("c", "s", 3, None), ("z", "s", 1, "我们一起走到了河边看日出")], "case_id string, session_id string, seq int, text string")
