@@ -37,20 +37,25 @@ def top(candidates: DataFrame, order: list, most: int = MOST, by: tuple = ("case
     return ranked.where(F.col("place") <= n)
 
 
-def build(claims: DataFrame, cards: DataFrame, utterances: DataFrame, audience: str = "family", most: int = MOST) -> DataFrame:
-    """case_id, place, claim_id, kind, question, current_value, context, importance, conflicting, deferred."""
+def chosen(claims: DataFrame, cards: DataFrame, utterances: DataFrame, audience: str = "family", most: int = MOST) -> DataFrame:
+    """The claims that the queue has, with place and deferred."""
     open_ = visible_to(claims.where(F.col("kind").isin(*CONFIRMABLE) & F.col("status").isin(*OPEN_STATUS)), utterances, audience)
     uses = cards.select("case_id", F.col("id").alias("card_id"), F.explode(F.array_distinct("claim_ids")).alias("id")).groupBy("case_id", "id").agg(F.count("*").alias("uses"))
     ranked = open_.join(uses, ["case_id", "id"], "left").withColumn("score", score(F.col("importance"), F.col("status"), F.col("kind"), F.col("uses")))
-    chosen = top(ranked, [F.desc("score"), F.col("ord")], most)
+    return top(ranked, [F.desc("score"), F.col("ord")], most)
+
+
+def build(claims: DataFrame, cards: DataFrame, utterances: DataFrame, audience: str = "family", most: int = MOST) -> DataFrame:
+    """case_id, place, claim_id, kind, question, current_value, context, importance, conflicting, deferred."""
+    items = chosen(claims, cards, utterances, audience, most)
     # claims chosen are few: contexts and conflicts are fetched for them alone
-    seen = cited(citations(chosen), utterances).where(utterance_ok(audience))
+    seen = cited(citations(items), utterances).where(utterance_ok(audience))
     text = strip(F.col("text"))
     context = seen.groupBy("case_id", "id").agg(F.min_by(F.when(F.length(text) <= CONTEXT, text).otherwise(F.concat(F.left(text, F.lit(CONTEXT - 3)), F.lit("..."))), F.col("pos")).alias("context"))
-    other = chosen.select("case_id", "id", F.posexplode("conflicting_with").alias("pos", "_ref")).join(claims.select("case_id", F.col("id").alias("_ref"), F.col("text").alias("_text")), ["case_id", "_ref"])
+    other = items.select("case_id", "id", F.posexplode("conflicting_with").alias("pos", "_ref")).join(claims.select("case_id", F.col("id").alias("_ref"), F.col("text").alias("_text")), ["case_id", "_ref"])
     other = other.groupBy("case_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_text"))), lambda s: s["_text"]).alias("conflicting"))
     table = F.create_map(*[F.lit(x) for pair in QUESTIONS.items() for x in pair])
-    out = chosen.join(context, ["case_id", "id"], "left").join(other, ["case_id", "id"], "left")
+    out = items.join(context, ["case_id", "id"], "left").join(other, ["case_id", "id"], "left")
     return out.select(
         "case_id", "place", F.col("id").alias("claim_id"), "kind",
         F.coalesce(F.try_element_at(table, F.col("kind")), F.lit("Is this right?")).alias("question"),

@@ -1,4 +1,8 @@
-"""Lineage joins: what rests on what, and who may see it. Never cache these across decisions; they are computed on read."""
+"""Lineage joins: what rests on what, and who may see it. Never cache these across decisions; they are computed on read.
+
+Records may carry told, all utterances (id, text, access, sensitivity) of their case that they can cite, as often as the case
+has them. References are then looked up there, and nothing is joined.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,23 @@ from pyspark.sql import functions as F
 from kinspan.schema import ACCESS, access_visible, filled, rank
 
 
-def citations(records: DataFrame, key: str = "id") -> DataFrame:
-    """(case_id, key, pos, ref_id): citations of utterances, in order."""
-    s = records.select("case_id", key, F.posexplode("sources").alias("pos", "s"))
-    return s.where(F.col("s.kind") == "utterance").select("case_id", key, "pos", F.col("s.ref_id").alias("ref_id"), F.col("s.locator").alias("locator"))
+def telling(ref: Column) -> Column:
+    """The utterances of told that ref names."""
+    return F.filter("told", lambda u: u["id"] == ref)
+
+
+def citations(records: DataFrame, key: str = "id", *more: str) -> DataFrame:
+    """(case_id, key, pos, ref_id, more): citations of utterances, in order."""
+    more = [*more, *(c for c in ("told",) if c in records.columns)]
+    s = records.select("case_id", key, F.posexplode("sources").alias("pos", "s"), *more)
+    return s.where(F.col("s.kind") == "utterance").select("case_id", key, "pos", F.col("s.ref_id").alias("ref_id"), F.col("s.locator").alias("locator"), *more)
 
 
 def cited(refs: DataFrame, utterances: DataFrame) -> DataFrame:
     """Citations with their utterance; missing is true where there is none."""
+    if "told" in refs.columns:
+        found = refs.withColumn("_u", F.explode_outer(telling(F.col("ref_id")))).drop("told")
+        return found.select("*", "_u.text", "_u.access", "_u.sensitivity", F.col("_u.id").isNull().alias("missing")).drop("_u")
     u = utterances.select("case_id", F.col("id").alias("ref_id"), "text", "access", "sensitivity", F.lit(True).alias("_there"))
     return refs.join(u, ["case_id", "ref_id"], "left").withColumn("missing", F.col("_there").isNull()).drop("_there")
 
@@ -33,11 +46,17 @@ def visible_to(records: DataFrame, utterances: DataFrame, audience: str, key: st
     """Records that an audience may see: every utterance cited is there, unrestricted and released. The operator sees all."""
     if audience == "operator":
         return records
+    if "told" in records.columns:
+        cites = F.filter("sources", lambda s: s["kind"] == "utterance")
+        ok = lambda u: F.coalesce((u["sensitivity"] != "restricted") & access_visible(u["access"], audience), F.lit(False))
+        return records.where((F.coalesce(F.size(cites), F.lit(0)) > 0) & F.forall(cites, lambda s: (F.size(telling(s["ref_id"])) > 0) & F.forall(telling(s["ref_id"]), ok)))
     keys = visible_keys(cited(citations(records, key), utterances), key, utterance_ok(audience))
     return records.join(keys, ["case_id", key], "left_semi")
 
 
 def dangling(records: DataFrame, utterances: DataFrame, key: str = "id") -> DataFrame:
+    if "told" in records.columns:
+        return citations(records, key).where(F.size(telling(F.col("ref_id"))) == 0).drop("told")
     return citations(records, key).join(utterances.select("case_id", F.col("id").alias("ref_id")), ["case_id", "ref_id"], "left_anti")
 
 
